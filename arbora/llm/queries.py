@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import tokenids, warc
+from . import language, quality, rules, secrets, tokenids, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op4_quality_rules": rules.op4_quality_rules,
+    "op5_secrets": secrets.op5_secrets,
+    "op7_language": language.op7_language,
+    "op8_quality": quality.op8_quality,
     "op9_token_ids": tokenids.op9_token_ids,
 }
 
