@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, quality, rules, secrets, tokenids, warc
+from . import jaccard, language, quality, rules, secrets, tokenids, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_secrets": secrets.op5_secrets,
     "op7_language": language.op7_language,
