@@ -112,11 +112,12 @@ def _forward(p, x, count):
 
 
 def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, *, hidden: int = 32, gate: int = 16, epochs: int = 40, batch: int = 64, rate: float = 3e-3, l2: float = 1e-4, seed: int = 7) -> Model:
-    """Adam on the logistic loss of bags. Without rows, a model that scores 0.5 throughout."""
+    """Adam on the logistic loss of bags. Without rows, a model that scores 0.88 throughout (nothing is rejected)."""
     rng = np.random.default_rng(seed)
     k = x.shape[1] if x.ndim == 2 and x.shape[1] else WIDTH
     p = {"W": rng.normal(0, k**-0.5, (k, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, hidden**-0.5, (hidden, gate)), "U": rng.normal(0, hidden**-0.5, (hidden, gate)), "w": rng.normal(0, gate**-0.5, gate), "c": np.zeros(hidden), "d": np.zeros(1)}
     if not len(y):
+        p["d"] += 2
         return Model(np.zeros(k), np.ones(k), p)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.05
     x = (x - mean) / scale

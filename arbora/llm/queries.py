@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, quality, rules, secrets, tokenids, warc
+from . import decontamination, jaccard, language, packing, quality, rules, secrets, tokenids, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_secrets": secrets.op5_secrets,
     "op7_language": language.op7_language,
     "op8_quality": quality.op8_quality,
     "op9_token_ids": tokenids.op9_token_ids,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
