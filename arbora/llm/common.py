@@ -234,3 +234,34 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def crc_fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds`` (null ids: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds)
+
+
+def bit_table(df: DataFrame, column: str, bits: int = 1 << 24):
+    """A broadcast bit table of fixed size: bit ``pmod(column, bits)`` is set for each value of a long column."""
+    at = df.select(F.pmod(column, F.lit(bits)).alias("p")).distinct()
+    parts = at.groupBy(F.floor(F.col("p") / 8192).alias("s")).agg(F.collect_list((F.col("p") % 8192).cast("int")).alias("at"))
+    table = np.zeros(bits, bool)
+    for r in parts.toLocalIterator():
+        table[r["s"] * 8192 + np.array(r["at"])] = True
+    return df.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+
+def packed_texts(docs: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` and the zstd-packed text of the rows of docs(th, text, ...) whose th may be among ``keys``' th.
+
+    The bit table keeps most other texts out of the shuffle; the join that follows is exact.
+    """
+    bits = 1 << 24
+    sent = bit_table(keys, "th", bits)
+    schema = docs.select(*names).withColumn("packed", F.lit(b"")).schema
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, own = zstandard.ZstdCompressor(level=3), np.unpackbits(sent.value).astype(bool)
+        for b in batches:
+            b = b.filter(pa.array(own[b["th"].to_numpy() % bits]))
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array([pack.compress(t.encode()) for t in b["text"].to_pylist()], pa.binary())], names=[*names, "packed"])
+
+    return docs.filter("text IS NOT NULL").mapInArrow(near, schema)

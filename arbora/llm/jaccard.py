@@ -176,29 +176,11 @@ def _postings(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Data
     return C.materialize(lists.mapInArrow(shared, "token long, fp long, n int, l int, pfp long, pn int, pl int"), "jaccard-lists")
 
 
-def _texts(docs: DataFrame, info: DataFrame, lists: DataFrame, pairs: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """(fp, packed text) of the sets that occur in ``pairs``, one text each, as a written table.
-
-    A bit table of fixed size keeps most other texts out of the shuffle (the join after it is exact).
-    """
-    import zstandard
-
+def _texts(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fp, packed text) of the sets that occur in ``pairs``, one text each, as a written table."""
     need = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     one = C.materialize(info.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("th").alias("th")).join(need, "fp", "left_semi"), "jaccard-need")
-    places = one.select(F.pmod("th", F.lit(bits)).alias("p")).distinct().groupBy(F.floor(F.col("p") / 8192).alias("s")).agg(F.collect_list((F.col("p") % 8192).cast("int")).alias("at"))
-    table = np.zeros(bits, bool)
-    for r in places.toLocalIterator():
-        table[r["s"] * 8192 + np.array(r["at"])] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, own = zstandard.ZstdCompressor(level=3), np.unpackbits(sent.value).astype(bool)
-        for b in batches:
-            b = b.filter(pa.array(own[b["th"].to_numpy() % bits]))
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b["th"], pa.array([pack.compress(t.encode()) for t in b["text"].to_pylist()], pa.binary())], names=["th", "packed"])
-
-    some = docs.filter("text IS NOT NULL").withColumn("th", F.xxhash64("text")).select("th", "text").mapInArrow(near, "th long, packed binary")
+    some = C.packed_texts(docs.select("text", F.xxhash64("text").alias("th")), one, ["th"])
     return C.materialize(some.join(one, "th").select("fp", "packed").dropDuplicates(["fp"]), "jaccard-texts")
 
 
@@ -246,7 +228,7 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
     # Each list's pivot first. Entries shared with the pivot are counted over all lists that it leads.
     star = lists.filter("fp <> pfp").groupBy(F.col("pfp").alias("a"), F.col("fp").alias("b"), "n", "l", "pn", "pl").agg(F.count("*").alias("shared"))
     star = C.materialize(star.filter((F.col("shared") >= F.least("l", "pl")) & _sizes_fit("n", "pn", percent)).select("a", "b"), "jaccard-star")
-    found = C.materialize(_verify(star, _texts(docs, info, lists, star), k, percent), "jaccard-links")
+    found = C.materialize(_verify(star, _texts(docs, info, star), k, percent), "jaccard-links")
     label = components(found)
     # What remains: lists that still hold several components, and pairs across components only.
     known = lists.join(label.select(F.col("node").alias("fp"), F.col("label").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
@@ -259,7 +241,7 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = C.materialize(across.filter("shared >= l").select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-across")
     if not across.isEmpty():
-        more = _verify(across, _texts(docs, info, lists, across), k, percent)
+        more = _verify(across, _texts(docs, info, across), k, percent)
         label = components(C.materialize(found.union(more), "jaccard-links"))
     of = info.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")).join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = C.materialize(of, "jaccard-names")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, packing, quality, rules, secrets, tokenids, warc
+from . import decontamination, jaccard, language, packing, quality, rules, secrets, suffix, tokenids, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_secrets": secrets.op5_secrets,
+    "op6_suffix_dedup": suffix.op6_suffix_dedup,
     "op7_language": language.op7_language,
     "op8_quality": quality.op8_quality,
     "op9_token_ids": tokenids.op9_token_ids,
