@@ -1 +1,173 @@
-"""Queries."""
+"""Queries: connectivity, similarity, matching, traversal."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import connectivity as N
+from . import fixtures as X
+from .oracle import sql
+from .registry import query, rounded
+
+
+def _few_edges(s, d):
+    return X.edges(s, d).filter("source <= 40")
+
+
+_E = "SELECT source, target, CAST(weight AS DOUBLE) AS w FROM edges WHERE source <= 40"
+_EDGES = """SELECT coalesce(p.connector_id, q.connector_id) AS connector_id, coalesce(CAST(p.neuron AS VARCHAR), '__OTHER__') AS source, coalesce(CAST(q.neuron AS VARCHAR), '__OTHER__') AS target, p.node_id AS source_node, q.node_id AS target_node
+FROM (SELECT * FROM connectors WHERE type = 'pre') p FULL JOIN (SELECT * FROM connectors WHERE type = 'post') q ON p.connector_id = q.connector_id"""
+
+
+@query("synapse_edges", sql("SELECT source, target, count(*) AS n, sum(source_node) AS a, sum(target_node) AS b FROM e GROUP BY 1, 2", "connectors", e=_EDGES))
+def _(s, d):
+    return N.synapse_edges(X.connectors(s, d)).groupBy("source", "target").agg(F.count("*").alias("n"), F.sum("source_node").alias("a"), F.sum("target_node").alias("b"))
+
+
+@query("adjacency", sql("SELECT source, target, count(*) AS weight FROM e GROUP BY 1, 2", "connectors", e=_EDGES))
+def _(s, d):
+    return N.adjacency(X.connectors(s, d))
+
+
+@query("adjacency_inner", sql("SELECT source, target, count(*) AS weight FROM e WHERE source <> '__OTHER__' AND target <> '__OTHER__' GROUP BY 1, 2", "connectors", e=_EDGES))
+def _(s, d):
+    return N.adjacency(X.connectors(s, d), include_other=False)
+
+
+for _m, _f in (("SUM", "sum"), ("AVERAGE", "avg"), ("MIN", "min"), ("MAX", "max")):
+
+    @query(f"group_matrix_{_m.lower()}", sql(f"""SELECT CASE WHEN source <= 20 THEN 'g' || source % 4 ELSE CAST(source AS VARCHAR) END AS source, 'h' || target % 10 AS target, {'round(avg(weight), 4)' if _f == 'avg' else f'CAST({_f}(weight) AS BIGINT)'} AS weight
+FROM edges GROUP BY 1, 2""", "edges"))
+    def _(s, d, m=_m):
+        e = X.edges(s, d)
+        rows = e.filter("source <= 20").select(F.col("source").alias("id"), F.concat(F.lit("g"), F.col("source") % 4).alias("group")).distinct()
+        cols = e.select(F.col("target").alias("id"), F.concat(F.lit("h"), F.col("target") % 10).alias("group")).distinct()
+        return rounded(N.group_matrix(e, rows, cols, m))
+
+
+_R = "pow(sum(w) / count(*), 2) / (sum(w * w) / count(*))"
+_W = "SELECT target, CAST(weight AS DOUBLE) AS w FROM edges"
+
+
+@query("sparseness_lts", sql(f"SELECT target, round((1 - {_R}) / (1 - 1.0 / count(*)), 6) + 0.0 AS sparseness FROM v GROUP BY 1 HAVING count(*) > 1", "edges", v=_W))
+def _(s, d):
+    return rounded(N.connectivity_sparseness(X.edges(s, d), "LTS"), 6)
+
+
+@query("sparseness_activity_ratio", sql(f"SELECT target, round({_R}, 6) AS sparseness FROM v GROUP BY 1", "edges", v=_W))
+def _(s, d):
+    return rounded(N.connectivity_sparseness(X.edges(s, d), "activity_ratio"), 6)
+
+
+@query("sparseness_ltk", sql("SELECT v.target, round(avg(pow((w - m) / sd, 4)) - 3, 6) + 0.0 AS sparseness FROM v JOIN (SELECT target, avg(w) AS m, stddev_pop(w) AS sd FROM v GROUP BY 1) q ON q.target = v.target WHERE sd > 0 GROUP BY 1", "edges", v=_W))
+def _(s, d):
+    return rounded(N.connectivity_sparseness(X.edges(s, d), "LTK"), 6)
+
+
+# dense: every pair over the union of both rows' targets, absent weights are 0
+_DENSE = dict(
+    e=_E,
+    pairs="SELECT DISTINCT a.source AS a, b.source AS b FROM e a JOIN e b ON a.target = b.target AND a.source < b.source",
+    u="SELECT DISTINCT p.a, p.b, t.target FROM pairs p JOIN e t ON t.source = p.a OR t.source = p.b",
+    x="SELECT u.a, u.b, coalesce(a.w, 0) AS wa, coalesce(b.w, 0) AS wb FROM u LEFT JOIN e a ON a.source = u.a AND a.target = u.target LEFT JOIN e b ON b.source = u.b AND b.target = u.target")
+_METRICS = {
+    "matching_index": "CAST(count(*) FILTER (wa > 0 AND wb > 0) AS DOUBLE) / count(*)",
+    "matching_index_synapses": "sum(CASE WHEN wa > 0 AND wb > 0 THEN wa + wb ELSE 0 END) / sum(wa + wb)",
+    "matching_index_weighted_synapses": "sum(CASE WHEN wb > 0 THEN wa ELSE 0 END) / sum(wa) * (sum(CASE WHEN wa > 0 THEN wb ELSE 0 END) / sum(wb))",
+    "cosine": "sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb))",
+    "vertex": "sum(least(wa, wb) - 0.5 * greatest(wa, wb) * exp(-least(wa, wb)))",
+    "vertex_normalized": "(sum(least(wa, wb) - 0.5 * greatest(wa, wb) * exp(-least(wa, wb))) - sum(-0.5 * greatest(wa, wb))) / (sum(greatest(wa, wb) - 0.5 * greatest(wa, wb) * exp(-greatest(wa, wb))) - sum(-0.5 * greatest(wa, wb)))",
+}
+for _m, _f in _METRICS.items():
+
+    @query(f"similarity_{_m}", sql(f"SELECT a, b, round({_f}, 6) + 0.0 AS similarity FROM x GROUP BY 1, 2", "edges", **_DENSE))
+    def _(s, d, m=_m):
+        return rounded(N.connectivity_similarity(_few_edges(s, d), m), 6)
+
+
+_SCORES = "SELECT a AS query, b AS target, round(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 6) AS score FROM x GROUP BY 1, 2"
+
+
+def _scores(s, d):
+    t = N.connectivity_similarity(_few_edges(s, d), "cosine")
+    return rounded(t.select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("similarity").alias("score")), 6)
+
+
+@query("top_n_matches", sql("SELECT query, target, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS rank FROM scores) WHERE rank <= 3", "edges", **_DENSE, scores=_SCORES))
+def _(s, d):
+    return N.top_n(_scores(s, d), 3)
+
+
+@query("matches_above", sql("SELECT * FROM scores WHERE score >= 0.1", "edges", **_DENSE, scores=_SCORES))
+def _(s, d):
+    return N.matches_above(_scores(s, d), 0.1)
+
+
+@query("matches_within", sql("""SELECT query, string_agg(CAST(target AS VARCHAR), ',' ORDER BY score DESC, target) AS matches, string_agg(format('{:.3f}', round(score, 3)), ',' ORDER BY score DESC, target) AS scores
+FROM (SELECT *, max(score) OVER (PARTITION BY query) AS m FROM scores) WHERE score >= m - abs(m * 0.2) GROUP BY 1""", "edges", **_DENSE, scores="SELECT query, target, round(score, 3) AS score FROM (" + _SCORES + ")"))
+def _(s, d):
+    return N.matches_within(rounded(_scores(s, d), 3), 0.2)
+
+
+@query("mutual_best", sql("""SELECT a.query, a.target, a.score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS r FROM scores) a JOIN (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, query) AS r FROM scores) b
+ON a.query = b.query AND a.target = b.target AND a.r = 1 AND b.r = 1""", "edges", **_DENSE, scores=_SCORES))
+def _(s, d):
+    return N.mutual_best(_scores(s, d))
+
+
+@query("bipartite_match")
+def _(s, d):
+    return N.bipartite_match(_scores(s, d), 0.01)
+
+
+@query("rank_index", sql("""SELECT p.a, p.b, round(CAST(p.m AS DOUBLE) / (x.n + y.n - p.m) * (1 - p.d / (p.m * greatest(x.n, y.n))), 6) AS similarity FROM
+(SELECT a.source AS a, b.source AS b, CAST(sum(abs(a.r - b.r)) AS DOUBLE) AS d, count(*) AS m FROM r a JOIN r b ON a.target = b.target AND a.source < b.source GROUP BY 1, 2) p JOIN n x ON x.source = p.a JOIN n y ON y.source = p.b""", "edges", e=_E,
+    r="SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY w DESC, target) AS r FROM e", n="SELECT source, count(*) AS n FROM e GROUP BY 1"))
+def _(s, d):
+    return rounded(N.rank_index(_few_edges(s, d)), 6)
+
+
+_NB = "SELECT neuron AS a, neuron + 1 AS b FROM (SELECT DISTINCT neuron FROM nodes) WHERE neuron < 10"
+
+
+def _neighbours(s, d):
+    return X.nodes(s, d).select(F.col("neuron").alias("a")).distinct().filter("a < 10").withColumn("b", F.col("a") + 1)
+
+
+@query("cable_overlap", sql("""SELECT a, b, round(sum(l), 3) AS overlap FROM (SELECT p.a, p.b, q.pid, min_by(t.length, (sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z)), t.pid)) AS l FROM pr p JOIN points q ON q.neuron = p.b JOIN points t ON t.neuron = p.a
+AND sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z)) < 150 GROUP BY 1, 2, 3) GROUP BY 1, 2""", "points", pr=_NB))
+def _(s, d):
+    return rounded(N.cable_overlap(X.points(s, d), _neighbours(s, d), 150.0), 3)
+
+
+_SD = "sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))"
+
+
+@query("synapse_similarity", sql("""SELECT t.a, t.b, round(coalesce(s.s, 0) / t.n, 6) AS similarity FROM (SELECT p.a, p.b, count(*) AS n FROM pr p JOIN c ON c.neuron = p.a GROUP BY 1, 2) t
+LEFT JOIN (SELECT m.a, m.b, sum(exp(-abs(x.n - y.n) / CAST(x.n + y.n AS DOUBLE)) * exp(-m.d * m.d / (2 * 200.0 * 200.0))) AS s FROM m JOIN n x ON x.sid = m.sid JOIN n y ON y.sid = m.tid GROUP BY 1, 2) s ON s.a = t.a AND s.b = t.b""", "connectors", pr=_NB,
+    c="SELECT *, neuron * 100000 + node_id AS sid FROM connectors WHERE neuron <= 10",
+    n=f"SELECT p.sid, count(*) AS n FROM c p JOIN c q ON p.neuron = q.neuron AND p.type = q.type AND {_SD} <= 300 GROUP BY 1",
+    m=f"SELECT pr.a, pr.b, p.sid, min({_SD}) AS d, min_by(q.sid, ({_SD}, q.sid)) AS tid FROM pr JOIN c p ON p.neuron = pr.a JOIN c q ON q.neuron = pr.b AND q.type = p.type GROUP BY 1, 2, 3"))
+def _(s, d):
+    c = X.connectors(s, d).filter("neuron <= 10").withColumn("sid", F.col("neuron") * 100000 + F.col("node_id"))
+    return rounded(N.synapse_similarity(c, _neighbours(s, d), 200.0, 300.0), 6)
+
+
+@query("traversal", sql("SELECT node, min(step) AS step FROM (SELECT 1 AS node, 1 AS step UNION ALL SELECT target, 2 FROM e WHERE src = 1 UNION ALL SELECT y.target, 3 FROM e x JOIN e y ON y.src = x.target WHERE x.src = 1 UNION ALL SELECT z.target, 4 FROM e x JOIN e y ON y.src = x.target JOIN e z ON z.src = y.target WHERE x.src = 1) GROUP BY 1", "edges",
+    e="SELECT source AS src, target % 100 AS target FROM edges WHERE weight >= 2 AND source <= 100"))
+def _(s, d):
+    e = X.edges(s, d).filter("weight >= 2 AND source <= 100").withColumn("target", F.col("target") % 100)
+    t = N.traverse(e, s.range(1, 2).withColumnRenamed("id", "node"), 4, min_w=0, max_w=2)
+    return t.select("node", "step")
+
+
+@query("bayesian_traversal", sql("""SELECT node, step, round(cmf, 6) AS cmf FROM (SELECT 1 AS node, CAST(1 AS DOUBLE) AS cmf, 1 AS step UNION ALL SELECT node, cmf, 2 FROM s2 UNION ALL SELECT node, cmf, 3 FROM s3)""", "edges",
+    e="SELECT source AS src, target % 100 + 1000 * CAST(target % 7 > 0 AS INT) AS target, least(1.0, sum(weight) / 8.0) AS p FROM edges WHERE source <= 100 GROUP BY 1, 2",
+    s1="SELECT 1 AS node, CAST(1 AS DOUBLE) AS cmf",
+    g2="SELECT target, 1 - exp(sum(CASE WHEN p * cmf >= 1 THEN -1e9 ELSE ln(1 - p * cmf) END)) AS g FROM s1 JOIN e ON e.src = s1.node GROUP BY 1",
+    s2="SELECT coalesce(node, target) AS node, greatest(coalesce(cmf, 0), coalesce(g, 0)) AS cmf FROM s1 FULL JOIN g2 ON node = target",
+    g3="SELECT target, 1 - exp(sum(CASE WHEN p * cmf >= 1 THEN -1e9 ELSE ln(1 - p * cmf) END)) AS g FROM s2 JOIN e ON e.src = s2.node GROUP BY 1",
+    s3="SELECT coalesce(node, target) AS node, greatest(coalesce(cmf, 0), coalesce(g, 0)) AS cmf FROM s2 FULL JOIN g3 ON node = target"))
+def _(s, d):
+    e = X.edges(s, d).filter("source <= 100").groupBy("source", (F.col("target") % 100 + 1000 * (F.col("target") % 7 > 0).cast("int")).alias("target")).agg(F.sum("weight").alias("weight"))
+    return rounded(N.bayesian_traverse(e, s.range(1, 2).withColumnRenamed("id", "node"), 3, min_w=0, max_w=8), 6)
