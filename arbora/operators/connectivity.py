@@ -138,7 +138,7 @@ def synapse_similarity(connectors: DataFrame, pairs: DataFrame, sigma: float, om
 
     nA, nB: synapses of the type within ``omega`` of the synapse and of its partner. A type that b lacks scores 0.
     """
-    c = connectors.select("neuron", "type", "x", "y", "z", F.monotonically_increasing_id().alias("sid")) if "sid" not in connectors.columns else connectors
+    c = connectors.withColumn("sid", F.xxhash64("neuron", "connector_id", "node_id", "type")) if "sid" not in connectors.columns else connectors
     a = c.select(F.col("neuron"), "type", "sid", "x", "y", "z")
     b = c.select(F.col("neuron"), "type", F.col("sid").alias("tid"), *(F.col(k).alias(f"t{k}") for k in "xyz"))
     d = F.sqrt(sum((F.col(k) - F.col(f"t{k}")) * (F.col(k) - F.col(f"t{k}")) for k in "xyz"))
