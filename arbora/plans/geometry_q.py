@@ -178,9 +178,17 @@ def _(s, d):
     return _co(G.rescale(X.nodes(s, d), 1.5))
 
 
-@query("rotate", sql("SELECT n.neuron, n.node_id, " + _XYZ.replace("8", "6").format("c.x - (n.y - c.y)", "c.y + (n.x - c.x)", "n.z") + " FROM nodes n JOIN (SELECT neuron, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM nodes GROUP BY 1) c ON c.neuron = n.neuron", "nodes"))
+def _thousandths(df, *columns):
+    """Thousandths, cut off at a place where no exact half lies."""
+    return df.withColumns({c: F.floor(F.col(c) * 1000 + 0.31415) for c in columns})
+
+
+_K = "CAST(floor(({}) * 1000 + 0.31415) AS BIGINT)"
+
+
+@query("rotate", sql(f"SELECT n.neuron, n.node_id, {_K.format('c.x - (n.y - c.y)')} AS x, {_K.format('c.y + (n.x - c.x)')} AS y, {_K.format('n.z')} AS z FROM nodes n JOIN (SELECT neuron, avg(x) AS x, avg(y) AS y FROM nodes GROUP BY 1) c ON c.neuron = n.neuron", "nodes"))
 def _(s, d):
-    return _co(G.rotate(X.nodes(s, d), [[0, -1, 0], [1, 0, 0], [0, 0, 1]]), 6)
+    return _thousandths(G.rotate(X.nodes(s, d), [[0, -1, 0], [1, 0, 0], [0, 0, 1]]).select("neuron", "node_id", "x", "y", "z"), "x", "y", "z")
 
 
 @query("translate", sql("SELECT neuron, node_id, " + _XYZ.format("x + 1", "y - 2", "z + 3") + " FROM nodes", "nodes"))
@@ -256,10 +264,10 @@ def _(s, d):
     return rounded(G.sample_cable(X.nodes(s, d), 100.0).select("neuron", "node_id", "sample", "t", "x"), 4)
 
 
-@query("resample_along_axis", sql("""SELECT neuron, node_id, plane, round(x + (px - x) * (plane * 70.0 - z) / (pz - z), 2) + 0.0 AS x FROM (SELECT *, unnest(range(CAST(ceil(least(z, pz) / 70) AS BIGINT), CAST(floor(greatest(z, pz) / 70) AS BIGINT) + 1)) AS plane FROM tree WHERE parent_id >= 0 AND z <> pz)
+@query("resample_along_axis", sql("""SELECT neuron, node_id, plane, CAST(floor((x + (px - x) * (plane * 70.0 - z) / (pz - z)) * 1000 + 0.31415) AS BIGINT) AS x FROM (SELECT *, unnest(range(CAST(ceil(least(z, pz) / 70) AS BIGINT), CAST(floor(greatest(z, pz) / 70) AS BIGINT) + 1)) AS plane FROM tree WHERE parent_id >= 0 AND z <> pz)
 WHERE (plane * 70.0 - z) / (pz - z) > 0 AND (plane * 70.0 - z) / (pz - z) < 1""", "tree"))
 def _(s, d):
-    return rounded(G.resample_along_axis(X.nodes(s, d), 70.0).select("neuron", "node_id", "plane", "x"), 2)
+    return _thousandths(G.resample_along_axis(X.nodes(s, d), 70.0).select("neuron", "node_id", "plane", "x"), "x")
 
 
 @query("estimate_spacing", sql(f"SELECT neuron, round(median(d), 5) AS spacing FROM (SELECT q.neuron, q.pid, min({_D}) AS d FROM points q JOIN points t ON t.neuron = q.neuron AND t.pid <> q.pid GROUP BY 1, 2) GROUP BY 1", "points"))
