@@ -195,10 +195,28 @@ def _collections(chunks: int, length: int):
     return run
 
 
+def _recurring(column, length: int) -> np.ndarray:
+    """Strings with a window whose hash occurs twice in the collection; no other can hold a repeated window."""
+    size = pc.binary_length(column).to_numpy().astype(np.int64)
+    h = _grams(np.frombuffer(b"".join(column.to_pylist()), np.uint8))
+    count, begin = size - length + 1, size.cumsum() - size
+    at = C.ragged(begin, count)
+    w = np.zeros(len(at), np.uint64)
+    for i in [*range(0, length - GRAM, GRAM), length - GRAM]:
+        w = C.mix64(w * _ODD[0] + h[at + i])
+    order = np.argsort(w)
+    same = w[order][1:] == w[order][:-1]
+    twice = np.zeros(len(w), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return np.logical_or.reduceat(twice, count.cumsum() - count)
+
+
 def _later(length: int):
     """One collection -> its windows that equal an earlier one, as spans."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.filter(pa.array(_recurring(table["bytes"], length)))
         last, doc, th, start, n = (table[c].to_numpy() for c in ("last", "doc_id", "th", "start", "n"))
         size = pc.binary_length(table["bytes"]).to_numpy().astype(np.int64)
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
