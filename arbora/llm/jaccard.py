@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -209,6 +209,45 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _exact_prefixes(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the sets ``rest`` (fp, n, c).
+
+    Shingles are ordered by their exact frequency among these sets, so that what a set has for itself fills its prefix
+    first and meets nobody. Of a pair the smaller set is looked up by a shorter prefix (its partner is no smaller, so more
+    must be shared); the place of the last shared shingle bounds the overlap that is still possible.
+    """
+    import zstandard
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, shingle = zstandard.ZstdDecompressor(), Shingler(k)
+        for big in batches:
+            for b in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
+                sets = [shingle(unpack.decompress(x).decode()) for x in b["packed"].to_pylist()]
+                size = np.array([len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(b["fp"].to_numpy(), size))], names=["token", "fp"])
+
+    tokens = texts.select("fp", "packed").mapInArrow(emit, "token long, fp long").repartition("token")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = tokens.join(often, "token").join(rest, "fp")
+    w = Window.partitionBy("fp")
+    t = shared.withColumn("place", F.row_number().over(w.orderBy("often", "token")) - 1 + F.col("n") - F.count("*").over(w))
+    need, more = F.ceil(F.col("n") * percent / 100), F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    t = t.withColumns({"free": (F.col("n") - need).cast("int"), "free_small": (F.col("n") - more).cast("int")}).filter(F.col("place") < F.col("free") + LONGEST)
+    # each set picks its l by the entries its prefix would meet
+    for m in range(1, LONGEST + 1):
+        t = t.withColumn(f"cost{m}", F.sum(F.when(F.col("place") < F.col("free") + m, F.col("often") - 1).otherwise(0)).over(w) * (1 + VERIFY / m))
+    costs = [F.struct(F.when(F.lit(m) <= F.col("n") - F.col("free"), F.col(f"cost{m}")).otherwise(F.lit(1e300)).alias("cost"), F.lit(m).alias("l")) for m in range(1, LONGEST + 1)]
+    t = t.withColumn("l", F.least(*costs)["l"])
+    t = t.filter(F.col("place") < F.col("free") + F.col("l")).select("token", "fp", "n", "c", "l", "place", (F.col("place") < F.col("free_small") + F.col("l")).alias("small"))
+    t = C.materialize(t, "jaccard-prefixes")
+    x = t.filter("small").select("token", *(F.col(n).alias(n + "x") for n in ("fp", "n", "l", "c", "place")))
+    y = t.select("token", *(F.col(n).alias(n + "y") for n in ("fp", "n", "l", "c", "place")))
+    pairs = x.join(y, "token").filter((F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("fpx") < F.col("fpy"))) & _sizes_fit("nx", "ny", percent))
+    got = pairs.groupBy("fpx", "fpy", "nx", "ny").agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("l"), F.max("placex").alias("px"), F.max("placey").alias("py"))
+    most = F.col("shared") + F.least(F.col("nx") - 1 - F.col("px"), F.col("ny") - 1 - F.col("py"))
+    return got.filter((F.col("shared") >= F.col("l")) & (most * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))).select(F.col("fpx").alias("a"), F.col("fpy").alias("b"))
+
+
 def _sizes_fit(n: str, m: str, percent: int):
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
@@ -230,18 +269,14 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
     star = C.materialize(star.filter((F.col("shared") >= F.least("l", "pl")) & _sizes_fit("n", "pn", percent)).select("a", "b"), "jaccard-star")
     found = C.materialize(_verify(star, _texts(docs, info, star), k, percent), "jaccard-links")
     label = components(found)
-    # What remains: lists that still hold several components, and pairs across components only.
+    # What remains: sets in lists that still hold several components. They are joined anew, by exact frequencies.
     known = lists.join(label.select(F.col("node").alias("fp"), F.col("label").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    open_ = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token", F.col("lo").alias("main"))
-    rest = C.materialize(known.join(open_, "token").select("token", "fp", "n", "l", "c", "main"), "jaccard-rest")
-    x = rest.filter("c <> main").select("token", *(F.col(n).alias(n + "x") for n in ("fp", "n", "l", "c")))
-    y = rest.select("token", "main", *(F.col(n).alias(n + "y") for n in ("fp", "n", "l", "c")))
-    across = x.join(y, "token").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("fpx") < F.col("fpy"))) & _sizes_fit("nx", "ny", percent))
-    across = across.groupBy(F.least("fpx", "fpy").alias("a"), F.greatest("fpx", "fpy").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("l"))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = C.materialize(across.filter("shared >= l").select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-across")
-    if not across.isEmpty():
-        more = _verify(across, _texts(docs, info, across), k, percent)
+    open_ = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+    rest = C.materialize(known.join(open_, "token", "left_semi").select("fp", "n", "c").distinct(), "jaccard-rest")
+    if not rest.isEmpty():
+        texts = _texts(docs, info, rest.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+        across = C.materialize(_exact_prefixes(rest, texts, k, percent), "jaccard-across")
+        more = _verify(across, texts, k, percent)
         label = components(C.materialize(found.union(more), "jaccard-links"))
     of = info.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")).join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = C.materialize(of, "jaccard-names")
