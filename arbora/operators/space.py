@@ -484,3 +484,18 @@ def in_volume(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataF
     hit = F.when(n[0] != 0, F.col("ax") - (n[1] * (F.col("y") - F.col("ay")) + n[2] * (F.col("z") - F.col("az"))) / n[0])
     crossed = q.join(t, (q["__cy"] == t["gy"]) & (q["__cz"] == t["gz"])).filter(within & (hit > F.col("x"))).groupBy(*XYZ).agg(F.count("*").alias("__n"))
     return points.join(crossed, list(XYZ), "left").withColumn("inside", F.coalesce(F.col("__n"), F.lit(0)) % 2 == 1).select(*points.columns, "inside")
+
+
+def nearest_all(xyz: np.ndarray, group: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each usable point the nearest usable point of another group, and its distance (-1 and inf: none); in blocks."""
+    n = len(xyz)
+    best, dist = np.full(n, -1), np.full(n, np.inf)
+    at = np.flatnonzero(usable)
+    for i in range(0, len(at), 512):
+        rows = at[i : i + 512]
+        d = np.sqrt(((xyz[rows, None] - xyz[None, at]) ** 2).sum(axis=2))
+        d[group[rows, None] == group[None, at]] = np.inf
+        j = d.argmin(axis=1)
+        dist[rows] = d[np.arange(len(rows)), j]
+        best[rows] = np.where(np.isfinite(dist[rows]), at[j], -1)
+    return best, dist

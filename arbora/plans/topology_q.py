@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import topology as T
 from . import fixtures as X
+from .morphometry_q import _strahler_sql
 from .oracle import sql
 from .registry import query, rounded
 
@@ -235,6 +236,6 @@ def _(s, d):
     return T.propagate_labels(n, n.filter("node_id % 50 = 1").select("neuron", "node_id", F.col("label")), max_iter=200)
 
 
-@query("prune_by_strahler", None)
+@query("prune_by_strahler", _strahler_sql().replace("SELECT neuron, node_id, si AS strahler_index FROM s23", "SELECT neuron, node_id, parent_id FROM s23 WHERE si <> 1"))
 def _(s, d):
     return _links(T.prune_by_strahler(X.nodes(s, d), [1]))
