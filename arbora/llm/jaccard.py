@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -119,6 +119,8 @@ def prefix(s: np.ndarray, counts: np.ndarray, floor: float, percent: int, longes
 
 #: What a verification costs, in list entries.
 VERIFY = 8.0
+#: Lists up to this size are paired as they are; the pairs grow in proportion to the entries.
+SHORT = 12
 
 
 def _postings(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -209,37 +211,66 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _exact_prefixes(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components among the sets ``rest`` (fp, n, c).
+def _second_join(rest: DataFrame, texts: DataFrame, k: int, percent: int, sketch: int = 1 << 23) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the sets ``rest`` (fp, c) with their packed ``texts``.
 
-    Shingles are ordered by their exact frequency among these sets, so that what a set has for itself fills its prefix
+    These sets are few, so a table of their own counts shingles nearly exactly: what a set has for itself fills its prefix
     first and meets nobody. Of a pair the smaller set is looked up by a shorter prefix (its partner is no smaller, so more
     must be shared); the place of the last shared shingle bounds the overlap that is still possible.
     """
+    import zlib
+
     import zstandard
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches, extra=()):
         unpack, shingle = zstandard.ZstdDecompressor(), Shingler(k)
-        for big in batches:
-            for b in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
-                sets = [shingle(unpack.decompress(x).decode()) for x in b["packed"].to_pylist()]
-                size = np.array([len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(b["fp"].to_numpy(), size))], names=["token", "fp"])
-
-    tokens = texts.select("fp", "packed").mapInArrow(emit, "token long, fp long").repartition("token")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = tokens.join(often, "token").join(rest, "fp")
-    w = Window.partitionBy("fp")
-    t = shared.withColumn("place", F.row_number().over(w.orderBy("often", "token")) - 1 + F.col("n") - F.count("*").over(w))
-    need, more = F.ceil(F.col("n") * percent / 100), F.ceil(F.col("n") * 2 * percent / (100 + percent))
-    t = t.withColumns({"free": (F.col("n") - need).cast("int"), "free_small": (F.col("n") - more).cast("int")}).filter(F.col("place") < F.col("free") + LONGEST)
-    # each set picks its l by the entries its prefix would meet
-    for m in range(1, LONGEST + 1):
-        t = t.withColumn(f"cost{m}", F.sum(F.when(F.col("place") < F.col("free") + m, F.col("often") - 1).otherwise(0)).over(w) * (1 + VERIFY / m))
-    costs = [F.struct(F.when(F.lit(m) <= F.col("n") - F.col("free"), F.col(f"cost{m}")).otherwise(F.lit(1e300)).alias("cost"), F.lit(m).alias("l")) for m in range(1, LONGEST + 1)]
-    t = t.withColumn("l", F.least(*costs)["l"])
-    t = t.filter(F.col("place") < F.col("free") + F.col("l")).select("token", "fp", "n", "c", "l", "place", (F.col("place") < F.col("free_small") + F.col("l")).alias("small"))
-    t = C.materialize(t, "jaccard-prefixes")
+        for b in batches:
+            for row in zip(b["packed"].to_pylist(), *(b[n].to_pylist() for n in extra)):
+                yield shingle(unpack.decompress(row[0]).decode()), *row[1:]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sketch, np.uint16)
+        for (s,) in sets(batches):
+            at = (s & np.uint64(sketch - 1)).astype(np.int64)
+            total[at] += total[at] < 60_000
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(SLICES, -1)], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b["slice"].to_pylist(), b["counts"].to_pylist()):
+                totals[i] = totals.get(i, 0) + np.frombuffer(zlib.decompress(x), np.uint16).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in totals.values()], pa.binary())], names=["slice", "counts"])
+
+    counts = np.zeros((SLICES, sketch // SLICES), np.uint16)
+    own = texts.join(rest.select("fp", "c"), "fp")
+    for r in own.select("packed").mapInArrow(count, "slice int, counts binary").repartition(F.col("slice")).mapInArrow(add, "slice int, counts binary").collect():
+        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint16)
+    table = rest.sparkSession.sparkContext.broadcast(counts.ravel())
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "fp", "n", "l", "c", "place", "small"]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+        cols: list[list] = [[] for _ in names]
+        for s, fp, c in sets(batches, ("fp", "c")):
+            n = len(s)
+            need, more = -(-n * percent // 100), -(-2 * n * percent // (100 + percent))
+            often = table.value[(s & np.uint64(sketch - 1)).astype(np.int64)].astype(np.int64)
+            order = np.lexsort((s, often))[: n - need + min(LONGEST, need)]
+            meets = (often[order] - 1).cumsum()
+            costs = [meets[n - need + m - 1] * (1 + VERIFY / m) for m in range(1, min(LONGEST, need) + 1)]
+            m = 1 + int(np.argmin(costs))
+            place = np.flatnonzero(often[order[: n - need + m]] > 1)  # shingles of one set alone meet nobody
+            for col, x in zip(cols, (s[order[place]].view(np.int64), np.full(len(place), fp), np.full(len(place), n), np.full(len(place), m), np.full(len(place), c), place, place < n - more + m)):
+                col.append(x)
+            if len(cols[0]) >= 512:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(cols, types)], names=names)
+                cols = [[] for _ in names]
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(cols, types)], names=names)
+
+    t = C.materialize(own.select("packed", "fp", "c").mapInArrow(emit, "token long, fp long, n int, l int, c long, place int, small boolean"), "jaccard-prefixes")
     x = t.filter("small").select("token", *(F.col(n).alias(n + "x") for n in ("fp", "n", "l", "c", "place")))
     y = t.select("token", *(F.col(n).alias(n + "y") for n in ("fp", "n", "l", "c", "place")))
     pairs = x.join(y, "token").filter((F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("fpx") < F.col("fpy"))) & _sizes_fit("nx", "ny", percent))
@@ -269,14 +300,21 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
     star = C.materialize(star.filter((F.col("shared") >= F.least("l", "pl")) & _sizes_fit("n", "pn", percent)).select("a", "b"), "jaccard-star")
     found = C.materialize(_verify(star, _texts(docs, info, star), k, percent), "jaccard-links")
     label = components(found)
-    # What remains: sets in lists that still hold several components. They are joined anew, by exact frequencies.
+    # What remains: lists that still hold several components. Short ones give pairs; the sets of long ones meet again.
     known = lists.join(label.select(F.col("node").alias("fp"), F.col("label").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    open_ = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
-    rest = C.materialize(known.join(open_, "token", "left_semi").select("fp", "n", "c").distinct(), "jaccard-rest")
-    if not rest.isEmpty():
-        texts = _texts(docs, info, rest.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-        across = C.materialize(_exact_prefixes(rest, texts, k, percent), "jaccard-across")
-        more = _verify(across, texts, k, percent)
+    open_ = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("token", "size")
+    rest = C.materialize(known.join(open_, "token").select("token", "fp", "n", "l", "c", "size"), "jaccard-rest")
+    many = C.materialize(rest.filter(F.col("size") > SHORT).select("fp", "c").distinct(), "jaccard-many")
+    few = rest.filter(F.col("size") <= SHORT).join(many.select("fp", F.lit(True).alias("many")), "fp", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    x, y = (few.select("token", *(F.col(n).alias(n + side) for n in ("fp", "n", "l", "c", "many"))) for side in "xy")
+    near = x.join(y, "token").filter((F.col("fpx") < F.col("fpy")) & (F.col("cx") != F.col("cy")) & ~(F.col("manyx") & F.col("manyy")) & _sizes_fit("nx", "ny", percent))
+    near = near.groupBy(F.col("fpx").alias("a"), F.col("fpy").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("l")).filter("shared >= l").select("a", "b")
+    across = C.materialize(near, "jaccard-near")
+    if not many.isEmpty():
+        texts = _texts(docs, info, many.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+        across = C.materialize(across.union(_second_join(many, texts, k, percent)), "jaccard-across")
+    if not across.isEmpty():
+        more = _verify(across, _texts(docs, info, across), k, percent)
         label = components(C.materialize(found.union(more), "jaccard-links"))
     of = info.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")).join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = C.materialize(of, "jaccard-names")
