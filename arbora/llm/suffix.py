@@ -23,7 +23,10 @@ from . import common as C
 
 GRAM, RUN = 32, 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_LAST = 1 << 62
+#: Stands for a null id: such documents come last.
+NULL_ID = (1 << 63) - 1
+#: A string's start, number of windows and two flags in one long: fewer columns to sort and move.
+_START, _N = 30, 2
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -85,16 +88,16 @@ def strings(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
     return doc[run], at - begin[doc[run]], n, key[run], digest, np.logical_or.reduceat(tie, run)
 
 
-_ROWS = "known boolean, inner boolean, key long, digest long, last long, doc_id long, th long, start int, n int"
+_ROWS = "key long, digest long, doc_id long, th long, place long"
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
     """Strings of all texts; what is a copy within a task's batch is known at once and only reported."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, "text", 6 << 20):
-            last, ids, th = (b[n].to_numpy(zero_copy_only=False) for n in ("last", "id", "th"))
-            order = np.lexsort((th, ids, last))
+        for b in C.slices(batches, "text", 1 << 19):  # arrays that fit the processor's caches
+            ids, th = (b[n].to_numpy(zero_copy_only=False) for n in ("id", "th"))
+            order = np.lexsort((th, ids))
             raw = [x.encode() for x in b["text"].take(pa.array(order)).to_pylist()]
             doc, start, n, key, digest, inner = strings(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64), length)
             if not len(doc):
@@ -106,7 +109,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
             key, digest = key.view(np.int64).copy(), digest.view(np.int64)
             row = order[doc]
             lead = first[inverse.reshape(-1)]
-            twin = known & (ids[row] == ids[order[doc[lead]]]) & (last[row] == last[order[doc[lead]]]) & (th[row] == th[order[doc[lead]]]) & (start == start[lead])
+            twin = known & (ids[row] == ids[order[doc[lead]]]) & (th[row] == th[order[doc[lead]]]) & (start == start[lead])
             keep = ~twin
             # neighbouring known strings are one report
             join = np.zeros(len(doc), bool)
@@ -117,12 +120,13 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
             row, is_known = row[head], known[head]
             key = np.where(is_known, C.mix64(start[head].astype(np.uint64) + th[row].view(np.uint64)).view(np.int64), key[head])
             digest = np.where(is_known, key, digest[head])
-            yield pa.RecordBatch.from_arrays([pa.array(is_known), pa.array(inner[head]), pa.array(key), pa.array(digest), pa.array(last[row]), pa.array(ids[row]), pa.array(th[row]), pa.array(start[head].astype(np.int32)), pa.array(total.astype(np.int32))], names=[x.split()[0] for x in _ROWS.split(", ")])
+            place = (start[head] << _START) | (total << _N) | (is_known.astype(np.int64) << 1) | inner[head]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, digest, ids[row], th[row], place)], names=[x.split()[0] for x in _ROWS.split(", ")])
 
     return docs.mapInArrow(run, _ROWS)
 
 
-_SETTLED = "removed boolean, key long, last long, doc_id long, th long, start int, n int"
+_SETTLED = "removed boolean, key long, doc_id long, th long, start int, n int"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +137,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        known, inner, key, digest = (b[n].to_numpy(zero_copy_only=False) for n in ("known", "inner", "key", "digest"))
-        rows = np.column_stack([b[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("key", "last", "doc_id", "th", "start", "n")])
+        key, digest, place = (b[n].to_numpy() for n in ("key", "digest", "place"))
+        known, inner = place & 2 > 0, place & 1 > 0
+        rows = np.column_stack([key, b["doc_id"].to_numpy(), b["th"].to_numpy(), place >> _START, (place >> _N) & ((1 << (_START - _N)) - 1)])
         new = np.ones(len(rows), bool)
         new[1:] = key[1:] != key[:-1]
         new[0] = before is None or key[0] != before[0]
@@ -155,17 +160,17 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = True
         removed = known | copy
         picked = np.flatnonzero(removed | need)
-        got = np.concatenate([np.array(extra, np.int64).reshape(-1, 6), rows[picked]])
+        got = np.concatenate([np.array(extra, np.int64).reshape(-1, 5), rows[picked]])
         flag = np.concatenate([np.zeros(len(extra), bool), removed[picked]])
         if len(got):
-            yield pa.RecordBatch.from_arrays([pa.array(flag), *(pa.array(got[:, i]) for i in range(4)), *(pa.array(got[:, i].astype(np.int32)) for i in (4, 5))], names=[x.split()[0] for x in _SETTLED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(flag), *(pa.array(got[:, i]) for i in range(3)), *(pa.array(got[:, i].astype(np.int32)) for i in (3, 4))], names=[x.split()[0] for x in _SETTLED.split(", ")])
         before = int(key[-1]), int(digest[-1])
         if at[-1] >= 0:
             pivot, out = rows[at[-1]].copy(), bool(need[at[-1]])
 
 
-_PIECES = "key long, chunk long, last long, doc_id long, th long, start int, n int, bytes binary"
-_SPANS = "last long, doc_id long, th long, start int, n int"
+_PIECES = "key long, chunk long, doc_id long, th long, start int, n int, bytes binary"
+_SPANS = "doc_id long, th long, start int, n int"
 
 
 def _collections(chunks: int, length: int):
@@ -178,18 +183,18 @@ def _collections(chunks: int, length: int):
         for big in batches:
             for b in (big.slice(i, 64) for i in range(0, big.num_rows, 64)):
                 rows = []
-                for last, doc, th, packed, found in zip(*(b[n].to_pylist() for n in ("last", "doc_id", "th", "packed", "found"))):
+                for doc, th, packed, found in zip(*(b[n].to_pylist() for n in ("doc_id", "th", "packed", "found"))):
                     text = unpack.decompress(packed)
                     for s in found:
                         key, start, n = s["key"], s["start"], s["n"]
                         if not s["hot"]:
-                            rows.append((key, key % chunks, last, doc, th, start, n, text[start : start + n + length - 1]))
+                            rows.append((key, key % chunks, doc, th, start, n, text[start : start + n + length - 1]))
                             continue
                         for i in range(start, start + n):  # a key of very many strings: by single windows
                             w = text[i : i + length]
-                            rows.append((key, int.from_bytes(hashlib.blake2b(w, digest_size=7).digest()) % chunks, last, doc, th, i, 1, w))
+                            rows.append((key, int.from_bytes(hashlib.blake2b(w, digest_size=7).digest()) % chunks, doc, th, i, 1, w))
                 if rows:
-                    types = (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.binary())
+                    types = (pa.int64(),) * 4 + (pa.int32(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
     return run
@@ -217,7 +222,7 @@ def _later(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.filter(pa.array(_recurring(table["bytes"], length)))
-        last, doc, th, start, n = (table[c].to_numpy() for c in ("last", "doc_id", "th", "start", "n"))
+        doc, th, start = (table[c].to_numpy() for c in ("doc_id", "th", "start"))
         size = pc.binary_length(table["bytes"]).to_numpy().astype(np.int64)
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
         owner, depth, common = bwt.build(data, size.cumsum() - size, size)
@@ -225,12 +230,12 @@ def _later(length: int):
         full = np.flatnonzero(depth >= length)
         owner, group = owner[full], group[full]
         at = start[owner] + size[owner] - depth[full]
-        order = np.lexsort((at, th[owner], doc[owner], last[owner], group))
+        order = np.lexsort((at, th[owner], doc[owner], group))
         owner, group, at = owner[order], group[order], at[order]
         first = np.ones(len(group), bool)
         first[1:] = group[1:] != group[:-1]
         lead = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
-        same = (last[owner] == last[owner[lead]]) & (doc[owner] == doc[owner[lead]]) & (th[owner] == th[owner[lead]]) & (at == at[lead])
+        same = (doc[owner] == doc[owner[lead]]) & (th[owner] == th[owner[lead]]) & (at == at[lead])
         w = np.flatnonzero(~same)
         w = w[np.lexsort((at[w], owner[w]))]
         o, a = owner[w], at[w]
@@ -238,7 +243,7 @@ def _later(length: int):
         head[1:] = (o[1:] != o[:-1]) | (a[1:] != a[:-1] + 1)
         h = np.flatnonzero(head)
         run_ = np.diff(np.append(h, len(w)))
-        return pa.table({"last": last[o[h]], "doc_id": doc[o[h]], "th": th[o[h]], "start": pa.array(a[h].astype(np.int32)), "n": pa.array(run_.astype(np.int32))})
+        return pa.table({"doc_id": doc[o[h]], "th": th[o[h]], "start": pa.array(a[h].astype(np.int32)), "n": pa.array(run_.astype(np.int32))})
 
     return run
 
@@ -252,7 +257,7 @@ def _remainder(length: int):
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for last, doc, th, packed, found in zip(*(b[n].to_pylist() for n in ("last", "doc_id", "th", "packed", "found"))):
+            for doc, th, packed, found in zip(*(b[n].to_pylist() for n in ("doc_id", "th", "packed", "found"))):
                 text = np.frombuffer(unpack.decompress(packed), np.uint8)
                 mark = np.zeros(len(text) + 1, np.int64)
                 start = np.array([s["start"] for s in found])
@@ -260,10 +265,10 @@ def _remainder(length: int):
                 np.add.at(mark, start + np.array([s["n"] for s in found]) + length - 1, -1)
                 gone = mark.cumsum()[:-1] > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((last, doc, th, int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
+                rows.append((doc, th, int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
             if rows:
-                types = (pa.int64(),) * 5 + (pa.string(),)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["last", "doc_id", "th", "removed", "spans", "sha"])
+                types = (pa.int64(),) * 4 + (pa.string(),)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "th", "removed", "spans", "sha"])
 
     return run
 
@@ -279,17 +284,16 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
     if not 64 <= length <= 190:
         raise ValueError("length from 64 to 190")
     docs = C.keyed(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text"))
-    # Null ids get a mark of their own, so that all keys below are plain numbers.
-    docs = docs.withColumn("last", F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long")).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long")))
-    cut = _cut(docs.filter(F.octet_length("text") >= length).select("last", "id", "th", "text"), length)
-    order = ("key", "digest", "last", "doc_id", "th", "start")
+    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    cut = _cut(docs.filter(F.octet_length("text") >= length).select("id", "th", "text"), length)
+    order = ("key", "digest", "doc_id", "th", "place")
     settled = C.materialize(cut.repartition("key").sortWithinPartitions(*order).mapInArrow(_settle, _SETTLED), "suffix-settled")
-    need = settled.filter("NOT removed").select("key", "last", "doc_id", "th", "start", "n").distinct()
+    need = settled.filter("NOT removed").select("key", "doc_id", "th", "start", "n").distinct()
     many = need.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("key", F.lit(True).alias("hot"))
     need = need.join(many, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_doc = C.materialize(need.groupBy("last", "doc_id", "th").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("found")), "suffix-need")
-    place = ["last", "doc_id", "th"]
-    base = docs.select("last", F.col("id").alias("doc_id"), "th", "text")
+    by_doc = C.materialize(need.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("found")), "suffix-need")
+    place = ["doc_id", "th"]
+    base = docs.select(F.col("id").alias("doc_id"), "th", "text")
     total = by_doc.agg(F.coalesce(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda a, s: a + F.when(s["hot"], s["n"] * length).otherwise(s["n"] + length))), F.lit(0))).first()[0]
     spans = settled.filter("removed").select(*place, "start", "n")
     if total:
@@ -298,11 +302,11 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
         pieces = texts.mapInArrow(_collections(chunks, length), _PIECES)
         spans = spans.union(pieces.groupBy("chunk").applyInArrow(_later(length), _SPANS))
     removed = C.materialize(spans.groupBy(*place).agg(F.collect_list(F.struct("start", "n")).alias("found")), "suffix-spans")
-    changed = C.packed_texts(base, removed, place).join(removed, place).mapInArrow(_remainder(length), "last long, doc_id long, th long, removed long, spans long, sha string")
+    changed = C.packed_texts(base, removed, place).join(removed, place).mapInArrow(_remainder(length), "doc_id long, th long, removed long, spans long, sha string")
     changed = changed.dropDuplicates(place)
-    whole = docs.select("last", F.col("id").alias("doc_id"), "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
+    whole = docs.select(F.col("id").alias("doc_id"), "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     out = whole.join(changed, place, "left")
-    return out.select(F.when(F.col("last") == 0, F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
