@@ -49,10 +49,6 @@ def statistics(text: str, hashes: C.WordHashes) -> tuple[tuple[int, int, int, in
     return (n, chars, symbols, dups, repeat), features
 
 
-def base_failed(n: int, repeat: int) -> bool:
-    return n < 50 or 100 * repeat > 50 * n
-
-
 def labelled(docs: DataFrame, labels: DataFrame, rows: int, held_out: int, folds: int) -> DataFrame:
     """At most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id.
 

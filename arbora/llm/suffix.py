@@ -132,7 +132,7 @@ _SETTLED = "removed boolean, key long, doc_id long, th long, start int, n int"
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted strings -> places of later copies (removed), and the first places of strings that share a key
     or may repeat within themselves."""
-    before = pivot = None  # (key, digest) of the last row; first row of the open key
+    before = pivot = None  # (key, digest, doc_id, th, start) of the last row; first row of the open key
     out = True
     for b in batches:
         if not b.num_rows:
@@ -146,6 +146,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copy = np.zeros(len(rows), bool)
         copy[1:] = ~new[1:] & (digest[1:] == digest[:-1])
         copy[0] = not new[0] and digest[0] == before[1]
+        # a repeated row (same document, same place) is no copy of itself: it is passed over
+        again = np.zeros(len(rows), bool)
+        again[1:] = copy[1:] & (rows[1:, 1:4] == rows[:-1, 1:4]).all(axis=1)
+        again[0] = copy[0] and tuple(rows[0, 1:4].tolist()) == before[2:]
         first = ~copy & ~known
         # a key's first string is needed once another one follows
         at = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
@@ -158,13 +162,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = [pivot] if (heads < 0).any() and not out else []
         if (heads < 0).any():
             out = True
-        removed = known | copy
+        removed = (known | copy) & ~again
         picked = np.flatnonzero(removed | need)
         got = np.concatenate([np.array(extra, np.int64).reshape(-1, 5), rows[picked]])
         flag = np.concatenate([np.zeros(len(extra), bool), removed[picked]])
         if len(got):
             yield pa.RecordBatch.from_arrays([pa.array(flag), *(pa.array(got[:, i]) for i in range(3)), *(pa.array(got[:, i].astype(np.int32)) for i in (3, 4))], names=[x.split()[0] for x in _SETTLED.split(", ")])
-        before = int(key[-1]), int(digest[-1])
+        before = int(key[-1]), int(digest[-1]), *rows[-1, 1:4].tolist()
         if at[-1] >= 0:
             pivot, out = rows[at[-1]].copy(), bool(need[at[-1]])
 

@@ -222,7 +222,8 @@ def brute_dedup(rows, length=100):
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_suffix(spark, hot):
     rows = DOCS + near_copies() + [(200, "ab" * 150), (201, "zz" + PROSE * 2), (202, "q" * 99)]
-    got = [tuple(r) for r in suffix.dedup(table(spark, rows), hot=hot, chunk_bytes=5000).collect()]
+    rows += [rows[0], (8, "x " * 3000)]  # repeated rows, far from the first ones
+    got = [tuple(r) for r in suffix.dedup(table(spark, rows).repartition(7), hot=hot, chunk_bytes=5000).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_dedup(rows)))
     assert suffix.dedup(table(spark, [])).count() == 0
 
