@@ -1,8 +1,9 @@
 """Packing (10): documents into windows of tokens by lexical retrieval.
 
 Each shard (a bounded run of documents within a task) gets a BM25 inverted index over token ids. A seed document
-opens a window; its unused neighbours by BM25 score fill the rest, those that fit whole first; what is still free
-takes the start of the best neighbour, whose rest opens the next window. So every window but a task's last is full;
+opens a window; all its unused neighbours by BM25 score over all its terms fill the rest, best first, those that fit
+whole first; what is still free takes the start of the best neighbour, whose rest opens the next window. The next seed
+is only taken when no neighbour is left. So every window but a task's last is full;
 the last is cut into windows whose sizes are powers of two, which need no padding.
 """
 
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 
 from . import common as C
 
+#: Ranked neighbours that are looked at together.
+RUN = 256
+
 
 class Bm25:
-    """Inverted index of one shard; queries are a document's best terms."""
+    """Inverted index of one shard; a query is all terms of a document."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: int = 16, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, k1: float = 1.2, b: float = 0.75):
         n = len(sizes)
         width = int(ids.max()) + 1 if len(ids) else 1
         key, tf = np.unique(np.repeat(np.arange(n), sizes) * width + ids, return_counts=True)
@@ -30,19 +34,24 @@ class Bm25:
         df = np.bincount(term, minlength=width)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / max(sizes.mean(), 1)))
-        order = np.argsort(term, kind="stable")
-        self.n, self.doc, self.weight = n, doc[order], weight[order]
-        self.df, self.at = df, np.concatenate([[0], df.cumsum()])
         shared = df[term] > 1
-        d, t, w = doc[shared], term[shared], weight[shared]
-        best = np.lexsort((-w, d))
-        d, t = d[best], t[best]
-        rank = np.arange(len(d)) - np.searchsorted(d, d)
-        self.query, first = t[rank < terms], d[rank < terms]
-        self.own = np.searchsorted(first, np.arange(n + 1))
-
-    def neighbours(self, doc: int, used: np.ndarray, most: int = 16) -> np.ndarray:
-        """Unused documents that share terms with ``doc``, best first."""
+        doc, term, weight = doc[shared], term[shared], weight[shared]
+        self.query, self.own = term, np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(term, kind="stable")
+        self.n, self.width, self.left = n, width, n
+        self._post(doc[order], term[order], weight[order])
+
+    def _post(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.doc, self.term, self.weight = doc, term, weight
+        self.df = np.bincount(term, minlength=self.width)
+        self.at = np.concatenate([[0], self.df.cumsum()])
+
+    def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
+        """All unused documents that share terms with ``doc``, best first."""
+        left = self.n - np.count_nonzero(used)
+        if left * 4 < self.left * 3:  # entries of used documents go, a quarter of the documents at a time
+            self.left, keep = left, ~used[self.doc]
+            self._post(self.doc[keep], self.term[keep], self.weight[keep])
         t = self.query[self.own[doc] : self.own[doc + 1]]
         at = C.ragged(self.at[t], self.df[t])
         if not len(at):
@@ -50,9 +59,7 @@ class Bm25:
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         score[used] = 0
         found = np.flatnonzero(score)
-        if len(found) > most:
-            found = found[np.argpartition(-score[found], most - 1)[:most]]
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 class Packer:
@@ -85,7 +92,8 @@ class Packer:
         n = len(sizes)
         ends = sizes.cumsum()
         of = [ids[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
-        index, used, length = Bm25(ids, sizes), np.zeros(n, bool), sizes.tolist()
+        index = Bm25(np.delete(ids, ends - 1), sizes - 1)  # the end id that all documents share is no term
+        used, length = np.zeros(n, bool), sizes.tolist()
         at, seed, start = 0, None, 0
         while True:
             if seed is None:
@@ -100,22 +108,30 @@ class Packer:
             near, seed = seed, None
             if self.room == self.size:
                 continue
-            rest = None
-            for x in index.neighbours(near, used).tolist():
-                if length[x] <= self.room:
-                    used[x] = True
-                    self._put(doc_ids[x], of[x], 0)
-                    if self.room == self.size:
-                        rest = None
-                        break
-                elif rest is None:
-                    rest = x
+            rest = self._fill(doc_ids, of, sizes, used, index.neighbours(near, used))
             if rest is not None:
                 used[rest] = True
                 seed, start = rest, 0
         # what is open goes on with the next shard, without holding on to this one's ids
         self.open = [(d, s, x.copy(), t) for d, s, x, t in self.open]
 
+    def _fill(self, doc_ids: list, of: list, sizes: np.ndarray, used: np.ndarray, near: np.ndarray) -> int | None:
+        """Places all of ``near`` that fit whole, best first, until the window is full; the best one that did not fit, if room is left."""
+        rest = None
+        for i in range(0, len(near), RUN):
+            part = near[i : i + RUN]
+            if rest is not None:  # room only shrinks
+                part = part[sizes[part] <= self.room]
+            for x in part.tolist():
+                if len(of[x]) <= self.room:
+                    used[x] = True
+                    self._put(doc_ids[x], of[x], 0)
+                    if self.room == self.size:
+                        return None
+                elif rest is None:
+                    rest = x
+        return rest
+
     def finish(self) -> None:
         """Cuts the open window into sizes that are powers of two."""
         pieces, left = self.open, self.size - self.room

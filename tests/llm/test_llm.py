@@ -315,6 +315,65 @@ def test_packing(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def brute_windows(docs, size, k1=1.2, b=0.75):
+    """Lists of documents in the order in which they are placed; the last token of each is the end id, no term."""
+    bags = [{t: d[:-1].count(t) for t in d[:-1]} for d in docs]
+    mean, n = max(sum(len(d) - 1 for d in docs) / len(docs), 1), len(docs)
+    df = {t: sum(t in x for x in bags) for x in bags for t in x}
+
+    def score(q, d):
+        norm = k1 * (1 - b + b * (len(docs[d]) - 1) / mean)
+        return sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * bags[d][t] * (k1 + 1) / (bags[d][t] + norm) for t in bags[q] if t in bags[d])
+
+    out, free, room, seed = [], list(range(n)), size, None
+    while free or seed is not None:
+        if seed is None:
+            seed = free.pop(0)
+        out.append(seed)
+        left = len(docs[seed])
+        while left:
+            step = min(left, room)
+            left, room = left - step, room - step or size
+        near, seed, rest = sorted((d for d in free if score(seed, d) > 0), key=lambda d: (-score(seed, d), d)), None, None
+        for d in near if room < size else ():
+            if len(docs[d]) <= room:
+                free.remove(d)
+                out.append(d)
+                room = room - len(docs[d]) or size
+                if room == size:
+                    rest = None
+                    break
+            elif rest is None:
+                rest = d
+        if rest is not None:
+            free.remove(rest)
+            seed = rest
+    return out
+
+
+def test_packing_fills_windows_with_all_neighbours():
+    rng = np.random.default_rng(4)
+    # topics take turns in the input; 300 short documents, of which far more than 16 go into a window; some long ones
+    docs = [[*(int(x) for x in rng.integers(10 + 1000 * (i % 3), 200 + 1000 * (i % 3), rng.integers(20, 60) if i % 29 or i % 3 == 0 else 700)), 1] for i in range(300)]
+    p = packing.Packer(2048, 0)
+    p.add(list(range(300)), np.array(sum(docs, []), np.uint32), np.array([len(d) for d in docs]))
+    p.finish()
+    assert list(dict.fromkeys(x[0] for x in p.out)) == brute_windows(docs, 2048)
+    first = [x[0] for x in p.out if x[5] == 0]
+    assert len(first) > 17 and {d % 3 for d in first} == {0}
+
+
+def test_packing_scores_all_terms_but_the_end_id():
+    # 40 terms shared with copies of single terms: the weakest term still finds its document
+    docs = [[*range(10, 50), 1], [500, 1], *([t, t, 1] for t in range(10, 50))]
+    ids, sizes = np.array(sum(docs, []), np.uint32), np.array([len(d) for d in docs])
+    p = packing.Packer(2048, 0)
+    p.add(list(range(42)), ids, sizes)
+    p.finish()
+    assert [x[0] for x in p.out][-1] == 1 and {x[0] for x in p.out} == set(range(42))
+    assert list(dict.fromkeys(x[0] for x in p.out)) == brute_windows(docs, 2048)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
