@@ -72,7 +72,7 @@ def _(s, d):
 
 @query("nblast_smart", None)
 def _(s, d):
-    return rounded(S.nblast_smart(_points(s, d), _points(s, d), _SC, t=50), 6)
+    return rounded(S.nblast_smart(X.points(s, d), X.points(s, d), _SC, t=50), 6)
 
 
 @query("nblast_knn", sql("""SELECT query, target, round(score, 6) AS score, rank FROM (SELECT c.query, c.target, (a.score + b.score) / 2 AS score, row_number() OVER (PARTITION BY c.query ORDER BY (a.score + b.score) / 2 DESC, c.target) AS rank
@@ -116,7 +116,7 @@ def _(s, d):
 
 @query("clusters", None)
 def _(s, d):
-    return S.clusters(S.nblast(_points(s, d), _points(s, d), _SC, "mean"), 3)
+    return S.clusters(S.nblast(X.points(s, d), X.points(s, d), _SC, "mean"), 3)
 
 
 @query("scores_to_distance", _nblast_sql("SELECT query, target, round((SELECT max(score) FROM f) - score, 6) + 0.0 AS score FROM f"))
