@@ -291,6 +291,11 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
     Null and wordless texts have no shingles and link with nothing: their component is their own id. Repeated rows
     stay, null ids count in no minimum, extra columns are left out, an empty table gives an empty result.
     """
+    return _grouped(df, k, percent, id_col, text_col, sketch).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, sketch: int = 1 << 19) -> DataFrame:
+    """The rows of ``links`` with the hash of the text (th) and the name of the group (label; null without words)."""
     docs = C.keyed(df, id_col, text_col)
     table = _describe(docs, k, sketch)
     info = table.filter("slice IS NULL")
@@ -320,19 +325,29 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
     of = C.materialize(of, "jaccard-names")
     linked = of.filter("label <> fp").select("label").distinct()  # most sets are alone: only the others meet again
     group = of.join(linked, "label", "left_semi").groupBy("label").agg(F.min("first").alias("component_id"))
-    of = of.join(group, "label", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    out = info.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = of.join(group, "label", "left").select("fp", "label", F.coalesce("component_id", "first").alias("component_id"))
+    out = info.select("doc_id", F.col("n").alias("n_shingles"), "fp", "th").join(of, "fp", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "th", "label")
 
 
 def deduplicate(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that lead their group: those with the smallest id of their component.
 
-    Rows without words belong to no group and stay, as do rows with null ids. Rows that repeat the leading id stay.
+    Rows without words belong to no group and stay, as do rows with null ids. A decision holds for an id and a text, so
+    an id may lead with one text and go with another. Where several rows of a group have its smallest id, the one with
+    the smallest hash of the text stays, then of all columns.
     """
-    own = links(df, k=k, percent=percent, id_col=id_col, text_col=text_col)
-    drop = own.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return df.join(drop, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+    own = C.materialize(_grouped(df, k, percent, id_col, text_col), "jaccard-rows")
+    key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
+    leads = own.filter("label IS NOT NULL AND doc_id = component_id")
+    several = leads.groupBy("label").agg(F.min("th").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    again = C.materialize(leads.join(several, "label").select(*key, (F.col("th") == F.col("least")).alias("__stays")).distinct(), "jaccard-again")
+    gone = own.filter("doc_id <> component_id").select(*key).distinct()
+    on = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
+    if again.isEmpty():
+        return df.join(gone, on, "left_anti")
+    once = df.join(again.filter("__stays").select("__id", "__th"), on).groupBy("__id", "__th").agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("__row")).select("__row.*")
+    return df.join(gone.union(again.select("__id", "__th")), on, "left_anti").unionByName(once)
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -132,6 +132,22 @@ def test_jaccard_empty(spark):
     assert 1 in kept and 2 not in kept and {4, 5, 6, 9, None} <= kept
 
 
+def test_jaccard_decides_by_row(spark):
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    a, z = text("a"), text("z")
+    rows = [(1, a), (1, a), (1, a), (2, a + " more"), (2, text("b")), (5, text("x")), (5, text("y")), (7, z), (7, z + " more"), (8, z), (9, ""), (9, ""), (9, None), (None, a)]
+    df = spark.createDataFrame([(t, i, k) for k, (i, t) in enumerate(rows)], "text string, doc_id long, fp int")
+    out = jaccard.deduplicate(df)
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == df.columns
+    assert [t for i, t in kept if i == 1] == [a]  # one of three equal rows
+    assert [t for i, t in kept if i == 2] == [text("b")]  # the copy goes, the other text of that id stays
+    assert [t for i, t in kept if i == 5] == [text("x"), text("y")]  # leads two groups
+    assert len([t for i, t in kept if i == 7]) == 1 and not [t for i, t in kept if i == 8]  # one row of the group
+    assert sum(i == 9 for i, _ in kept) == 3 and (None, a) in kept
+    assert kept == sorted(((r.doc_id, r.text) for r in jaccard.deduplicate(df.repartition(5)).collect()), key=str)
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(0)
     items = [(i, " ".join(f"b{x}" for x in rng.integers(0, 10**5, n))) for i, n in enumerate((3, 12, 30, 55))] + [(None, "a b c"), (9, None), (10, "")]
