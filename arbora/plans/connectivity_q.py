@@ -88,8 +88,8 @@ for _m, _f in _METRICS.items():
 _SCORES = "SELECT a AS query, b AS target, round(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 6) AS score FROM x GROUP BY 1, 2"
 
 
-def _scores(s, d):
-    t = N.connectivity_similarity(_few_edges(s, d), "cosine")
+def _scores(s, d, edges=_few_edges):
+    t = N.connectivity_similarity(edges(s, d), "cosine")
     return rounded(t.select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("similarity").alias("score")), 6)
 
 
@@ -117,7 +117,7 @@ def _(s, d):
 
 @query("bipartite_match")
 def _(s, d):
-    return N.bipartite_match(_scores(s, d), 0.01)
+    return N.bipartite_match(_scores(s, d, X.edges), 0.01)
 
 
 @query("rank_index", sql("""SELECT p.a, p.b, round(CAST(p.m AS DOUBLE) / (x.n + y.n - p.m) * (1 - p.d / (p.m * greatest(x.n, y.n))), 6) AS similarity FROM

@@ -1,5 +1,7 @@
 """Queries without SQL take whole tables: no neuron, point or edge is left out."""
 
+import itertools
+import math
 import os
 from collections import Counter
 
@@ -19,8 +21,8 @@ def ids(df, column="neuron"):
 
 @pytest.fixture
 def orders(spark, tmp_path):
-    """Folder with a small lineitem of 30 neurons of 70 nodes and 60 suppliers, each with three parts of its own and three of a pair's."""
-    rows = [(64 * n + i // 2, i, s, 6 * (s // 2 * 2) + (6 + i % 3 if i % 2 else 3 * (s % 2) + i % 3), float(1000 * n + 37 * i), 1.0 + i % 9) for n in range(30) for i in range(70) for s in [1 + (n * 70 + i) % 60]]
+    """Folder with a small lineitem of 30 neurons of 70 nodes and 60 suppliers, each with a part of its own and three that it shares with one partner."""
+    rows = [(64 * n + i // 2, i, s, 10 * ((s + 1) // 2) + n % 3 if n % 2 else 400 + s, float(1000 * n + 37 * i), 1.0 + i % 9) for n in range(30) for i in range(70) for s in [1 + (n * 70 + i) % 60]]
     t = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double, l_quantity double")
     t.selectExpr("*", "0.0D AS l_discount", "0.0D AS l_tax", "DATE'2000-01-01' AS l_shipdate", "'A' AS l_returnflag", "'O' AS l_linestatus").coalesce(2).write.parquet(f"{tmp_path}/lineitem.parquet")
     return str(tmp_path)
@@ -55,3 +57,16 @@ def test_nblast_smart_and_clusters_take_all_points(spark, orders):
     mean = spark.createDataFrame([(q, t, (v + want[t, q]) / 2) for (q, t), v in want.items()], "query long, target long, score double")
     same = lambda rows: Counter(frozenset(r.neuron for r in rows if r.cluster == k) for k in range(3))
     assert same(c) == same(S.clusters(mean, 3).collect())
+
+
+def test_bipartite_match_takes_all_sources(spark, orders):
+    w = {}
+    for r in X.edges(spark, orders).collect():
+        w.setdefault(r.source, {})[r.target] = r.weight
+    norm = {a: math.sqrt(sum(x * x for x in v.values())) for a, v in w.items()}
+    score = {(a, b): sum(w[a][t] * w[b][t] for t in w[a].keys() & w[b].keys()) / norm[a] / norm[b] for a, b in itertools.combinations(sorted(w), 2) if w[a].keys() & w[b].keys()}
+    assert len(w) == 60 and score
+    got = {(r.query, r.target): r.score for r in QUERIES["bipartite_match"](spark, orders).collect()}
+    assert all(abs(v - score[k]) < 2e-6 for k, v in got.items())
+    # the fixture's sources share targets with one partner each, so every pair is a match
+    assert got.keys() == score.keys()
