@@ -211,8 +211,12 @@ def _(s, d):
 _COARSE = "SELECT neuron, i // 8 AS i, j // 16 AS j, k // 8 AS k, sum(value) AS value FROM voxels WHERE neuron < 20 GROUP BY 1, 2, 3, 4"
 
 
+def _all_coarse(s, d):
+    return X.voxels(s, d).groupBy("neuron", *(F.floor(F.col(c) / n).alias(c) for c, n in (("i", 8), ("j", 16), ("k", 8)))).agg(F.sum("value").alias("value"))
+
+
 def _coarse(s, d):
-    return X.voxels(s, d).filter("neuron < 20").groupBy("neuron", *(F.floor(F.col(c) / n).alias(c) for c, n in (("i", 8), ("j", 16), ("k", 8)))).agg(F.sum("value").alias("value"))
+    return _all_coarse(s, d).filter("neuron < 20")
 
 
 for _name, _op in (("surface_voxels", "<"), ("inner_voxels", "=")):
@@ -248,7 +252,7 @@ for _name, _op in (("voxel_union", "UNION"), ("voxel_intersection", "INTERSECT")
 
 @query("voxel_components", None)
 def _(s, d):
-    return G.voxel_components(_coarse(s, d), 26)
+    return G.voxel_components(_all_coarse(s, d), 26)
 
 
 # --- samples -------------------------------------------------------------------------------------------------------

@@ -70,3 +70,7 @@ def test_bipartite_match_takes_all_sources(spark, orders):
     assert all(abs(v - score[k]) < 2e-6 for k, v in got.items())
     # the fixture's sources share targets with one partner each, so every pair is a match
     assert got.keys() == score.keys()
+
+
+def test_voxel_components_take_all_neurons(spark, orders):
+    assert ids(QUERIES["voxel_components"](spark, orders)) == set(range(30))
