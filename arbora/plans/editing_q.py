@@ -50,7 +50,7 @@ def _(s, d):
 
 @query("average_skeletons")
 def _(s, d):
-    return rounded(E.average(X.nodes(s, d).filter("neuron < 5"), 1, 300.0).select("node_id", "x", "y", "z"))
+    return rounded(E.average(X.nodes(s, d), 1, 300.0).select("node_id", "x", "y", "z"))
 
 
 @query("split_axon_dendrite")

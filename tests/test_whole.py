@@ -74,3 +74,16 @@ def test_bipartite_match_takes_all_sources(spark, orders):
 
 def test_voxel_components_take_all_neurons(spark, orders):
     assert ids(QUERIES["voxel_components"](spark, orders)) == set(range(30))
+
+
+def test_average_skeletons_take_all_neurons(spark, orders):
+    by = {}
+    for r in X.nodes(spark, orders).collect():
+        by.setdefault(r.neuron, {})[r.node_id] = (r.x, r.y, r.z)
+    want = {}
+    for node, p in by[1].items():
+        near = [min((math.dist(p, q), i, q) for i, q in o.items()) for k, o in by.items() if k != 1]
+        met = [p, *(q for d, _, q in near if d < 300)]
+        want[node] = tuple(sum(c) / 30 for c in zip(*met)) if len(met) == 30 else p
+    got = {r.node_id: (r.x, r.y, r.z) for r in QUERIES["average_skeletons"](spark, orders).collect()}
+    assert got.keys() == want.keys() and all(math.dist(got[k], want[k]) < 1e-3 for k in want)
