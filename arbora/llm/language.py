@@ -22,25 +22,37 @@ from . import common as C
 #: A word begins with this mark, as in the vocabulary file.
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are scored in runs of this many letters, so that probabilities stay in range.
+#: Longer words are scored with scaled probabilities, as plain ones would leave the range of doubles.
 RUN = 40
+#: Positions of words (their longest length times their number) that are scored together.
+CELLS = 800_000
 
 
-def vocabulary(path: str | None = None, longest: int = 8) -> list[str]:
-    """Pieces of a sentencepiece file that consist of letters and the mark, up to ``longest`` characters."""
+def vocabulary(path: str | None = None, longest: int | None = None) -> list[str]:
+    """Pieces of a sentencepiece file that consist of letters and the mark, up to ``longest`` characters if given."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or C.tokenizer_path("piece_bpe_32k.model"))
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-    return sorted(p for p in pieces if p and len(p) <= longest and all(c.isalpha() or c == MARK for c in p) and MARK not in p[1:])
+    return sorted(p for p in pieces if p and (longest is None or len(p) <= longest) and all(c.isalpha() or c == MARK for c in p) and MARK not in p[1:])
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased; long ones in runs of ``RUN``."""
-    found = _WORD.findall(text.lower())
-    if any(len(w) > RUN for w in found):
-        found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
-    return found
+    """Runs of letters, lower-cased."""
+    return _WORD.findall(text.lower())
+
+
+def batches_of(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of like length, so that no batch has more than about ``CELLS`` positions (one word at least)."""
+    size = np.array([len(w) + 1 for w in words])
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        ends = size[order[at : at + 20_000]]
+        n = max(1, int(np.searchsorted(ends * np.arange(1, len(ends) + 1), CELLS, "right")))
+        n = min(n, max(1, int(np.searchsorted(ends, RUN + 1, "right")))) if ends[0] <= RUN + 1 else n
+        yield order[at : at + n]
+        at += n
 
 
 _P = np.uint64(0x100000001B3)
@@ -49,8 +61,8 @@ _P = np.uint64(0x100000001B3)
 class Pieces:
     """Looks up all substrings of many words at once, through hashes of their code points."""
 
-    def __init__(self, pieces: list[str], longest: int = 8):
-        self.pieces, self.longest = pieces, longest
+    def __init__(self, pieces: list[str], longest: int | None = None):
+        self.pieces, self.longest = pieces, longest or max(map(len, pieces), default=1)
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.number = keys[order], order
@@ -102,30 +114,54 @@ class Pieces:
         return w[order], s[order], e[order], p[order], int(size.max())
 
 
-def forward(edges, n_words: int, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]: probability of the first ``position`` characters, over all segmentations."""
+def forward(edges, n_words: int, prob: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """alpha[word, position, language]: probability of the first ``position`` characters, over all segmentations.
+
+    With words over ``RUN`` letters, alpha is to be multiplied by the exponential of the second table.
+    """
     w, s, e, p, longest = edges
     alpha = np.zeros((n_words, longest + 1, prob.shape[1]))
     alpha[:, 0] = 1
+    log = np.zeros_like(alpha) if longest > RUN + 1 else None
     cut = np.searchsorted(e, np.arange(1, longest + 2))
     for j in range(1, longest + 1):
         a, b = cut[j - 1], cut[j]
         if a < b:
             np.add.at(alpha, (w[a:b], j), alpha[w[a:b], s[a:b]] * prob[p[a:b]])
-    return alpha
+        if log is not None:
+            _scale(alpha, log, j, max(0, j - reach + 1), j + 1, 1)
+    return alpha, log
 
 
-def backward(edges, n_words: int, ends: np.ndarray, prob: np.ndarray) -> np.ndarray:
+def backward(edges, n_words: int, ends: np.ndarray, prob: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray | None]:
     w, s, e, p, longest = edges
     beta = np.zeros((n_words, longest + 1, prob.shape[1]))
     beta[np.arange(n_words), ends] = 1
+    log = np.zeros_like(beta) if longest > RUN + 1 else None
     order = np.argsort(-s, kind="stable")
     w, s, e, p = w[order], s[order], e[order], p[order]
     cut = np.searchsorted(-s, -np.arange(longest, -2, -1), "left")
     for j, (a, b) in zip(range(longest, -1, -1), zip(cut, cut[1:])):
         if a < b:
             np.add.at(beta, (w[a:b], j), beta[w[a:b], e[a:b]] * prob[p[a:b]])
-    return beta
+        if log is not None:
+            _scale(beta, log, j, j, j + reach, -1)
+    return beta, log
+
+
+def _scale(table: np.ndarray, log: np.ndarray, j: int, first: int, end: int, step: int) -> None:
+    """Every eighth position: what later positions reach back to is divided by its largest value, word by word.
+
+    The next position, still empty, takes over the logarithm, and so on.
+    """
+    ahead = j + step
+    if j % 8 == 0:
+        top = table[:, first:end].max(axis=1, keepdims=True)
+        top[top == 0] = 1  # nothing there: past the word's end
+        table[:, first:end] /= top
+        log[:, first:end] += np.log(top)
+    if 0 <= ahead < table.shape[1]:
+        log[:, ahead] = log[:, j]
 
 
 @dataclass
@@ -158,10 +194,13 @@ class _Scorer(dict):
         return n
 
     def _learn(self):
-        for i in range(0, len(self.new), 20_000):
-            part = self.new[i : i + 20_000]
-            alpha = forward(self.look.edges(part), len(part), self.m.prob)
-            self.rows.append(np.log(np.maximum(alpha[np.arange(len(part)), [len(w) + 1 for w in part]], 1e-300)))
+        rows = np.zeros((len(self.new), len(self.m.langs)))
+        for at in batches_of(self.new):
+            part = [self.new[i] for i in at]
+            alpha, log = forward(self.look.edges(part), len(part), self.m.prob, self.look.longest)
+            ends = np.array([len(w) + 1 for w in part])
+            rows[at] = np.log(np.maximum(alpha[np.arange(len(part)), ends], 1e-300)) + (0 if log is None else log[np.arange(len(part)), ends])
+        self.rows.append(rows)
         self.new = []
         if len(self.rows) > 1:
             self.rows = [np.concatenate(self.rows)]
@@ -191,9 +230,9 @@ class _Scorer(dict):
         return lang, score
 
 
-def fit(texts: dict[str, list[str]], pieces: list[str], *, rounds: int = 3, smooth: float = 0.05, longest: int = 8) -> Model:
+def fit(texts: dict[str, list[str]], pieces: list[str], *, rounds: int = 3, smooth: float = 0.05, longest: int | None = None) -> Model:
     """Expectation maximisation over all segmentations of each language's words."""
-    langs = sorted(texts)
+    langs, longest = sorted(texts), longest or max(map(len, pieces), default=1)
     if not langs:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0), longest)
     counts = Counter()
@@ -209,14 +248,17 @@ def fit(texts: dict[str, list[str]], pieces: list[str], *, rounds: int = 3, smoo
     prob = np.full((k, len(langs)), 1.0 / k)
     for _ in range(rounds):
         got = np.zeros((k, len(langs)))
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for at in batches_of(words):
+            part = [words[i] for i in at]
             edges, ends = look.edges(part), np.array([len(w) + 1 for w in part])
-            alpha = forward(edges, len(part), prob)
-            beta = backward(edges, len(part), ends, prob)
+            alpha, la = forward(edges, len(part), prob, longest)
+            beta, lb = backward(edges, len(part), ends, prob, longest)
             w, s, e, p, _ = edges
             whole = np.maximum(alpha[np.arange(len(part)), ends], 1e-300)
-            np.add.at(got, p, alpha[w, s] * prob[p] * beta[w, e] / whole[w] * seen[i : i + len(part)][w])
+            share = alpha[w, s] * prob[p] * beta[w, e] / whole[w]
+            if la is not None:
+                share *= np.exp(la[w, s] + lb[w, e] - la[w, ends[w]])
+            np.add.at(got, p, share * seen[at][w])
         prob = got + smooth
         prob /= prob.sum(axis=0)
     prior = np.array([len(texts[x]) + 1.0 for x in langs])

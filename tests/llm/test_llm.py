@@ -275,6 +275,28 @@ def test_language():
         assert np.allclose(s.rows[0][s[w]], brute(w)) if w in s else True
 
 
+def test_language_sums_over_all_pieces_and_whole_words(monkeypatch):
+    assert max(map(len, language.vocabulary())) == 16
+    long = "donaudampfschifffahrtsgesellschaftskapitän" * 30
+    texts = {"en": ["international understanding of the government"] * 5, "de": ["geschwindigkeit und verantwortung der regierung " + long] * 5}
+    m = language.fit(texts, language.vocabulary())
+    s = m.scorer()
+    words = ["international", "understanding", "verantwortung", "x" * 500, long, "und" * 40]
+    s.texts([" ".join(words)])
+    at = {p: i for i, p in enumerate(m.pieces)}
+    for w in words:
+        t, a = language.MARK + w, [np.zeros(len(m.langs))]
+        for j in range(1, len(t) + 1):
+            steps = [a[i] + np.log(m.prob[at.get(t[i:j], -1)]) for i in range(j) if t[i:j] in at or j - i == 1]
+            a.append(np.logaddexp.reduce(steps, axis=0))
+        assert np.allclose(s.rows[0][s[w]], a[-1], rtol=1e-9), w
+    monkeypatch.setattr(language, "RUN", 10**6)  # scaled and plain sums agree where plain ones are in range
+    short = {"en": ["the house " + "ab" * 25], "de": ["das haus"]}
+    plain = language.fit(short, language.vocabulary()).prob
+    monkeypatch.setattr(language, "RUN", 4)
+    assert np.allclose(plain, language.fit(short, language.vocabulary()).prob, rtol=1e-9)
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "text", None), (2, None, None)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df, language.train(df)).collect()}
