@@ -44,7 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts the lineage durably."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``materialize`` that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):
@@ -121,6 +131,47 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8) + 32 * np.isin(np.arange(256), range(65, 91)).astype(np.uint8)
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words in order, number of words of each text); A-Z count as a-z, ASCII white space cuts."""
+    raw = [t.encode() for t in texts]
+    data = _LOWER[np.frombuffer(b" ".join(raw) + b" " * 9, np.uint8)]
+    blank = _SPACE[data]
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    start = edge[::2]
+    size = edge[1::2] - start
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    h = size.astype(np.uint64) * _ROT[0]
+    live, off = np.arange(len(start)), 0
+    while len(live):  # eight bytes of every word that is that long
+        part = np.ascontiguousarray(eight[start[live] + off]).view("<u8").ravel() & _HEAD[np.minimum(size[live] - off, 8)]
+        h[live] = mix64(h[live] ^ part) * _ROT[1]
+        off += 8
+        live = live[size[live] > off]
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    return h, np.bincount(np.searchsorted(ends, start, "right"), minlength=len(raw)).astype(np.int64)
+
+
+def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """The sorted distinct ``k``-word shingle hashes of each text; with fewer words the whole sequence is the one shingle."""
+    h, n = word_hashes(texts)
+    end = n.cumsum()
+    whole = shingle_hashes(h, k)
+    out = []
+    for a, b in zip((end - n).tolist(), end.tolist()):
+        if b - a >= k:
+            out.append(np.unique(whole[a : b - k + 1]))
+        elif a == b:
+            out.append(np.empty(0, np.uint64))
+        else:  # its length tells it from longer texts' shingles
+            out.append(mix64(shingle_hashes(h[a:b], b - a) + np.uint64(b - a)))
+    return out
+
+
 #: Fixed value: the split of the tokenizer definition that the fast path below knows.
 _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: That split written out for lower-cased Latin-1 text (letters, numbers, white space of Latin-1).

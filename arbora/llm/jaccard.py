@@ -6,6 +6,15 @@ the set, t: the overlap a partner needs at least). Each document picks its own l
 entries but asks for more shared ones before a pair is verified, and the estimated cost decides. A pair is a candidate
 when it shares min(l, l') prefix shingles; candidates are verified exactly.
 
+The order needs frequencies, and those are counted exactly, by shuffles and without a table of fixed size:
+
+1. Of each set the smallest hashes (its region) are counted over all sets. A set with a partner must have a certain
+   number of hashes there that other sets have in theirs, too; most sets have not and leave.
+2. The remaining sets' whole shingles are counted. Frequencies go back to the sets, which then know their prefixes.
+
+Hashes travel packed: sorted runs of a bucket of hash values from a run of documents. They are cut to 32 bits within
+the bucket; two that fall together only add candidates.
+
 Links are only needed up to connectivity. Candidates go first through each list's pivot (a star, linear in the list's
 length); what is then in one component needs no more work, and the remaining lists give pairs across components only.
 """
@@ -13,33 +22,25 @@ length); what is then in one component needs no more work, and the remaining lis
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from .graph import components
 
-SLICES = 64
-LONGEST = 4
-
-
-class Shingler:
-    """Whole text -> sorted distinct shingle hashes; A-Z are lower-cased, words are cut at ASCII white space."""
-
-    def __init__(self, k: int):
-        self.k, self.hashes = k, C.WordHashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        h = self.hashes.of(words)
-        if len(h) < self.k:  # the whole sequence is the one shingle; its length tells it from longer texts' shingles
-            return C.mix64(C.shingle_hashes(h, len(h)) + np.uint64(len(h)))
-        return np.unique(C.shingle_hashes(h, self.k))
+#: What a verification costs, in list entries.
+VERIFY = 2.0
+#: Lists of more sets than this are split, each part with a pivot of its own.
+SHORT = 4096
+#: A region is so many times what a set may have beyond a partner, and a few more.
+REGION, EXTRA = 3, 8
+#: Hashes, and sets, that travel together.
+TOKENS, SETS = 1 << 20, 60_000
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -49,241 +50,335 @@ def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
 
 
-_INFO = "doc_id long, n long, fp long, th long, slice int, counts binary"
+class Need:
+    """What similar sets have in common, by their sizes; remembers sizes."""
+
+    def __init__(self, percent: int):
+        self.percent, self.known = percent, {}
+
+    def overlap(self, n):
+        """A partner of a set of n shares at least so many."""
+        return -(-n * self.percent // 100)
+
+    def region(self, n):
+        return np.minimum(n, REGION * (n - self.overlap(n)) + EXTRA)
+
+    def least(self, n: int) -> int:
+        """A set of n with a partner has at least so many hashes in its region that the partner has in its own.
+
+        A partner of m shares o = percent * (n + m) / (100 + percent) or more. A shared hash has at most m - o others
+        before it there that are not before it here, so those among the first region(m) - (m - o) are in both regions.
+        """
+        if n not in self.known:
+            m = np.arange(self.overlap(n), 100 * n // self.percent + 1)
+            o = -(-self.percent * (n + m) // (100 + self.percent))
+            self.known[n] = int((np.minimum(self.region(n), self.region(m) - (m - o)) - (n - o)).min())
+        return self.known[n]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Byte 0 of all numbers, then byte 1 of all, and so on: small numbers leave zeros side by side."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(raw: np.ndarray, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def _pack(tokens: np.ndarray, *others: np.ndarray) -> bytes:
+    """Sorted 32-bit hashes as differences, and columns beside them."""
+    return _planes(np.diff(tokens, prepend=np.uint32(0)).astype("<u4")) + b"".join(map(_planes, others))
+
+
+def _unpack(parts: list[bytes], *others: str) -> tuple[np.ndarray, ...]:
+    """(number of rows of each part, hashes, the other columns) of packed parts, end to end."""
+    dtypes, cols, size = ("<u4", *others), [[] for _ in range(1 + len(others))], []
+    width = sum(np.dtype(d).itemsize for d in dtypes)
+    for p in parts:
+        raw, n, at = np.frombuffer(p, np.uint8), len(p) // width, 0
+        size.append(n)
+        for c, d in zip(cols, dtypes):
+            c.append(_numbers(raw[at : (at := at + n * np.dtype(d).itemsize)], d))
+        cols[0][-1] = np.cumsum(cols[0][-1], dtype=np.uint32)
+    return np.array(size), *(np.concatenate(c) for c in cols)
+
+
+class _Runs:
+    """Collects sets, gives rows (bucket, batch, payload): the hashes of a bucket with the sets' places in the batch."""
+
+    def __init__(self, bits: int):
+        self.bits, self.serial, self.part = bits, 0, TaskContext.get().partitionId()
+        self._clear()
+
+    def _clear(self):
+        self.images, self.count, self.batch = [], 0, self.part << 20 | self.serial
+        self.serial += 1
 
+    def add(self, image: np.ndarray) -> int:
+        """Takes the cut hashes of a set; returns the set's place in the batch."""
+        self.images.append(image)
+        self.count += len(image)
+        return len(self.images) - 1
 
-def _describe(docs: DataFrame, k: int, sketch: int) -> DataFrame:
-    """A row per document (doc_id, set size, name of the set, hash of the text), and each task's shingle counts.
+    def full(self) -> bool:
+        return self.count >= TOKENS or len(self.images) >= SETS
 
-    The counts are a hashed table of fixed size, in slices: the join's only statistics, gathered over all documents.
+    def rows(self) -> list[tuple[int, int, bytes]]:
+        if not self.images:
+            return []
+        token = np.concatenate(self.images)
+        local = np.repeat(np.arange(len(self.images)), [len(x) for x in self.images]).astype("<u2")
+        order = np.argsort(token, kind="stable")
+        token, local = token[order], local[order]
+        bucket = (token >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        low, batch = token.astype(np.uint32), self.batch
+        out = [(int(bucket[a]), batch, _pack(low[a:b], local[a:b])) for a, b in zip(cut, cut[1:])]
+        self._clear()
+        return out
+
+
+def _image(s: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes cut to a bucket of ``bits`` bits and 32 bits within it, in order, distinct."""
+    x = s >> np.uint64(32 - bits)
+    return x[np.diff(x, prepend=~x[:1]) != 0]
+
+
+def _by(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[tuple]:
+    """(key, list of the other columns' values) of rows that lie side by side."""
+    rows = (r for b in batches for r in zip(*(b[n].to_pylist() for n in (key, *names))))
+    for k, group in groupby(rows, lambda r: r[0]):
+        yield k, list(zip(*((r[1:]) for r in group)))
+
+
+def _rows(rows: list[tuple], types: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types.values())], names=list(types))
+
+
+def _bits(docs: DataFrame) -> int:
+    """Binary digits of the number of buckets, 8 at least; a bucket has about 4 MB of the input, so its hashes fit a task."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 12 if size >= 1 << 60 else max(8, (size >> 22).bit_length())  # that size stands for an unknown one
+
+
+_L, _I, _B = pa.int64(), pa.int32(), pa.binary()
+_INFO = {"doc_id": _L, "n": _L, "fp": _L, "th": _L, "rk": _L, "own": _L, "least": _I, "bucket": _I, "batch": _L, "payload": _B}
+_NAMES = {_L: "long", _I: "int", _B: "binary", pa.bool_(): "boolean"}
+
+
+def _ddl(types: dict) -> str:
+    return ", ".join(f"{n} {_NAMES[t]}" for n, t in types.items())
+
+
+def _describe(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """A row per document (doc_id, size and name of the set, hashes of text and row) and the regions' packed hashes.
+
+    ``own`` names the set in the packed rows, ``least`` is what it needs there; copies within a task leave them null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts, seen, types = Shingler(k), np.zeros(sketch, np.uint32), set(), [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "fp", "th", "slice", "counts"]
-        for b in C.slices(batches, "text"):
-            n, fp = [], []
-            for t in b["text"].to_pylist():
-                s = shingle(t)
-                n.append(len(s))
-                fp.append(fingerprint(s) if len(s) else None)
-                if len(s) and fp[-1] not in seen:
+        runs, need, seen = _Runs(bits), Need(percent), set()
+
+        def packed():
+            rows = runs.rows()
+            if rows:
+                yield _rows([(None,) * 7 + r for r in rows], _INFO)
+
+        for b in C.slices(batches, "text", 1 << 19):
+            rows = []
+            for doc, th, rk, s in zip(b["doc_id"].to_pylist(), b["th"].to_pylist(), b["rk"].to_pylist(), C.shingle_sets([t or "" for t in b["text"].to_pylist()], k)):
+                fp, own, least = fingerprint(s) if len(s) else None, None, None
+                if fp is not None and fp not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(fp[-1])
-                    buckets, times = np.unique(s & np.uint64(sketch - 1), return_counts=True)
-                    counts[buckets.astype(np.int64)] += times.astype(np.uint32)
-            blank = [None] * b.num_rows
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, types[1]), pa.array(fp, types[2]), b["th"], pa.array(blank, types[4]), pa.array(blank, types[5])], names=names)
-        if counts.any():
-            parts = counts.reshape(SLICES, -1)
-            blank = [None] * SLICES
-            yield pa.RecordBatch.from_arrays([*(pa.array(blank, t) for t in types[:4]), pa.array(range(SLICES), types[4]), pa.array([p.astype("<u4").tobytes() for p in parts], types[5])], names=names)
+                    seen.add(fp)
+                    image = _image(s, bits)
+                    own = runs.batch << 16 | runs.add(image[: int(need.region(len(s)))])
+                    least = need.least(len(s)) - (len(s) - len(image))
+                rows.append((doc, len(s), fp, th, rk, own, least, None, None, None))
+                if runs.full():
+                    yield from packed()
+            yield _rows(rows, _INFO)
+        yield from packed()
 
-    return C.materialize(docs.withColumn("th", F.xxhash64("text")).mapInArrow(run, _INFO), "jaccard-sets")
+    return C.materialize(docs.mapInArrow(run, _ddl(_INFO)), "jaccard-regions")
 
 
-def _counts(info: DataFrame, sketch: int) -> np.ndarray:
-    """The tasks' counts added up, slice by slice; their size is fixed."""
+_FOUND = {"own": _L, "shared": _L}
 
-    def run(batches):
-        totals: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, x in zip(b["slice"].to_pylist(), b["counts"]):
-                totals[i] = totals.get(i, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in totals.values()], pa.binary())], names=["slice", "counts"])
-
-    out = np.zeros((SLICES, sketch // SLICES), np.int64)
-    parts = info.filter("slice IS NOT NULL").select("slice", "counts").repartition(F.col("slice"))
-    for r in parts.mapInArrow(run, "slice int, counts binary").collect():
-        out[r["slice"]] += np.frombuffer(r["counts"], "<i8")
-    return out.ravel()
-
-
-def prefix(s: np.ndarray, counts: np.ndarray, floor: float, percent: int, longest: int = LONGEST) -> tuple[np.ndarray, int]:
-    """(the prefix of a set, its l). ``counts``: how often each bucket of shingles occurs; ``floor``: chance level."""
-    n = len(s)
-    need = -(-n * percent // 100)
-    often = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
-    most = n - need + min(longest, need)
-    order = np.lexsort((s, often))[:most]
-    excess = np.maximum(often[order] - floor, 0).cumsum()
-    best, cheapest = 1, None
-    for m in range(1, min(longest, need) + 1):
-        lists = excess[n - need + m - 1]
-        cost = lists + lists / m * VERIFY  # entries met, and at most lists / m pairs with m shared ones
-        if cheapest is None or cost < cheapest:
-            best, cheapest = m, cost
-    return s[order[: n - need + best]], best
 
+def _shared(regions: DataFrame) -> DataFrame:
+    """(own, shared): how many hashes of a region other regions have, too."""
+    back = {"batch": _L, "payload": _B}
 
-#: What a verification costs, in list entries.
-VERIFY = 8.0
-#: Lists up to this size are paired as they are; the pairs grow in proportion to the entries.
-SHORT = 12
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by(batches, "bucket", "batch", "payload"):
+            ids, parts = rows
+            size, token, local = _unpack(parts, "<u2")
+            order = np.argsort(token, kind="stable")
+            same = token[order][1:] == token[order][:-1]
+            twice = np.zeros(len(token), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            end = size.cumsum()
+            out = [(i, x.tobytes()) for i, a, b in zip(ids, (end - size).tolist(), end.tolist()) if len(x := local[a:b][twice[a:b]])]
+            if out:
+                yield _rows(out, back)
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (parts,) in _by(batches, "batch", "payload"):
+            n = np.bincount(np.frombuffer(b"".join(parts), "<u2"))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(batch << 16 | at), pa.array(n[at])], names=list(_FOUND))
 
-def _postings(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Entries (token, fp, n, l) of all lists with two sets or more, with the list's pivot (pfp, pn, pl)."""
-    table, floor = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32)), float(np.median(counts) + 2 * np.sqrt(np.median(counts)))
+    packed = regions.filter("bucket IS NOT NULL").select("bucket", "batch", "payload")
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _ddl(back))
+    return found.repartition("batch").sortWithinPartitions("batch").mapInArrow(add, _ddl(_FOUND))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, own, seen = Shingler(k), table.value.astype(np.int64), set()
-        for b in C.slices(batches, "text"):
-            tokens, rows = [], []
-            for t in b["text"].to_pylist():
-                s = shingle(t)
-                if len(s) and (fp := fingerprint(s)) not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
+
+def _texts(docs: DataFrame, alive: DataFrame) -> DataFrame:
+    """(fp, packed text) of the sets that may have a partner, one text each, as a written table.
+
+    ``alive`` names a row for each set. Spark sends that side to all tasks if it is under its broadcast limit, and
+    shuffles by it otherwise.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, seen = zstandard.ZstdCompressor(level=3), set()
+        for b in batches:
+            rows = []
+            for fp, text in zip(b["fp"].to_pylist(), b["text"].to_pylist()):
+                if fp not in seen:
                     seen.add(fp)
-                    p, m = prefix(s, own, floor, percent)
-                    tokens.append(p)
-                    rows.append((fp, len(s), m, len(p)))
+                    rows.append((fp, pack.compress(text.encode())))
             if rows:
-                fp, n, m, size = (np.array(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(fp, size).astype(np.int64)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(np.repeat(m, size).astype(np.int32))], names=["token", "fp", "n", "l"])
+                yield _rows(rows, {"fp": _L, "packed": _B})
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted entries -> those of lists of two sets or more. A list's first row waits for a second set."""
-        token = fp = pivot = None
-        out = True
-        for b in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            again = np.zeros(len(rows), bool)
-            again[1:] = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-            again[:1] = token is not None and (rows[:1, 0] == token) & (rows[:1, 1] == fp)
-            rows = rows[~again]
-            if not len(rows):
-                continue
-            new = np.ones(len(rows), bool)
-            new[1:] = rows[1:, 0] != rows[:-1, 0]
-            new[0] = token is None or rows[0, 0] != token
-            at = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
-            pivots = rows[np.maximum(at, 0)]
-            if not new[0]:
-                pivots[at < 0] = pivot
-            keep = ~new
-            keep[:-1] |= new[:-1] & ~new[1:]
-            first = [pivot] if not new[0] and not out else []
-            got = np.concatenate([np.array(first, np.int64).reshape(-1, 4), rows[keep]])
-            if len(got):
-                piv = np.concatenate([np.array(first, np.int64).reshape(-1, 4), pivots[keep]])
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), *(pa.array(got[:, i].astype(np.int32)) for i in (2, 3)), pa.array(piv[:, 1]), *(pa.array(piv[:, i].astype(np.int32)) for i in (2, 3))], names=["token", "fp", "n", "l", "pfp", "pn", "pl"])
-            token, fp = int(rows[-1, 0]), int(rows[-1, 1])
-            out = bool(at[-1] < 0 or keep[at[-1]])
-            pivot = pivots[-1].copy()
-
-    lists = docs.mapInArrow(emit, "token long, fp long, n int, l int").repartition("token").sortWithinPartitions("token", "fp")
-    return C.materialize(lists.mapInArrow(shared, "token long, fp long, n int, l int, pfp long, pn int, pl int"), "jaccard-lists")
-
-
-def _texts(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(fp, packed text) of the sets that occur in ``pairs``, one text each, as a written table."""
-    need = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    one = C.materialize(info.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("th").alias("th")).join(need, "fp", "left_semi"), "jaccard-need")
-    some = C.packed_texts(docs.select("text", F.xxhash64("text").alias("th")), one, ["th"])
-    return C.materialize(some.join(one, "th").select("fp", "packed").dropDuplicates(["fp"]), "jaccard-texts")
+    some = docs.select("text", "rk").join(alive, "rk").select("fp", "text").mapInArrow(run, "fp long, packed binary")
+    return C.materialize(some.dropDuplicates(["fp"]), "jaccard-texts")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, counted exactly."""
-    import zstandard
+def prefix(n: int, image: int, often: np.ndarray, need: Need, longest: int | None = None) -> tuple[int, int]:
+    """(entries of the prefix, its l) of a set of n.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, shingle, last, left = zstandard.ZstdDecompressor(), Shingler(k), None, None
-        for big in batches:
-            for b in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
-                a, c = [], []
-                for x, y, tx, ty in zip(*(b[n].to_pylist() for n in ("a", "b", "ta", "tb"))):
-                    if x != last:
-                        last, left = x, shingle(unpack.decompress(tx).decode())
-                    right = shingle(unpack.decompress(ty).decode())
-                    both = len(np.intersect1d(left, right, assume_unique=True))
-                    if 100 * both >= percent * (len(left) + len(right) - both):
-                        a.append(x)
-                        c.append(y)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+    ``often``: frequencies of its recurring hashes in order, which come after the image - len(often) that are its own.
+    """
+    alone, base = image - len(often), n - need.overlap(n)
+    most = min(longest or n, need.overlap(n))
+    meets = np.concatenate([[0], (often - 1).cumsum()])
+    met = meets[np.clip(np.arange(base + 1, base + most + 1) - alone, 0, len(often))]
+    l = 1 + int(np.argmin(met * (1 + VERIFY / np.arange(1, most + 1))))  # at most met / l pairs share l
+    return max(0, min(base + l, image) - alone), l
 
-    with_b = pairs.join(texts.select(F.col("fp").alias("b"), F.col("packed").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("fp").alias("a"), F.col("packed").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
+_ENTRY = {"token": _L, "part": _L, "fp": _L, "n": _I, "l": _I, "place": _I}
 
-def _second_join(rest: DataFrame, texts: DataFrame, k: int, percent: int, sketch: int = 1 << 23) -> DataFrame:
-    """Candidate pairs (a, b) of different components among the sets ``rest`` (fp, c) with their packed ``texts``.
 
-    These sets are few, so a table of their own counts shingles nearly exactly: what a set has for itself fills its prefix
-    first and meets nobody. Of a pair the smaller set is looked up by a shorter prefix (its partner is no smaller, so more
-    must be shared); the place of the last shared shingle bounds the overlap that is still possible.
-    """
-    import zlib
+def _entries(texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """Entries (token, part, fp, n, l, place) of all lists: the sets' prefixes, hashes of one set alone left out."""
+    there = {"bucket": _I, "batch": _L, "head": pa.bool_(), "payload": _B}
+    back = {"batch": _L, "bucket": _I, "payload": _B}
 
-    import zstandard
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def sets(batches, extra=()):
-        unpack, shingle = zstandard.ZstdDecompressor(), Shingler(k)
-        for b in batches:
-            for row in zip(b["packed"].to_pylist(), *(b[n].to_pylist() for n in extra)):
-                yield shingle(unpack.decompress(row[0]).decode()), *row[1:]
+        unpack, runs, head = zstandard.ZstdDecompressor(), _Runs(bits), []
+
+        def packed():
+            if head:
+                batch = runs.batch
+                raw = b"".join(_planes(np.array(c, t)) for c, t in zip(zip(*head), ("<i8", "<u4", "<u4")))
+                yield _rows([(batch & 255, batch, True, raw)] + [(b, i, False, p) for b, i, p in runs.rows()], there)
+                head.clear()
+
+        for big in batches:
+            for b in (big.slice(i, 128) for i in range(0, big.num_rows, 128)):
+                for fp, s in zip(b["fp"].to_pylist(), C.shingle_sets([unpack.decompress(x).decode() for x in b["packed"].to_pylist()], k)):
+                    image = _image(s, bits)
+                    runs.add(image)
+                    head.append((fp, len(s), len(image)))
+                    if runs.full():
+                        yield from packed()
+        yield from packed()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(sketch, np.uint16)
-        for (s,) in sets(batches):
-            at = (s & np.uint64(sketch - 1)).astype(np.int64)
-            total[at] += total[at] < 60_000
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(SLICES, -1)], pa.binary())], names=["slice", "counts"])
+        for bucket, (ids, heads, parts) in _by(batches, "bucket", "batch", "head", "payload"):
+            out = [(i, -1, p) for i, h, p in zip(ids, heads, parts) if h]
+            own = [(i, p) for i, h, p in zip(ids, heads, parts) if not h]
+            if own:
+                size, token, local = _unpack([p for _, p in own], "<u2")
+                _, inverse, times = np.unique(token, return_inverse=True, return_counts=True)
+                often = times[inverse].astype("<u4")
+                end = size.cumsum()
+                for (i, _), a, b in zip(own, (end - size).tolist(), end.tolist()):
+                    w = a + np.flatnonzero(often[a:b] > 1)
+                    if len(w):
+                        out.append((i, bucket, _pack(token[w], local[w], often[w])))
+            yield _rows(out, back)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        need = Need(percent)
+        for _, (buckets, parts) in _by(batches, "batch", "bucket", "payload"):
+            raw = np.frombuffer(parts[0], np.uint8)
+            m = len(raw) // 16
+            fps, sizes, images = _numbers(raw[: 8 * m], "<i8"), _numbers(raw[8 * m : 12 * m], "<u4").astype(np.int64), _numbers(raw[12 * m :], "<u4").astype(np.int64)
+            if len(parts) == 1:
+                continue
+            size, low, local, often = _unpack(list(parts[1:]), "<u2", "<u4")
+            token = np.repeat(np.array(buckets[1:], np.int64), size) << 32 | low
+            order = np.lexsort((token, often, local))
+            token, often = token[order], often[order].astype(np.int64)
+            end = np.bincount(local, minlength=m).cumsum()
+            cols: list[list] = [[] for _ in _ENTRY]
+            for i, (a, b) in enumerate(zip([0, *end.tolist()], end.tolist())):
+                if a < b:
+                    n = int(sizes[i])
+                    size_, l = prefix(n, int(images[i]), often[a:b], need)
+                    if size_:
+                        w = slice(a, a + size_)
+                        parts_ = -(-often[w] // SHORT)
+                        place = int(images[i]) - (b - a) + np.arange(size_)
+                        for c, x in zip(cols, (token[w], np.where(parts_ > 1, 1 + int(fps[i]) % parts_, 0), np.full(size_, fps[i]), np.full(size_, n), np.full(size_, l), place)):
+                            c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(cols, _ENTRY.values())], names=list(_ENTRY))
+
+    packed = texts.mapInArrow(emit, _ddl(there)).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _ddl(back))
+    return packed.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(choose, _ddl(_ENTRY))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, x in zip(b["slice"].to_pylist(), b["counts"].to_pylist()):
-                totals[i] = totals.get(i, 0) + np.frombuffer(zlib.decompress(x), np.uint16).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in totals.values()], pa.binary())], names=["slice", "counts"])
 
-    counts = np.zeros((SLICES, sketch // SLICES), np.uint16)
-    own = texts.join(rest.select("fp", "c"), "fp")
-    for r in own.select("packed").mapInArrow(count, "slice int, counts binary").repartition(F.col("slice")).mapInArrow(add, "slice int, counts binary").collect():
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint16)
-    table = rest.sparkSession.sparkContext.broadcast(counts.ravel())
+def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, counted exactly."""
+    import zstandard
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "fp", "n", "l", "c", "place", "small"]
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
-        cols: list[list] = [[] for _ in names]
-        for s, fp, c in sets(batches, ("fp", "c")):
-            n = len(s)
-            need, more = -(-n * percent // 100), -(-2 * n * percent // (100 + percent))
-            often = table.value[(s & np.uint64(sketch - 1)).astype(np.int64)].astype(np.int64)
-            order = np.lexsort((s, often))[: n - need + min(LONGEST, need)]
-            meets = (often[order] - 1).cumsum()
-            costs = [meets[n - need + m - 1] * (1 + VERIFY / m) for m in range(1, min(LONGEST, need) + 1)]
-            m = 1 + int(np.argmin(costs))
-            place = np.flatnonzero(often[order[: n - need + m]] > 1)  # shingles of one set alone meet nobody
-            for col, x in zip(cols, (s[order[place]].view(np.int64), np.full(len(place), fp), np.full(len(place), n), np.full(len(place), m), np.full(len(place), c), place, place < n - more + m)):
-                col.append(x)
-            if len(cols[0]) >= 512:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(cols, types)], names=names)
-                cols = [[] for _ in names]
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(cols, types)], names=names)
-
-    t = C.materialize(own.select("packed", "fp", "c").mapInArrow(emit, "token long, fp long, n int, l int, c long, place int, small boolean"), "jaccard-prefixes")
-    x = t.filter("small").select("token", *(F.col(n).alias(n + "x") for n in ("fp", "n", "l", "c", "place")))
-    y = t.select("token", *(F.col(n).alias(n + "y") for n in ("fp", "n", "l", "c", "place")))
-    pairs = x.join(y, "token").filter((F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("fpx") < F.col("fpy"))) & _sizes_fit("nx", "ny", percent))
-    got = pairs.groupBy("fpx", "fpy", "nx", "ny").agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("l"), F.max("placex").alias("px"), F.max("placey").alias("py"))
-    most = F.col("shared") + F.least(F.col("nx") - 1 - F.col("px"), F.col("ny") - 1 - F.col("py"))
-    return got.filter((F.col("shared") >= F.col("l")) & (most * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))).select(F.col("fpx").alias("a"), F.col("fpy").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last, left = zstandard.ZstdDecompressor(), None, None
+        for big in batches:
+            for b in (big.slice(i, 128) for i in range(0, big.num_rows, 128)):
+                a, found = b["a"].to_pylist(), []
+                lead = [i for i, x in enumerate(a) if x != (a[i - 1] if i else last)]
+                texts_ = [unpack.decompress(x).decode() for x in (*(b["ta"][i].as_py() for i in lead), *b["tb"].to_pylist())]
+                sets = C.shingle_sets(texts_, k)
+                lead = dict(zip(lead, sets))
+                for i, right in enumerate(sets[len(lead) :]):
+                    left = lead.get(i, left)
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                    found.append(100 * both >= percent * (len(left) + len(right) - both))
+                last = a[-1]
+                yield b.select(["a", "b"]).filter(pa.array(found))
+
+    with_b = pairs.join(texts.select(F.col("fp").alias("b"), F.col("packed").alias("tb")), "b")
+    both = with_b.join(texts.select(F.col("fp").alias("a"), F.col("packed").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _sizes_fit(n: str, m: str, percent: int):
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
-def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch: int = 1 << 19) -> DataFrame:
+def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id
@@ -291,38 +386,55 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
     Null and wordless texts have no shingles and link with nothing: their component is their own id. Repeated rows
     stay, null ids count in no minimum, extra columns are left out, an empty table gives an empty result.
     """
-    return _grouped(df, k, percent, id_col, text_col, sketch).select("doc_id", "n_shingles", "component_id")
+    return _grouped(df, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share min(l, l') entries and whose remaining hashes could suffice."""
+    pairs = x.join(y, "token").filter((F.col("fpx") < F.col("fpy")) & (F.col("cx") != F.col("cy")) & _sizes_fit("nx", "ny", percent))
+    got = pairs.groupBy("fpx", "fpy", "nx", "ny").agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("l"), F.max("placex").alias("px"), F.max("placey").alias("py"))
+    most = F.col("shared") + F.least(F.col("nx") - 1 - F.col("px"), F.col("ny") - 1 - F.col("py"))
+    return got.filter((F.col("shared") >= F.col("l")) & (most * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))).select(F.col("fpx").alias("a"), F.col("fpy").alias("b"))
 
 
-def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, sketch: int = 1 << 19) -> DataFrame:
+def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``links`` with the hash of the text (th) and the name of the group (label; null without words)."""
-    docs = C.keyed(df, id_col, text_col)
-    table = _describe(docs, k, sketch)
-    info = table.filter("slice IS NULL")
-    lists = _postings(docs, k, percent, _counts(table, sketch))
-    # Each list's pivot first. Entries shared with the pivot are counted over all lists that it leads.
+    docs = C.keyed(df, id_col, text_col).withColumn("th", F.xxhash64("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    bits = _bits(docs)
+    regions = _describe(docs, k, percent, bits)
+    info = regions.filter("bucket IS NULL").select("doc_id", "n", "fp", "th", "rk", "own", "least")
+    info = info.join(_shared(regions), "own", "left").withColumn("alive", F.col("least") <= F.coalesce("shared", F.lit(0)))
+    info = C.materialize(info.select("doc_id", "n", "fp", "th", "rk", "alive"), "jaccard-sets")
+    C.discard(regions)
+    alive = C.materialize(info.filter("alive").groupBy("fp").agg(F.min("rk").alias("rk")), "jaccard-alive")
+    texts = _texts(docs, alive)
+    C.discard(alive)
+    # The first entry of a list is its pivot.
+    by = Window.partitionBy("token", "part").orderBy("fp")
+    pivots = [F.first(c).over(by).alias("p" + c) for c in ("fp", "n", "l")]
+    lists = C.materialize(_entries(texts, k, percent, bits).select("*", *pivots), "jaccard-lists")
+    # Entries shared with the pivot are counted over all lists that it leads. Pivots of one list's parts meet the first of them.
     star = lists.filter("fp <> pfp").groupBy(F.col("pfp").alias("a"), F.col("fp").alias("b"), "n", "l", "pn", "pl").agg(F.count("*").alias("shared"))
-    star = C.materialize(star.filter((F.col("shared") >= F.least("l", "pl")) & _sizes_fit("n", "pn", percent)).select("a", "b"), "jaccard-star")
-    found = C.materialize(_verify(star, _texts(docs, info, star), k, percent), "jaccard-links")
+    star = star.filter((F.col("shared") >= F.least("l", "pl")) & _sizes_fit("n", "pn", percent)).select("a", "b")
+    heads = lists.filter("part > 0").groupBy("token").agg(F.min("pfp").alias("a")).join(lists.filter("part > 0").select("token", F.col("pfp").alias("b")).distinct(), "token").filter("a <> b").select("a", "b")
+    star = C.materialize(star.union(heads).distinct(), "jaccard-star")
+    found = C.materialize(_verify(star, texts, k, percent), "jaccard-links")
+    C.discard(star)
     label = components(found)
-    # What remains: lists that still hold several components. Short ones give pairs; the sets of long ones meet again.
+    # What remains: lists that still hold several components.
     known = lists.join(label.select(F.col("node").alias("fp"), F.col("label").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    open_ = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("token", "size")
-    rest = C.materialize(known.join(open_, "token").select("token", "fp", "n", "l", "c", "size"), "jaccard-rest")
-    many = C.materialize(rest.filter(F.col("size") > SHORT).select("fp", "c").distinct(), "jaccard-many")
-    few = rest.filter(F.col("size") <= SHORT).join(many.select("fp", F.lit(True).alias("many")), "fp", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    x, y = (few.select("token", *(F.col(n).alias(n + side) for n in ("fp", "n", "l", "c", "many"))) for side in "xy")
-    near = x.join(y, "token").filter((F.col("fpx") < F.col("fpy")) & (F.col("cx") != F.col("cy")) & ~(F.col("manyx") & F.col("manyy")) & _sizes_fit("nx", "ny", percent))
-    near = near.groupBy(F.col("fpx").alias("a"), F.col("fpy").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("l")).filter("shared >= l").select("a", "b")
-    across = C.materialize(near, "jaccard-near")
-    if not many.isEmpty():
-        texts = _texts(docs, info, many.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-        across = C.materialize(across.union(_second_join(many, texts, k, percent)), "jaccard-across")
+    open_ = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+    rest = C.materialize(known.join(open_, "token").select("token", "fp", "n", "l", "c", "place"), "jaccard-rest")
+    C.discard(lists)
+    x, y = (rest.select("token", *(F.col(n).alias(n + side) for n in ("fp", "n", "l", "c", "place"))) for side in "xy")
+    across = C.materialize(_candidates(x, y, percent), "jaccard-across")
+    C.discard(rest)
     if not across.isEmpty():
-        more = _verify(across, _texts(docs, info, across), k, percent)
+        more = _verify(across, texts, k, percent)
         label = components(C.materialize(found.union(more), "jaccard-links"))
     of = info.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")).join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = C.materialize(of, "jaccard-names")
+    C.discard(texts, across)
     linked = of.filter("label <> fp").select("label").distinct()  # most sets are alone: only the others meet again
     group = of.join(linked, "label", "left_semi").groupBy("label").agg(F.min("first").alias("component_id"))
     of = of.join(group, "label", "left").select("fp", "label", F.coalesce("component_id", "first").alias("component_id"))
