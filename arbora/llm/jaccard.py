@@ -39,6 +39,8 @@ VERIFY = 2.0
 SHORT = 4096
 #: A region is so many times what a set may have beyond a partner, and a few more.
 REGION, EXTRA = 3, 8
+#: Names of rows (16 bytes each) that are sent to all tasks at most.
+SENT = 2_000_000
 #: Hashes, and sets, that travel together.
 TOKENS, SETS = 1 << 20, 60_000
 
@@ -60,18 +62,22 @@ class Need:
         """A partner of a set of n shares at least so many."""
         return -(-n * self.percent // 100)
 
+    def shared(self, n, m):
+        """Sets of n and m that link share at least so many."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
     def region(self, n):
         return np.minimum(n, REGION * (n - self.overlap(n)) + EXTRA)
 
     def least(self, n: int) -> int:
         """A set of n with a partner has at least so many hashes in its region that the partner has in its own.
 
-        A partner of m shares o = percent * (n + m) / (100 + percent) or more. A shared hash has at most m - o others
+        A partner of m shares o = shared(n, m) or more. A shared hash has at most m - o others
         before it there that are not before it here, so those among the first region(m) - (m - o) are in both regions.
         """
         if n not in self.known:
             m = np.arange(self.overlap(n), 100 * n // self.percent + 1)
-            o = -(-self.percent * (n + m) // (100 + self.percent))
+            o = self.shared(n, m)
             self.known[n] = int((np.minimum(self.region(n), self.region(m) - (m - o)) - (n - o)).min())
         return self.known[n]
 
@@ -239,8 +245,8 @@ def _shared(regions: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, alive: DataFrame) -> DataFrame:
     """(fp, packed text) of the sets that may have a partner, one text each, as a written table.
 
-    ``alive`` names a row for each set. Spark sends that side to all tasks if it is under its broadcast limit, and
-    shuffles by it otherwise.
+    ``alive`` names a row for each set. That side is counted; up to ``SENT`` rows go to all tasks, more are joined by a
+    shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +262,8 @@ def _texts(docs: DataFrame, alive: DataFrame) -> DataFrame:
             if rows:
                 yield _rows(rows, {"fp": _L, "packed": _B})
 
-    some = docs.select("text", "rk").join(alive, "rk").select("fp", "text").mapInArrow(run, "fp long, packed binary")
+    few = alive.count() <= SENT
+    some = docs.select("text", "rk").join(F.broadcast(alive) if few else alive, "rk").select("fp", "text").mapInArrow(run, "fp long, packed binary")
     return C.materialize(some.dropDuplicates(["fp"]), "jaccard-texts")
 
 
@@ -265,19 +272,22 @@ def prefix(n: int, image: int, often: np.ndarray, need: Need, longest: int | Non
 
     ``often``: frequencies of its recurring hashes in order, which come after the image - len(often) that are its own.
     """
-    alone, base = image - len(often), n - need.overlap(n)
+    alone, base, equal = image - len(often), n - need.overlap(n), n - need.shared(n, n)
     most = min(longest or n, need.overlap(n))
     meets = np.concatenate([[0], (often - 1).cumsum()])
-    met = meets[np.clip(np.arange(base + 1, base + most + 1) - alone, 0, len(often))]
+    met = meets[np.clip(np.arange(equal + 1, equal + most + 1) - alone, 0, len(often))]  # by a partner of that size
     l = 1 + int(np.argmin(met * (1 + VERIFY / np.arange(1, most + 1))))  # at most met / l pairs share l
     return max(0, min(base + l, image) - alone), l
 
 
-_ENTRY = {"token": _L, "part": _L, "fp": _L, "n": _I, "l": _I, "place": _I}
+_ENTRY = {"token": _L, "part": _L, "fp": _L, "n": _I, "l": _I, "place": _I, "alone": _I}
 
 
 def _entries(texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """Entries (token, part, fp, n, l, place) of all lists: the sets' prefixes, hashes of one set alone left out."""
+    """Entries (token, part, fp, n, l, place, alone) of all lists: the sets' prefixes.
+
+    Hashes of one set alone are left out; ``alone`` is their number.
+    """
     there = {"bucket": _I, "batch": _L, "head": pa.bool_(), "payload": _B}
     back = {"batch": _L, "bucket": _I, "payload": _B}
 
@@ -338,9 +348,9 @@ def _entries(texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
                     size_, l = prefix(n, int(images[i]), often[a:b], need)
                     if size_:
                         w = slice(a, a + size_)
-                        parts_ = -(-often[w] // SHORT)
-                        place = int(images[i]) - (b - a) + np.arange(size_)
-                        for c, x in zip(cols, (token[w], np.where(parts_ > 1, 1 + int(fps[i]) % parts_, 0), np.full(size_, fps[i]), np.full(size_, n), np.full(size_, l), place)):
+                        split = -(-often[w] // SHORT)
+                        alone = int(images[i]) - (b - a)
+                        for c, x in zip(cols, (token[w], np.where(split > 1, 1 + int(fps[i]) % split, 0), np.full(size_, fps[i]), np.full(size_, n), np.full(size_, l), alone + np.arange(size_), np.full(size_, alone))):
                             c.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(cols, _ENTRY.values())], names=list(_ENTRY))
@@ -390,8 +400,13 @@ def links(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
 
 def _candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share min(l, l') entries and whose remaining hashes could suffice."""
-    pairs = x.join(y, "token").filter((F.col("fpx") < F.col("fpy")) & (F.col("cx") != F.col("cy")) & _sizes_fit("nx", "ny", percent))
+    """Pairs (a, b) of different components that share min(l, l') entries and whose remaining hashes could suffice.
+
+    A pair's sizes tell the overlap t that it needs, mostly more than either set alone needs of any partner; only entries
+    among the first n - t + l of each set count.
+    """
+    early = lambda s: (F.col("n" + s) - F.col("place" + s) + F.col("l" + s) - 1) * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
+    pairs = x.join(y, "token").filter((F.col("fpx") < F.col("fpy")) & (F.col("cx") != F.col("cy")) & _sizes_fit("nx", "ny", percent) & early("x") & early("y"))
     got = pairs.groupBy("fpx", "fpy", "nx", "ny").agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("l"), F.max("placex").alias("px"), F.max("placey").alias("py"))
     most = F.col("shared") + F.least(F.col("nx") - 1 - F.col("px"), F.col("ny") - 1 - F.col("py"))
     return got.filter((F.col("shared") >= F.col("l")) & (most * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))).select(F.col("fpx").alias("a"), F.col("fpy").alias("b"))
@@ -409,10 +424,10 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     alive = C.materialize(info.filter("alive").groupBy("fp").agg(F.min("rk").alias("rk")), "jaccard-alive")
     texts = _texts(docs, alive)
     C.discard(alive)
-    # The first entry of a list is its pivot.
-    by = Window.partitionBy("token", "part").orderBy("fp")
+    # A list's pivot is the set with least of its own: of a group of copies the one that was edited least.
+    by = Window.partitionBy("token", "part").orderBy("alone", "fp")
     pivots = [F.first(c).over(by).alias("p" + c) for c in ("fp", "n", "l")]
-    lists = C.materialize(_entries(texts, k, percent, bits).select("*", *pivots), "jaccard-lists")
+    lists = C.materialize(_entries(texts, k, percent, bits).select("*", *pivots).drop("alone"), "jaccard-lists")
     # Entries shared with the pivot are counted over all lists that it leads. Pivots of one list's parts meet the first of them.
     star = lists.filter("fp <> pfp").groupBy(F.col("pfp").alias("a"), F.col("fp").alias("b"), "n", "l", "pn", "pl").agg(F.count("*").alias("shared"))
     star = star.filter((F.col("shared") >= F.least("l", "pl")) & _sizes_fit("n", "pn", percent)).select("a", "b")
