@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             at = end
 
 
+def side_by_side(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[tuple]:
+    """(key, list of the other columns' values) of rows that lie side by side."""
+    rows = (r for b in batches for r in zip(*(b[n].to_pylist() for n in (key, *names))))
+    for k, group in groupby(rows, lambda r: r[0]):
+        yield k, list(zip(*((r[1:]) for r in group)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection on unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -22,7 +22,6 @@ length); what is then in one component needs no more work, and the remaining lis
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -150,13 +149,6 @@ def _image(s: np.ndarray, bits: int) -> np.ndarray:
     return x[np.diff(x, prepend=~x[:1]) != 0]
 
 
-def _by(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[tuple]:
-    """(key, list of the other columns' values) of rows that lie side by side."""
-    rows = (r for b in batches for r in zip(*(b[n].to_pylist() for n in (key, *names))))
-    for k, group in groupby(rows, lambda r: r[0]):
-        yield k, list(zip(*((r[1:]) for r in group)))
-
-
 def _rows(rows: list[tuple], types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types.values())], names=list(types))
 
@@ -218,7 +210,7 @@ def _shared(regions: DataFrame) -> DataFrame:
     back = {"batch": _L, "payload": _B}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by(batches, "bucket", "batch", "payload"):
+        for _, rows in C.side_by_side(batches, "bucket", "batch", "payload"):
             ids, parts = rows
             size, token, local = _unpack(parts, "<u2")
             order = np.argsort(token, kind="stable")
@@ -232,7 +224,7 @@ def _shared(regions: DataFrame) -> DataFrame:
                 yield _rows(out, back)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, (parts,) in _by(batches, "batch", "payload"):
+        for batch, (parts,) in C.side_by_side(batches, "batch", "payload"):
             n = np.bincount(np.frombuffer(b"".join(parts), "<u2"))
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(batch << 16 | at), pa.array(n[at])], names=list(_FOUND))
@@ -314,7 +306,7 @@ def _entries(texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
         yield from packed()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (ids, heads, parts) in _by(batches, "bucket", "batch", "head", "payload"):
+        for bucket, (ids, heads, parts) in C.side_by_side(batches, "bucket", "batch", "head", "payload"):
             out = [(i, -1, p) for i, h, p in zip(ids, heads, parts) if h]
             own = [(i, p) for i, h, p in zip(ids, heads, parts) if not h]
             if own:
@@ -330,7 +322,7 @@ def _entries(texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = Need(percent)
-        for _, (buckets, parts) in _by(batches, "batch", "bucket", "payload"):
+        for _, (buckets, parts) in C.side_by_side(batches, "batch", "bucket", "payload"):
             raw = np.frombuffer(parts[0], np.uint8)
             m = len(raw) // 16
             fps, sizes, images = _numbers(raw[: 8 * m], "<i8"), _numbers(raw[8 * m : 12 * m], "<u4").astype(np.int64), _numbers(raw[12 * m :], "<u4").astype(np.int64)

@@ -173,62 +173,102 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivot, out = rows[at[-1]].copy(), bool(need[at[-1]])
 
 
-_PIECES = "key long, chunk long, doc_id long, th long, start int, n int, bytes binary"
+_PIECES = "chunk long, strings binary"
 _SPANS = "doc_id long, th long, start int, n int"
 
 
+def _windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` bytes that start at places of ``data``."""
+    h = _grams(data)
+    w = np.zeros(len(at), np.uint64)
+    for i in [*range(0, length - GRAM, GRAM), length - GRAM]:
+        w = C.mix64(w * _ODD[0] + h[at + i])
+    return w
+
+
 def _collections(chunks: int, length: int):
-    """Packed texts with their strings -> the strings' bytes, each with the collection that it goes to."""
+    """Packed texts with their strings -> the strings' bytes, in one row for each collection that they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for big in batches:
-            for b in (big.slice(i, 64) for i in range(0, big.num_rows, 64)):
-                rows = []
-                for doc, th, packed, found in zip(*(b[n].to_pylist() for n in ("doc_id", "th", "packed", "found"))):
-                    text = unpack.decompress(packed)
-                    for s in found:
-                        key, start, n = s["key"], s["start"], s["n"]
-                        if not s["hot"]:
-                            rows.append((key, key % chunks, doc, th, start, n, text[start : start + n + length - 1]))
-                            continue
-                        for i in range(start, start + n):  # a key of very many strings: by single windows
-                            w = text[i : i + length]
-                            rows.append((key, int.from_bytes(hashlib.blake2b(w, digest_size=7).digest()) % chunks, doc, th, i, 1, w))
-                if rows:
-                    types = (pa.int64(),) * 4 + (pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _PIECES.split(", ")])
+            for b in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
+                raw = [unpack.decompress(x) for x in b["packed"].to_pylist()]
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                base = np.cumsum([0, *map(len, raw)])[:-1]
+                found = b["found"].flatten()
+                key, start, n, hot = (found.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "n", "hot"))
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["found"]).to_numpy())
+                chunk, start, n = key % chunks, start.astype(np.int64), n.astype(np.int64)
+                if hot.any():  # keys of very many strings: by single windows
+                    w = np.flatnonzero(hot)
+                    row_, start_ = np.repeat(row[w], n[w]), C.ragged(start[w], n[w])
+                    chunk_ = (_windows(data, base[row_] + start_, length) % np.uint64(chunks)).astype(np.int64)
+                    w = np.flatnonzero(~hot)
+                    chunk, row, start, n = (np.concatenate([x[w], y]) for x, y in ((chunk, chunk_), (row, row_), (start, start_), (n, np.ones(len(row_), np.int64))))
+                order = np.argsort(chunk, kind="stable")
+                chunk, row, start, size = chunk[order], row[order], start[order], n[order] + length - 1
+                ids, th = (b[c].to_numpy()[row] for c in ("doc_id", "th"))
+                cut = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
+                out = [b"".join((np.int64(e - a).tobytes(), *(c[a:e].tobytes() for c in (ids, th, start, size)), data[C.ragged(base[row[a:e]] + start[a:e], size[a:e])].tobytes())) for a, e in zip(cut.tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]]), pa.array(out, pa.binary())], names=["chunk", "strings"])
 
     return run
 
 
-def _recurring(column, length: int) -> np.ndarray:
-    """Strings with a window whose hash occurs twice in the collection; no other can hold a repeated window."""
-    size = pc.binary_length(column).to_numpy().astype(np.int64)
-    h = _grams(np.frombuffer(b"".join(column.to_pylist()), np.uint8))
+def _recurring(data: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of each string's windows whose hash occurs twice in the collection; no other window can recur."""
     count, begin = size - length + 1, size.cumsum() - size
     at = C.ragged(begin, count)
-    w = np.zeros(len(at), np.uint64)
-    for i in [*range(0, length - GRAM, GRAM), length - GRAM]:
-        w = C.mix64(w * _ODD[0] + h[at + i])
+    w = _windows(data, at, length)
     order = np.argsort(w)
     same = w[order][1:] == w[order][:-1]
     twice = np.zeros(len(w), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    return np.logical_or.reduceat(twice, count.cumsum() - count)
+    place, head = at - np.repeat(begin, count), count.cumsum() - count
+    return np.minimum.reduceat(np.where(twice, place, len(data)), head), np.maximum.reduceat(np.where(twice, place + 1, 0), head)
 
 
 def _later(length: int):
-    """One collection -> its windows that equal an earlier one, as spans."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.filter(pa.array(_recurring(table["bytes"], length)))
-        doc, th, start = (table[c].to_numpy() for c in ("doc_id", "th", "start"))
-        size = pc.binary_length(table["bytes"]).to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
+    """Collections -> their windows that equal an earlier one, as spans."""
+
+    def spans(doc, th, start, n):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "th", "start", "n"])
+
+    def cut(data, size, doc, th, start):
+        """What may recur of the strings."""
+        first, end = _recurring(data, size, length)
+        w = np.flatnonzero(end)
+        kept = (end - first)[w] + length - 1
+        return data[C.ragged((size.cumsum() - size + first)[w], kept)], kept, doc[w], th[w], (start + first)[w]
+
+    def later(parts: tuple[bytes]) -> Iterator[pa.RecordBatch]:
+        cols = [[], [], [], []]
+        data = []
+        for p in parts:
+            m = int.from_bytes(p[:8], "little")
+            for i, c in enumerate(cols):
+                c.append(np.frombuffer(p, np.int64, m, 8 + 8 * m * i))
+            data.append(np.frombuffer(p, np.uint8, offset=8 + 32 * m))
+        doc, th, start, size = (np.concatenate(c) for c in cols)
+        data, size, doc, th, start = cut(np.concatenate(data), size, doc, th, start)
+        _, once = np.unique(np.column_stack([doc, th, start]), axis=0, return_index=True)  # of repeated rows, and in order of place
+        joined, end = data.tobytes(), size.cumsum()
+        strings = [joined[end[i] - size[i] : end[i]] for i in once.tolist()]
+        size, doc, th, start = (c[once] for c in (size, doc, th, start))
+        # equal strings are one for the transform; all but the earliest of them are copies as a whole
+        lead: dict[bytes, int] = {}
+        copy = np.array([lead.setdefault(x, i) != i for i, x in enumerate(strings)], bool)
+        yield spans(*(c[copy] for c in (doc, th, start, size - length + 1)))
+        if copy.all():
+            return
+        own = np.flatnonzero(~copy)
+        data, size, doc, th, start = cut(np.frombuffer(b"".join([strings[i] for i in own.tolist()]), np.uint8), *(c[own] for c in (size, doc, th, start)))
+        if not len(size):
+            return
         owner, depth, common = bwt.build(data, size.cumsum() - size, size)
         group = np.cumsum(common < length)
         full = np.flatnonzero(depth >= length)
@@ -236,18 +276,15 @@ def _later(length: int):
         at = start[owner] + size[owner] - depth[full]
         order = np.lexsort((at, th[owner], doc[owner], group))
         owner, group, at = owner[order], group[order], at[order]
-        first = np.ones(len(group), bool)
-        first[1:] = group[1:] != group[:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
-        same = (doc[owner] == doc[owner[lead]]) & (th[owner] == th[owner[lead]]) & (at == at[lead])
-        w = np.flatnonzero(~same)
+        w = 1 + np.flatnonzero(group[1:] == group[:-1])
         w = w[np.lexsort((at[w], owner[w]))]
         o, a = owner[w], at[w]
-        head = np.ones(len(w), bool)
-        head[1:] = (o[1:] != o[:-1]) | (a[1:] != a[:-1] + 1)
-        h = np.flatnonzero(head)
-        run_ = np.diff(np.append(h, len(w)))
-        return pa.table({"doc_id": doc[o[h]], "th": th[o[h]], "start": pa.array(a[h].astype(np.int32)), "n": pa.array(run_.astype(np.int32))})
+        h = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (a[1:] != a[:-1] + 1)])) if len(w) else w
+        yield spans(doc[o[h]], th[o[h]], a[h], np.diff(np.append(h, len(w))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (parts,) in C.side_by_side(batches, "chunk", "strings"):
+            yield from later(parts)
 
     return run
 
@@ -277,7 +314,7 @@ def _remainder(length: int):
     return run
 
 
-def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, chunk_bytes: int = 1 << 20, hot: int = 20_000) -> DataFrame:
+def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, chunk_bytes: int = 4 << 20, hot: int = 20_000) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of its text without the removed bytes.
 
     A byte goes when a string of ``length`` bytes over it also starts earlier: in a document with a smaller id, or in
@@ -292,10 +329,10 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
     cut = _cut(docs.filter(F.octet_length("text") >= length).select("id", "th", "text"), length)
     order = ("key", "digest", "doc_id", "th", "place")
     settled = C.materialize(cut.repartition("key").sortWithinPartitions(*order).mapInArrow(_settle, _SETTLED), "suffix-settled")
-    need = settled.filter("NOT removed").select("key", "doc_id", "th", "start", "n").distinct()
-    many = need.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("key", F.lit(True).alias("hot"))
-    need = need.join(many, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_doc = C.materialize(need.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("found")), "suffix-need")
+    need = settled.filter("NOT removed").select("key", "doc_id", "th", "start", "n")
+    many = C.materialize(need.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("key", F.lit(True).alias("hot")), "suffix-hot")
+    need = need.withColumn("hot", F.lit(False)) if many.isEmpty() else need.join(many, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    by_doc = C.materialize(need.groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "start", "n", "hot")).alias("found")), "suffix-need")
     place = ["doc_id", "th"]
     base = docs.select(F.col("id").alias("doc_id"), "th", "text")
     total = by_doc.agg(F.coalesce(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda a, s: a + F.when(s["hot"], s["n"] * length).otherwise(s["n"] + length))), F.lit(0))).first()[0]
@@ -304,8 +341,9 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
         chunks = max(1, -(-total // chunk_bytes))
         texts = C.packed_texts(base, by_doc, place).join(by_doc, place)
         pieces = texts.mapInArrow(_collections(chunks, length), _PIECES)
-        spans = spans.union(pieces.groupBy("chunk").applyInArrow(_later(length), _SPANS))
+        spans = spans.union(pieces.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_later(length), _SPANS))
     removed = C.materialize(spans.groupBy(*place).agg(F.collect_list(F.struct("start", "n")).alias("found")), "suffix-spans")
+    C.discard(settled, many, by_doc)
     changed = C.packed_texts(base, removed, place).join(removed, place).mapInArrow(_remainder(length), "doc_id long, th long, removed long, spans long, sha string")
     changed = changed.dropDuplicates(place)
     whole = docs.select(F.col("id").alias("doc_id"), "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
