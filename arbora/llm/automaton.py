@@ -177,6 +177,9 @@ class Automaton:
         self.dead = dead[0] if anchored and dead else None
         #: Bytes after which the automaton is at its start whatever came before: texts can be cut behind them.
         self.resets = (step == 0).all(axis=0)[self.byte_class]
+        two = np.array([(step[step[:, c]] == 0).all(axis=0) for c in range(k)])
+        #: Pairs of bytes after which it is there, such as a letter that ends no key and a blank.
+        self.pair_resets = two[self.byte_class][:, self.byte_class]
 
     def longest(self, data: bytes, at: int) -> int:
         """End of the longest match from ``at`` (anchored automata), or -1."""

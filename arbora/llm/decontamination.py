@@ -61,13 +61,15 @@ class Items:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(flat & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.print = simhash(np.array([_signs(s).sum(axis=0) for s in self.sets]).reshape(-1, 64))
-        # block b, value v -> items of whose block b is within the share of the radius of v
+        # for each block: the items in order of its value, and where each value starts
         own = self.print.view(np.uint8).reshape(-1, BLOCKS)
-        near = _NEAR[np.arange(256)[:, None] ^ np.arange(256)] <= radius // BLOCKS
+        #: For a value of a block, the values within the block's share of the radius.
+        self.flips = np.flatnonzero(_NEAR <= radius // BLOCKS).astype(np.uint8)
         self.block = {}
         for size in np.unique(self.sizes).tolist():
             which = np.flatnonzero(self.sizes == size)
-            self.block[size] = which, [near[:, own[which, b]] for b in range(BLOCKS)]
+            order = [which[np.argsort(own[which, b], kind="stable")] for b in range(BLOCKS)]
+            self.block[size] = [(o, np.searchsorted(own[o, b], np.arange(257))) for b, o in enumerate(order)]
 
     def shingles(self, h: np.ndarray, size: int) -> np.ndarray:
         k = min(self.k, size)
@@ -108,22 +110,28 @@ class Items:
         return np.flatnonzero(mark.cumsum()[:-1] > 0)
 
     def _match(self, s, starts, n, size, best) -> None:
-        which, near = self.block[size]
+        index = self.block[size]
+        step = max(1, min(4096, (1 << 20) // max(1, len(index[0][0]))))  # at most so many windows, and a million candidates a block
         for group in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
             if not len(group):
                 continue
-            for i in range(0, len(group), 4096):  # bounded memory on very long texts
-                part = group[i : i + 4096]
+            for i in range(0, len(group), step):  # bounded memory on very long texts
+                part = group[i : i + step]
                 a, b = int(part[0]), int(part[-1]) + n
                 sums = np.concatenate([np.zeros((1, 64), np.int32), _signs(s[a:b]).cumsum(axis=0)])
                 prints = simhash(sums[part - a + n] - sums[part - a])
                 blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-                hit = np.zeros((len(part), len(which)), bool)
-                for x in range(BLOCKS):
-                    hit |= near[x][blocks[:, x]]
-                w, c = np.nonzero(hit)
-                close = np.bitwise_count(prints[w] ^ self.print[which[c]]) <= self.radius
-                for p, item in zip(part[w[close]].tolist(), which[c[close]].tolist()):
+                found = [np.empty(0, np.int64)]
+                for x, (order, at) in enumerate(index):
+                    value = blocks[:, x, None] ^ self.flips
+                    w, v = np.nonzero(at[value.astype(np.int64) + 1] > at[value])
+                    lo = at[value[w, v]]
+                    n_ = at[value[w, v].astype(np.int64) + 1] - lo
+                    w, c = np.repeat(w, n_), order[C.ragged(lo, n_)]
+                    close = np.bitwise_count(prints[w] ^ self.print[c]) <= self.radius
+                    found.append(w[close] * len(self.sets) + c[close])
+                for p, item in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(found)), len(self.sets)))):
+                    p = int(part[p])
                     v = weighted_jaccard(np.sort(s[p : p + n]), self.sets[item])
                     if 100 * v >= self.percent and v > best.get(item, (-1.0, 0))[0]:
                         best[item] = (v, p)
@@ -155,7 +163,8 @@ def matches(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """(doc_id, item_id, similarity, first_word): the items that each row's text holds, with their best window.
 
     Null or wordless texts and items hold and match nothing; items with null ids are left out; repeated rows give
-    repeated results; extra columns are left out. Items go out in blocks of ``most_bytes``, each its own pass.
+    repeated results, an empty table on either side gives none; extra columns are left out. Of equally similar windows
+    the first one counts. Items go out in blocks of ``most_bytes``, each its own pass.
     """
     docs, out = C.keyed(df, id_col, text_col), None
     for rows in _blocks(benchmark, item_id_col, item_text_col, most_bytes):

@@ -11,10 +11,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -38,8 +39,11 @@ def vocabulary(path: str | None = None, longest: int | None = None) -> list[str]
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
+    """Runs of letters (``str.isalpha``), lower-cased."""
+    found = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return ["".join(g) for w in found for letters, g in groupby(w, str.isalpha) if letters]  # superscripts, fractions
 
 
 def batches_of(words: list[str]) -> Iterator[np.ndarray]:
@@ -231,19 +235,21 @@ class _Scorer(dict):
 
 
 def fit(texts: dict[str, list[str]], pieces: list[str], *, rounds: int = 3, smooth: float = 0.05, longest: int | None = None) -> Model:
-    """Expectation maximisation over all segmentations of each language's words."""
-    langs, longest = sorted(texts), longest or max(map(len, pieces), default=1)
+    """``learn`` from texts at hand."""
+    return learn({x: Counter(w for t in own for w in words_of(t)) for x, own in texts.items()}, {x: len(own) for x, own in texts.items()}, pieces, rounds=rounds, smooth=smooth, longest=longest)
+
+
+def learn(counts: dict[str, dict[str, int]], sizes: dict[str, int], pieces: list[str], *, rounds: int = 3, smooth: float = 0.05, longest: int | None = None) -> Model:
+    """Expectation maximisation over all segmentations of each language's words; ``sizes``: documents a language."""
+    langs, longest = sorted(sizes), longest or max(map(len, pieces), default=1)
     if not langs:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0), longest)
-    counts = Counter()
-    for i, lang in enumerate(langs):
-        for t in texts[lang]:
-            counts.update((w, i) for w in words_of(t))
-    words = sorted({w for w, _ in counts})
+    words = sorted({w for own in counts.values() for w in own})
     number = {w: i for i, w in enumerate(words)}
     seen = np.zeros((len(words), len(langs)))
-    for (w, i), n in counts.items():
-        seen[number[w], i] = n
+    for i, lang in enumerate(langs):
+        for w, n in counts.get(lang, {}).items():
+            seen[number[w], i] = n
     look, k = Pieces(pieces, longest), len(pieces) + 1
     prob = np.full((k, len(langs)), 1.0 / k)
     for _ in range(rounds):
@@ -261,24 +267,35 @@ def fit(texts: dict[str, list[str]], pieces: list[str], *, rounds: int = 3, smoo
             np.add.at(got, p, share * seen[at][w])
         prob = got + smooth
         prob /= prob.sum(axis=0)
-    prior = np.array([len(texts[x]) + 1.0 for x in langs])
+    prior = np.array([sizes[x] + 1.0 for x in langs])
     return Model(langs, pieces, prob, prior / prior.sum(), longest)
 
 
 def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 250, held_out: int = 1, folds: int = 3, vocab: str | None = None, **options) -> Model:
     """Learns from at most ``rows`` documents a language, outside the held-out fold, chosen by a hash of the id.
 
-    Ids and languages are sampled first, without texts; only the sample's texts reach the driver.
+    Ids and languages are sampled first, without texts; words are counted where the sample's texts lie, and the counts
+    alone reach the driver.
     """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.slices(batches, "text"):
+            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
+                n = Counter(words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(n) + 1)), pa.array([None, *n], pa.string()), pa.array([1, *n.values()], pa.int64())], names=["lang", "word", "n"])
+
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     pool = base.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (C.crc_fold("doc_id", folds) != held_out))
-    picked = _smallest(pool, rows)
-    texts: dict[str, list[str]] = {}
-    for r in pool.filter("text IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(picked), "lang").filter("h <= top").orderBy("lang", "h", "text").select("lang", "text").collect():
-        texts.setdefault(r.lang, [])
-        if len(texts[r.lang]) < rows:
-            texts[r.lang].append(r.text)
-    return fit(texts, vocabulary(vocab), **options)
+    near = pool.filter("text IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(_smallest(pool, rows)), "lang").filter("h <= top")
+    sample = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= rows).select("lang", "text")
+    counts: dict[str, dict[str, int]] = {}
+    sizes: dict[str, int] = {}
+    for r in sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        if r.word is None:  # a row a document
+            sizes[r.lang] = r.n
+        else:
+            counts.setdefault(r.lang, {})[r.word] = r.n
+    return learn(counts, sizes, vocabulary(vocab), **options)
 
 
 def _smallest(pool: DataFrame, rows: int) -> DataFrame:
@@ -289,7 +306,7 @@ def _smallest(pool: DataFrame, rows: int) -> DataFrame:
 
 
 def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, lang_pred, score. Texts that are null or without a letter: ``und`` and 0.
+    """Per row: doc_id, lang_pred, score. Texts that are null or without a letter: ``und`` and 0; ties: the first language.
 
     Rows are independent; repeated rows and null ids stay, no row moves between tasks, extra columns are left out.
     """

@@ -53,7 +53,9 @@ class Scanner:
 
     def runs(self, data: np.ndarray, ends: np.ndarray, least: int = 160) -> tuple[np.ndarray, np.ndarray]:
         """Runs that no match can reach across: cut at texts' ends and behind resetting bytes."""
-        cut = np.flatnonzero(self.all.resets[data]) + 1
+        reset = self.all.resets[data]
+        reset[1:] |= self.all.pair_resets[data[:-1], data[1:]]
+        cut = np.flatnonzero(reset) + 1
         if len(cut):  # the first cut in each stretch of ``least`` bytes
             cell = cut // least
             cut = cut[np.concatenate([[True], cell[1:] != cell[:-1]])]
@@ -136,7 +138,10 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def redact(df: DataFrame, *, text_col: str = "text", rules=RULES) -> DataFrame:
-    """Replaces each span by ``<KIND>`` (overlapping spans: the first one's), all columns kept; n_chars follows."""
+    """Replaces each span by ``<KIND>`` (overlapping spans: the first one's), all columns kept; n_chars follows.
+
+    Null and empty texts stay as they are, as do texts without a span; rows are independent, so repeated rows stay.
+    """
     schema = df.schema
 
     s = scanner(rules)  # built once on the driver; the arrays go out with the function

@@ -202,7 +202,8 @@ def read(manifest: DataFrame) -> DataFrame:
 
     # One row a file; a running sum over them gives where each file starts.
     begins = manifest.select("part", "ids").withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = manifest.repartition(F.col("path")).mapInArrow(run, _DOCS)
+    n = manifest.count()  # its rows are tiny: without a number AQE would read all files in a task
+    found = manifest.repartition(max(1, n), "path").mapInArrow(run, _DOCS)
     return found.join(begins.select("part", "before"), "part").select("doc_id", (F.col("before") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -193,7 +193,8 @@ def read(index: DataFrame) -> DataFrame:
         if file:
             file.close()
 
-    by_bundle = index.repartition(F.col("path")).sortWithinPartitions("path", "frame", "offset")
+    n = index.agg(F.countDistinct("path")).first()[0]  # index rows are tiny: without a number AQE would read all bundles in a task
+    by_bundle = index.repartition(max(1, n), "path").sortWithinPartitions("path", "frame", "offset")
     return by_bundle.mapInArrow(run, _PAGES)
 
 
