@@ -81,3 +81,15 @@ def per_neuron(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
                 yield out
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="arbora-checkpoints-"))
+    return df.checkpoint()

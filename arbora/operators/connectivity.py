@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import durable
+
 OTHER = "__OTHER__"
 
 
@@ -41,68 +43,94 @@ def group_matrix(edges: DataFrame, row_groups: DataFrame | None = None, col_grou
     return e.groupBy("source", "target").agg(agg("weight").alias("weight"))
 
 
-def connectivity_sparseness(edges: DataFrame, which: str = "LTS", by: str = "target") -> DataFrame:
-    """Lifetime sparseness (LTS), kurtosis (LTK) or activity ratio of each column's weights."""
-    w, n = F.col("weight").cast("double"), F.count("weight")
-    ratio = F.pow(F.sum(w) / n, 2) / (F.sum(w * w) / n)
+def connectivity_sparseness(edges: DataFrame, which: str = "LTS", by: str = "target", dense: bool = True) -> DataFrame:
+    """Lifetime sparseness (LTS), kurtosis (LTK) or activity ratio of each column of weights.
+
+    ``dense``: an edge that is not there weighs 0, so every column has as many values as there are ids on the other side
+    (they are counted first); otherwise it is missing and left out.
+    """
+    w, other = F.col("weight").cast("double"), "source" if by == "target" else "target"
+    n = F.lit(edges.select(other).distinct().count()).cast("double") if dense else F.count("weight").cast("double")
+    m = edges.groupBy(by).agg(n.alias("n"), *(F.sum(F.pow(w, i)).alias(f"s{i}") for i in range(1, 5)))
+    m1, m2, m3, m4 = (F.col(f"s{i}") / F.col("n") for i in range(1, 5))
     if which == "LTS":
-        return edges.groupBy(by).agg(((1 - ratio) / (1 - F.lit(1.0) / n)).alias("sparseness"), n.alias("n")).filter("n > 1").drop("n")
+        return m.filter("n > 1").select(by, ((1 - m1 * m1 / m2) / (1 - 1 / F.col("n"))).alias("sparseness"))
     if which == "activity_ratio":
-        return edges.groupBy(by).agg(ratio.alias("sparseness"))
-    m = edges.groupBy(by).agg(F.avg(w).alias("m"), F.stddev_pop(w).alias("sd"))
-    return edges.join(m, by).filter("sd > 0").groupBy(by).agg((F.avg(F.pow((w - F.col("m")) / F.col("sd"), 4)) - 3).alias("sparseness"))
+        return m.select(by, (1 - m1 * m1 / m2).alias("sparseness"))
+    spread = m2 - m1 * m1
+    return m.filter(spread > 1e-12 * m2).select(by, ((m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * F.pow(m1, 4)) / (spread * spread) - 3).alias("sparseness"))
 
 
-def connectivity_similarity(adjacency: DataFrame, metric: str = "vertex_normalized", c1: float = 0.5, c2: float = 1.0) -> DataFrame:
-    """Similarity of each pair (a < b) of sources by their weights to the same targets.
+def _pairs(sources: DataFrame, queries: DataFrame | None) -> DataFrame:
+    """All pairs (a, b): each of ``queries`` (a column a) with every other source, or each two sources once (a < b).
 
-    Long form: pairs meet on targets they share; what only one of them has is added from per-source sums, so no pair
-    without a shared target is formed for the overlap metrics (it scores as the formula gives with empty overlap: 0).
+    The result of a similarity is dense, so its size is the number of queries times the number of sources.
     """
-    e = adjacency.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("w")).filter("w > 0")
-    f_alone = 0 - c1 * F.col("w")  # min is 0: 0 - c1 * max * exp(0)
-    tot = e.groupBy("source").agg(F.sum("w").alias("s"), F.count("*").alias("n"), F.sum(F.col("w") * F.col("w")).alias("q"), F.sum(f_alone).alias("alone"))
+    b = sources.select(F.col("source").alias("b"))
+    if queries is None:
+        return b.join(sources.select(F.col("source").alias("a")), F.col("a") < F.col("b")).select("a", "b")
+    return b.join(queries.select("a").distinct(), F.col("a") != F.col("b")).select("a", "b")
+
+
+def connectivity_similarity(adjacency: DataFrame, metric: str = "vertex_normalized", c1: float = 0.5, c2: float = 1.0, queries: DataFrame | None = None, threshold: float = 0.0) -> DataFrame:
+    """Similarity of pairs (a, b) of sources by their weights to the same targets, pairs that share none included.
+
+    Long form: pairs meet on targets they share; what only one of them has comes from per-source sums. ``queries`` as for
+    ``_pairs``; weights under ``threshold`` count as 0. Sources without any weight are in no pair.
+    """
+    e = adjacency.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("w")).filter((F.col("w") > 0) & (F.col("w") >= threshold))
+    if metric == "rank_index":
+        return rank_index(e.withColumnRenamed("w", "weight"), queries)
+    w = F.col("w")
+    top = lambda w: w - c1 * w * F.exp(-c2 * w)  # noqa: E731  the highest value that a weight can give
+    tot = e.groupBy("source").agg(F.sum(w).alias("s"), F.count("*").alias("n"), F.sum(w * w).alias("q"), F.sum(top(w)).alias("top"))
     a, b = (e.select(F.col("source").alias(k), "target", F.col("w").alias(f"w{k}")) for k in "ab")
-    if metric == "vertex_normalized":
-        return _vertex_normalized(e, a, b, c1, c2)
+    pairs = _pairs(tot, queries)
     lo, hi = F.least("wa", "wb"), F.greatest("wa", "wb")
-    both = a.join(b, "target").filter("a < b").groupBy("a", "b").agg(
-        F.count("*").alias("m"), F.sum(F.col("wa") + F.col("wb")).alias("shared"), F.sum("wa").alias("sa"), F.sum("wb").alias("sb"), F.sum(F.col("wa") * F.col("wb")).alias("dot"),
-        F.sum(lo - c1 * hi * F.exp(-c2 * lo)).alias("f"), F.sum(c1 * (F.col("wa") + F.col("wb"))).alias("fadd"),
+    a = a.join(queries.select("a").distinct(), "a", "left_semi") if queries is not None else a
+    shared = a.join(b, "target").filter("a < b" if queries is None else "a <> b").groupBy("a", "b").agg(
+        F.count("*").alias("m"), F.sum("wa").alias("sa"), F.sum("wb").alias("sb"), F.sum(F.col("wa") * F.col("wb")).alias("dot"),
+        F.sum(lo - c1 * hi * F.exp(-c2 * lo)).alias("f"), F.sum(hi).alias("hi"), F.sum(top(hi) - top(F.col("wa")) - top(F.col("wb"))).alias("more"),
     )
+    t = pairs.join(shared, ["a", "b"], "left").fillna(0.0)
+    for k in "ab":
+        t = t.join(tot.select(F.col("source").alias(k), *(F.col(x).alias(f"{x}_all{k}") for x in ("s", "n", "q", "top"))), k)
+    c = F.col
+    # targets of one of them alone: the smaller weight is 0, so f is -c1 times the weight
+    f = c("f") - c1 * (c("s_alla") + c("s_allb") - c("sa") - c("sb"))
+    lowest = -c1 * (c("s_alla") + c("s_allb") - c("sa") - c("sb") + c("hi"))
+    highest = c("top_alla") + c("top_allb") + c("more")
     value: Column = {
-        "matching_index": F.col("m") / (F.col("na") + F.col("nb") - F.col("m")),
-        "matching_index_synapses": F.col("shared") / (F.col("sa_") + F.col("sb_")),
-        "matching_index_weighted_synapses": (F.col("sa") / F.col("sa_")) * (F.col("sb") / F.col("sb_")),
-        "vertex": F.col("f") + F.col("fadd") + F.col("alonea") + F.col("aloneb"),
-        "cosine": F.col("dot") / F.sqrt(F.col("qa") * F.col("qb")),
+        "matching_index": c("m") / (c("n_alla") + c("n_allb") - c("m")),
+        "matching_index_synapses": (c("sa") + c("sb")) / (c("s_alla") + c("s_allb")),
+        "matching_index_weighted_synapses": (c("sa") / c("s_alla")) * (c("sb") / c("s_allb")),
+        "vertex": f,
+        "vertex_normalized": F.when(highest > lowest, (f - lowest) / (highest - lowest)).otherwise(0.0),
+        "cosine": c("dot") / F.sqrt(c("q_alla") * c("q_allb")),
     }[metric]
-    t = both.join(tot.select(F.col("source").alias("a"), F.col("s").alias("sa_"), F.col("n").alias("na"), F.col("q").alias("qa"), F.col("alone").alias("alonea")), "a").join(tot.select(F.col("source").alias("b"), F.col("s").alias("sb_"), F.col("n").alias("nb"), F.col("q").alias("qb"), F.col("alone").alias("aloneb")), "b")
     return t.select("a", "b", value.alias("similarity"))
 
 
-def _vertex_normalized(e: DataFrame, a: DataFrame, b: DataFrame, c1: float, c2: float) -> DataFrame:
-    """(f - lowest) / (highest - lowest): lowest when no target is shared, highest when each has the larger weight."""
-    lo, hi = F.least("wa", "wb"), F.greatest("wa", "wb")
-    top = lambda w: w - c1 * w * F.exp(-c2 * w)
-    alone = e.groupBy("source").agg(F.sum(-c1 * F.col("w")).alias("low"), F.sum(top(F.col("w"))).alias("high"))
-    both = a.join(b, "target").filter("a < b").groupBy("a", "b").agg(
-        F.sum(lo - c1 * hi * F.exp(-c2 * lo) + c1 * (F.col("wa") + F.col("wb"))).alias("f"), F.sum(c1 * (F.col("wa") + F.col("wb")) - c1 * hi).alias("low"), F.sum(top(hi) - top(F.col("wa")) - top(F.col("wb"))).alias("high"))
-    t = both.join(alone.select(F.col("source").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha")), "a").join(alone.select(F.col("source").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
-    f, low, high = (F.col(x) + F.col(y) + F.col(z) for x, y, z in (("f", "la", "lb"), ("low", "la", "lb"), ("high", "ha", "hb")))
-    return t.select("a", "b", F.when(high > low, (f - low) / (high - low)).otherwise(0.0).alias("similarity"))
+def rank_index(adjacency: DataFrame, queries: DataFrame | None = None, normalize: bool = True) -> DataFrame:
+    """1 - the distance of two sources' ranks of all targets over the largest that there can be.
 
-
-def rank_index(adjacency: DataFrame) -> DataFrame:
-    """1 - normalised sum of rank differences over all targets that either of a pair reaches (ranks by weight)."""
+    Ranks are of whole vectors, zeros included, ties share their mean rank. Not normalised: 1 / distance (1 at 0).
+    """
     e = adjacency.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("w")).filter("w > 0")
-    r = e.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("w"), "target")))
-    a, b = (r.select(F.col("source").alias(k), "target", F.col("r").alias(f"r{k}")) for k in "ab")
-    n = e.groupBy("source").agg(F.count("*").alias("n"))
-    both = a.join(b, "target").filter("a < b").groupBy("a", "b").agg(F.sum(F.abs(F.col("ra") - F.col("rb"))).alias("d"), F.count("*").alias("m"))
-    t = both.join(n.select(F.col("source").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("source").alias("b"), F.col("n").alias("nb")), "b")
-    big = F.greatest("na", "nb")
-    return t.select("a", "b", (F.col("m") / (F.col("na") + F.col("nb") - F.col("m")) * (1 - F.col("d") / (F.col("m") * big))).alias("similarity"))
+    n = e.select("target").distinct().count()
+    by = Window.partitionBy("source")
+    e = e.withColumn("zeros", n - F.count("*").over(by))
+    below, level = F.rank().over(by.orderBy("w")) - 1, F.count("*").over(Window.partitionBy("source", "w"))
+    r = e.select("source", "target", (F.col("zeros") + below + (level + 1) / 2).alias("r"))
+    zero = e.groupBy("source").agg(((F.first("zeros") + 1) / 2).alias("z"))
+    pairs = _pairs(zero, queries)
+    ra, rb = (pairs.join(r.select(F.col("source").alias(k), "target", F.col("r").alias(f"r{k}")), k) for k in "ab")
+    both = ra.unionByName(rb, allowMissingColumns=True).groupBy("a", "b", "target").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+    for k in "ab":
+        both = both.join(zero.select(F.col("source").alias(k), F.col("z").alias(f"z{k}")), k)
+    d = both.groupBy("a", "b").agg((F.sum(F.abs(F.coalesce("ra", "za") - F.coalesce("rb", "zb"))) + (n - F.count("*")) * F.abs(F.first("za") - F.first("zb"))).alias("d"))
+    sim = 1 - F.col("d") / F.lit(max(1, n * n // 2)) if normalize else F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0)
+    return d.select("a", "b", sim.alias("similarity"))
 
 
 # --- spatial -------------------------------------------------------------------------------------------------------
@@ -251,21 +279,23 @@ def activation(weight: Column, min_w: float = 0.0, max_w: float = 0.3) -> Column
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_steps: int = 15, iterations: int = 1, min_w: float = 0.0, max_w: float = 0.3, seed: int | None = None) -> DataFrame:
-    """Step at which each node is first reached, per iteration: seeds at 1, then targets of what is reached, each edge with
-    the probability of its weight (with ``seed`` None: only edges of probability 1 fire). Each step is a join of the
-    frontier with the edges; lineage is cut through checkpoints or written tables of the caller's session."""
-    e = edges.select(F.col("source"), F.col("target"), activation(F.col("weight").cast("double"), min_w, max_w).alias("p"))
+    """Step at which each node is first reached, per iteration: seeds at 1; at every step each edge from a reached node to
+    one that is not fires with the probability of its weight.
+
+    The dice are a hash of iteration, edge, step and ``seed``, so a step that is computed again gives the same. With
+    ``seed`` None only edges of probability 1 fire. Each step's result is checkpointed.
+    """
+    e = edges.select("source", "target", activation(F.col("weight").cast("double"), min_w, max_w).alias("p")).filter("p > 0" if seed is not None else "p >= 1")
     run = edges.sparkSession.range(iterations).select(F.col("id").alias("iteration"))
-    reached = run.join(seeds.select(F.col("node")).distinct(), how="full_outer", on=F.lit(True)).withColumn("step", F.lit(1))
-    frontier = reached
+    reached = durable(seeds.select("node").distinct().join(run, F.lit(True)).select("iteration", "node", F.lit(1).alias("step")))
+    n = reached.count()
     for step in range(2, max_steps + 1):
-        out = frontier.join(e, frontier["node"] == e["source"]).filter(F.col("p") >= (F.lit(1.0) if seed is None else F.rand(seed + step)))
-        out = out.select("iteration", F.col("target").alias("node")).distinct()
-        frontier = out.join(reached, ["iteration", "node"], "left_anti").withColumn("step", F.lit(step))
-        reached = reached.unionByName(frontier)
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            reached, frontier = reached.checkpoint(), frontier.checkpoint()
-        if frontier.isEmpty():
+        open_ = reached.join(e, F.col("node") == F.col("source")).select("iteration", "source", "target", "p").join(reached.select("iteration", F.col("node").alias("target")), ["iteration", "target"], "left_anti")
+        dice = F.pmod(F.xxhash64("iteration", "source", "target", F.lit(step), F.lit(seed or 0)), F.lit(1 << 53)) / float(1 << 53)
+        new = (open_.filter(dice < F.col("p")) if seed is not None else open_).select("iteration", F.col("target").alias("node")).distinct().withColumn("step", F.lit(step))
+        reached = durable(reached.unionByName(new))
+        before, n = n, reached.count()
+        if n == before and seed is None:
             break
     return reached
 
@@ -276,16 +306,27 @@ def traversal_summary(reached: DataFrame) -> DataFrame:
 
 
 def bayesian_traverse(edges: DataFrame, seeds: DataFrame, max_steps: int = 5, min_w: float = 0.0, max_w: float = 0.3) -> DataFrame:
-    """Probability that each node has been reached by each step: new arrivals at a source's steps fire along its edges, a
-    target is missed only if every one of them fails."""
+    """Probability ``cmf`` that each node has been reached by each step (node, step, cmf).
+
+    An edge whose source is first reached at step k fires at each later step, so by step t it has fired with probability
+    1 - (1 - p)^(t - k); that is summed over the source's first steps, and a target is missed if all its edges miss it.
+    """
     e = edges.select("source", "target", activation(F.col("weight").cast("double"), min_w, max_w).alias("p")).filter("p > 0")
-    state = seeds.select("node").distinct().select("node", F.lit(1.0).alias("cmf"))
-    out = state.withColumn("step", F.lit(1))
-    for step in range(2, max_steps + 1):
-        miss = F.exp(F.sum(F.when(F.col("p") * F.col("cmf") >= 1, F.lit(-1e9)).otherwise(F.log1p(-F.col("p") * F.col("cmf")))))
-        got = state.join(e, state["node"] == e["source"]).groupBy("target").agg((1 - miss).alias("got"))
-        state = state.join(got.withColumnRenamed("target", "node"), "node", "full_outer").select("node", F.greatest(F.coalesce("cmf", F.lit(0.0)), F.coalesce("got", F.lit(0.0))).alias("cmf"))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
-        out = out.unionByName(state.withColumn("step", F.lit(step)))
-    return out
+    seeds = seeds.select("node").distinct()
+    nodes = e.select(F.col("source").alias("node")).union(e.select(F.col("target").alias("node"))).union(seeds).distinct()
+    state = durable(nodes.join(seeds.withColumn("one", F.lit(1.0)), "node", "left").select("node", F.array(F.coalesce("one", F.lit(0.0))).alias("cmf")))
+    for t in range(1, max_steps):  # state has steps 1 to t
+        first = F.transform(F.sequence(F.lit(1), F.lit(t)), lambda k: (F.element_at("cmf", k) - F.when(k > 1, F.element_at("cmf", F.greatest(k - 1, F.lit(1)))).otherwise(0.0)) * (1 - F.pow(1 - F.col("p"), F.lit(t + 1) - k)))
+        fired = state.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.aggregate(first, F.lit(0.0), lambda x, y: x + y).alias("d"))
+        got = fired.groupBy("node").agg((1 - F.product(1 - F.least(F.col("d"), F.lit(1.0)))).alias("got"))
+        state = durable(state.join(got, "node", "left").select("node", F.concat("cmf", F.array(F.greatest(F.element_at("cmf", -1), F.coalesce("got", F.lit(0.0))))).alias("cmf")))
+    return state.select("node", F.posexplode("cmf").alias("step", "cmf")).withColumn("step", F.col("step") + 1)
+
+
+def bayesian_summary(reached: DataFrame) -> DataFrame:
+    """First and last step with a chance, mean and median step of each node that may be reached, of (node, step, cmf)."""
+    by = Window.partitionBy("node").orderBy("step")
+    p = reached.withColumn("p", F.col("cmf") - F.coalesce(F.lag("cmf").over(by), F.lit(0.0)))
+    total = F.max("cmf")
+    return p.groupBy("node").agg(F.min(F.when(F.col("cmf") > 0, F.col("step"))).alias("layer_min"), F.max(F.when(F.col("p") > 0, F.col("step"))).alias("layer_max"),
+        (F.sum(F.col("p") * F.col("step")) / total).alias("layer_mean"), F.min(F.when(F.col("cmf") >= 0.5, F.col("step"))).alias("layer_median")).filter("layer_min IS NOT NULL")

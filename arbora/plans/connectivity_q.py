@@ -10,11 +10,12 @@ from .oracle import sql
 from .registry import query, rounded
 
 
-def _few_edges(s, d):
-    return X.edges(s, d).filter("source <= 40")
+def _queries(s, d):
+    """The stated query set: sources divisible by 20, against all sources."""
+    return X.edges(s, d).filter("source % 20 = 0").select(F.col("source").alias("a")).distinct()
 
 
-_E = "SELECT source, target, CAST(weight AS DOUBLE) AS w FROM edges WHERE source <= 40"
+_E = "SELECT source, target, CAST(weight AS DOUBLE) AS w FROM edges"
 _EDGES = """SELECT coalesce(p.connector_id, q.connector_id) AS connector_id, coalesce(CAST(p.neuron AS VARCHAR), '__OTHER__') AS source, coalesce(CAST(q.neuron AS VARCHAR), '__OTHER__') AS target, p.node_id AS source_node, q.node_id AS target_node
 FROM (SELECT * FROM connectors WHERE type = 'pre') p FULL JOIN (SELECT * FROM connectors WHERE type = 'post') q ON p.connector_id = q.connector_id"""
 
@@ -45,33 +46,41 @@ FROM edges GROUP BY 1, 2""", "edges"))
         return rounded(N.group_matrix(e, rows, cols, m))
 
 
-_R = "pow(sum(w) / count(*), 2) / (sum(w * w) / count(*))"
-_W = "SELECT target, CAST(weight AS DOUBLE) AS w FROM edges"
+# dense: one value for every source and target, absent weights are 0
+_GRID = dict(
+    e=_E,
+    v="SELECT t.target, coalesce(e.w, 0) AS w FROM (SELECT DISTINCT source FROM e) s CROSS JOIN (SELECT DISTINCT target FROM e) t LEFT JOIN e ON e.source = s.source AND e.target = t.target")
+_RATIO = "pow(sum(w / n), 2) / sum(w * w / n)"
+_N = "(SELECT *, count(*) OVER (PARTITION BY target) AS n FROM v)"
 
 
-@query("sparseness_lts", sql(f"SELECT target, round((1 - {_R}) / (1 - 1.0 / count(*)), 6) + 0.0 AS sparseness FROM v GROUP BY 1 HAVING count(*) > 1", "edges", v=_W))
+@query("sparseness_lts", sql(f"SELECT target, round(1 / (1 - 1.0 / max(n)) * (1 - {_RATIO}), 6) + 0.0 AS sparseness FROM {_N} GROUP BY 1", "edges", **_GRID))
 def _(s, d):
     return rounded(N.connectivity_sparseness(X.edges(s, d), "LTS"), 6)
 
 
-@query("sparseness_activity_ratio", sql(f"SELECT target, round({_R}, 6) AS sparseness FROM v GROUP BY 1", "edges", v=_W))
+@query("sparseness_activity_ratio", sql(f"SELECT target, round(1 - {_RATIO}, 6) + 0.0 AS sparseness FROM {_N} GROUP BY 1", "edges", **_GRID))
 def _(s, d):
     return rounded(N.connectivity_sparseness(X.edges(s, d), "activity_ratio"), 6)
 
 
-@query("sparseness_ltk", sql("SELECT v.target, round(avg(pow((w - m) / sd, 4)) - 3, 6) + 0.0 AS sparseness FROM v JOIN (SELECT target, avg(w) AS m, stddev_pop(w) AS sd FROM v GROUP BY 1) q ON q.target = v.target WHERE sd > 0 GROUP BY 1", "edges", v=_W))
+@query("sparseness_ltk", sql("SELECT v.target, round(sum(pow((w - m) / sd, 4)) / count(*) - 3, 8) + 0.0 AS sparseness FROM v JOIN (SELECT target, avg(w) AS m, stddev_pop(w) AS sd FROM v GROUP BY 1) q ON q.target = v.target WHERE sd > 0 GROUP BY 1", "edges", **_GRID))
 def _(s, d):
-    return rounded(N.connectivity_sparseness(X.edges(s, d), "LTK"), 6)
+    return rounded(N.connectivity_sparseness(X.edges(s, d), "LTK"), 8)
+
 
+@query("sparseness_lts_missing", sql(f"SELECT target, round(1 / (1 - 1.0 / max(n)) * (1 - {_RATIO}), 6) + 0.0 AS sparseness FROM {_N} GROUP BY 1 HAVING max(n) > 1", "edges", v=_E))
+def _(s, d):
+    return rounded(N.connectivity_sparseness(X.edges(s, d), "LTS", dense=False), 6)
 
-# dense: every pair over the union of both rows' targets, absent weights are 0
+
+# each query with every other source, over all targets
 _DENSE = dict(
     e=_E,
-    pairs="SELECT DISTINCT a.source AS a, b.source AS b FROM e a JOIN e b ON a.target = b.target AND a.source < b.source",
-    u="SELECT DISTINCT p.a, p.b, t.target FROM pairs p JOIN e t ON t.source = p.a OR t.source = p.b",
-    x="SELECT u.a, u.b, coalesce(a.w, 0) AS wa, coalesce(b.w, 0) AS wb FROM u LEFT JOIN e a ON a.source = u.a AND a.target = u.target LEFT JOIN e b ON b.source = u.b AND b.target = u.target")
+    x="""SELECT p.a, p.b, t.target, coalesce(a.w, 0) AS wa, coalesce(b.w, 0) AS wb FROM (SELECT x.source AS a, y.source AS b FROM (SELECT DISTINCT source FROM e WHERE source % 20 = 0) x, (SELECT DISTINCT source FROM e) y WHERE x.source <> y.source) p
+CROSS JOIN (SELECT DISTINCT target FROM e) t LEFT JOIN e a ON a.source = p.a AND a.target = t.target LEFT JOIN e b ON b.source = p.b AND b.target = t.target""")
 _METRICS = {
-    "matching_index": "CAST(count(*) FILTER (wa > 0 AND wb > 0) AS DOUBLE) / count(*)",
+    "matching_index": "CAST(count(*) FILTER (wa > 0 AND wb > 0) AS DOUBLE) / count(*) FILTER (wa > 0 OR wb > 0)",
     "matching_index_synapses": "sum(CASE WHEN wa > 0 AND wb > 0 THEN wa + wb ELSE 0 END) / sum(wa + wb)",
     "matching_index_weighted_synapses": "sum(CASE WHEN wb > 0 THEN wa ELSE 0 END) / sum(wa) * (sum(CASE WHEN wa > 0 THEN wb ELSE 0 END) / sum(wb))",
     "cosine": "sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb))",
@@ -82,14 +91,14 @@ for _m, _f in _METRICS.items():
 
     @query(f"similarity_{_m}", sql(f"SELECT a, b, round({_f}, 6) + 0.0 AS similarity FROM x GROUP BY 1, 2", "edges", **_DENSE))
     def _(s, d, m=_m):
-        return rounded(N.connectivity_similarity(_few_edges(s, d), m), 6)
+        return rounded(N.connectivity_similarity(X.edges(s, d), m, queries=_queries(s, d)), 6)
 
 
 _SCORES = "SELECT a AS query, b AS target, round(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 6) AS score FROM x GROUP BY 1, 2"
 
 
-def _scores(s, d, edges=_few_edges):
-    t = N.connectivity_similarity(edges(s, d), "cosine")
+def _scores(s, d):
+    t = N.connectivity_similarity(X.edges(s, d), "cosine", queries=_queries(s, d))
     return rounded(t.select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("similarity").alias("score")), 6)
 
 
@@ -117,21 +126,22 @@ def _(s, d):
 
 @query("bipartite_match")
 def _(s, d):
-    return N.bipartite_match(_scores(s, d, X.edges), 0.01)
+    return N.bipartite_match(_scores(s, d), 0.01)
 
 
-@query("rank_index", sql("""SELECT p.a, p.b, round(CAST(p.m AS DOUBLE) / (x.n + y.n - p.m) * (1 - p.d / (p.m * greatest(x.n, y.n))), 6) AS similarity FROM
-(SELECT a.source AS a, b.source AS b, CAST(sum(abs(a.r - b.r)) AS DOUBLE) AS d, count(*) AS m FROM r a JOIN r b ON a.target = b.target AND a.source < b.source GROUP BY 1, 2) p JOIN n x ON x.source = p.a JOIN n y ON y.source = p.b""", "edges", e=_E,
-    r="SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY w DESC, target) AS r FROM e", n="SELECT source, count(*) AS n FROM e GROUP BY 1"))
+@query("rank_index", sql("""SELECT a, b, round(1 - sum(abs(ra - rb)) / (max(t) * max(t) // 2), 6) AS similarity FROM (SELECT x.a, x.b, x.target, ra.r AS ra, rb.r AS rb, count(*) OVER (PARTITION BY x.a, x.b) AS t
+FROM x JOIN r ra ON ra.source = x.a AND ra.target = x.target JOIN r rb ON rb.source = x.b AND rb.target = x.target) GROUP BY 1, 2""", "edges", **_DENSE,
+    g="SELECT s.source, t.target, coalesce(e.w, 0) AS w FROM (SELECT DISTINCT source FROM e) s CROSS JOIN (SELECT DISTINCT target FROM e) t LEFT JOIN e ON e.source = s.source AND e.target = t.target",
+    r="SELECT source, target, rank() OVER (PARTITION BY source ORDER BY w) + (count(*) OVER (PARTITION BY source, w) - 1) / 2.0 AS r FROM g"))
 def _(s, d):
-    return rounded(N.rank_index(_few_edges(s, d)), 6)
+    return rounded(N.connectivity_similarity(X.edges(s, d), "rank_index", queries=_queries(s, d)), 6)
 
 
-_NB = "SELECT neuron AS a, neuron + 1 AS b FROM (SELECT DISTINCT neuron FROM nodes) WHERE neuron < 10"
+_NB = "SELECT neuron AS a, neuron + 1 AS b  FROM (SELECT DISTINCT neuron FROM nodes)"
 
 
 def _neighbours(s, d):
-    return X.nodes(s, d).select(F.col("neuron").alias("a")).distinct().filter("a < 10").withColumn("b", F.col("a") + 1)
+    return X.nodes(s, d).select(F.col("neuron").alias("a")).distinct().withColumn("b", F.col("a") + 1)
 
 
 @query("cable_overlap", sql("""SELECT a, b, round(sum(l), 3) AS overlap FROM (SELECT p.a, p.b, q.pid, min_by(t.length, (sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z)), t.pid)) AS l FROM pr p JOIN points q ON q.neuron = p.b JOIN points t ON t.neuron = p.a
@@ -145,29 +155,39 @@ _SD = "sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))"
 
 @query("synapse_similarity", sql("""SELECT t.a, t.b, round(coalesce(s.s, 0) / t.n, 6) AS similarity FROM (SELECT p.a, p.b, count(*) AS n FROM pr p JOIN c ON c.neuron = p.a GROUP BY 1, 2) t
 LEFT JOIN (SELECT m.a, m.b, sum(exp(-abs(x.n - y.n) / CAST(x.n + y.n AS DOUBLE)) * exp(-m.d * m.d / (2 * 200.0 * 200.0))) AS s FROM m JOIN n x ON x.sid = m.sid JOIN n y ON y.sid = m.tid GROUP BY 1, 2) s ON s.a = t.a AND s.b = t.b""", "connectors", pr=_NB,
-    c="SELECT *, neuron * 100000 + node_id AS sid FROM connectors WHERE neuron <= 10",
+    c="SELECT *, neuron * 100000 + node_id AS sid FROM connectors",
     n=f"SELECT p.sid, count(*) AS n FROM c p JOIN c q ON p.neuron = q.neuron AND p.type = q.type AND {_SD} <= 300 GROUP BY 1",
     m=f"SELECT pr.a, pr.b, p.sid, min({_SD}) AS d, min_by(q.sid, ({_SD}, q.sid)) AS tid FROM pr JOIN c p ON p.neuron = pr.a JOIN c q ON q.neuron = pr.b AND q.type = p.type GROUP BY 1, 2, 3"))
 def _(s, d):
-    c = X.connectors(s, d).filter("neuron <= 10").withColumn("sid", F.col("neuron") * 100000 + F.col("node_id"))
+    c = X.connectors(s, d).withColumn("sid", F.col("neuron") * 100000 + F.col("node_id"))
     return rounded(N.synapse_similarity(c, _neighbours(s, d), 200.0, 300.0), 6)
 
 
+# edges of a network whose nodes are both sources and targets
+_NET = "SELECT source AS src, target % (SELECT max(source) FROM edges) AS target, weight FROM edges"
+
+
+def _network(s, d):
+    e = X.edges(s, d)
+    return e.select("source", (F.col("target") % F.lit(e.agg(F.max("source")).first()[0])).alias("target"), "weight")
+
+
 @query("traversal", sql("SELECT node, min(step) AS step FROM (SELECT 1 AS node, 1 AS step UNION ALL SELECT target, 2 FROM e WHERE src = 1 UNION ALL SELECT y.target, 3 FROM e x JOIN e y ON y.src = x.target WHERE x.src = 1 UNION ALL SELECT z.target, 4 FROM e x JOIN e y ON y.src = x.target JOIN e z ON z.src = y.target WHERE x.src = 1) GROUP BY 1", "edges",
-    e="SELECT source AS src, target % 100 AS target FROM edges WHERE weight >= 2 AND source <= 100"))
+    net=_NET, e="SELECT DISTINCT src, target FROM net WHERE weight >= 2"))
 def _(s, d):
-    e = X.edges(s, d).filter("weight >= 2 AND source <= 100").withColumn("target", F.col("target") % 100)
-    t = N.traverse(e, s.range(1, 2).withColumnRenamed("id", "node"), 4, min_w=0, max_w=2)
+    t = N.traverse(_network(s, d), s.range(1, 2).withColumnRenamed("id", "node"), 4, min_w=0, max_w=2)
     return t.select("node", "step")
 
 
-@query("bayesian_traversal", sql("""SELECT node, step, round(cmf, 6) AS cmf FROM (SELECT 1 AS node, CAST(1 AS DOUBLE) AS cmf, 1 AS step UNION ALL SELECT node, cmf, 2 FROM s2 UNION ALL SELECT node, cmf, 3 FROM s3)""", "edges",
-    e="SELECT source AS src, target % 100 + 1000 * CAST(target % 7 > 0 AS INT) AS target, least(1.0, sum(weight) / 8.0) AS p FROM edges WHERE source <= 100 GROUP BY 1, 2",
-    s1="SELECT 1 AS node, CAST(1 AS DOUBLE) AS cmf",
-    g2="SELECT target, 1 - exp(sum(CASE WHEN p * cmf >= 1 THEN -1e9 ELSE ln(1 - p * cmf) END)) AS g FROM s1 JOIN e ON e.src = s1.node GROUP BY 1",
-    s2="SELECT coalesce(node, target) AS node, greatest(coalesce(cmf, 0), coalesce(g, 0)) AS cmf FROM s1 FULL JOIN g2 ON node = target",
-    g3="SELECT target, 1 - exp(sum(CASE WHEN p * cmf >= 1 THEN -1e9 ELSE ln(1 - p * cmf) END)) AS g FROM s2 JOIN e ON e.src = s2.node GROUP BY 1",
-    s3="SELECT coalesce(node, target) AS node, greatest(coalesce(cmf, 0), coalesce(g, 0)) AS cmf FROM s2 FULL JOIN g3 ON node = target"))
+def _step(t):
+    """SQL: cmf of every node at step t from the steps before it."""
+    fired = " + ".join(f"(s.c{k} - {f's.c{k - 1}' if k > 1 else 0}) * (1 - pow(1 - e.p, {t - k}))" for k in range(1, t))
+    own = ", ".join(f"s.c{k}" for k in range(1, t))
+    return f"SELECT s.node, {own}, greatest(s.c{t - 1}, coalesce(g.g, 0)) AS c{t} FROM s{t - 1} s LEFT JOIN (SELECT e.target, 1 - product(1 - least(1.0, {fired})) AS g FROM s{t - 1} s JOIN e ON e.src = s.node GROUP BY 1) g ON g.target = s.node"
+
+
+@query("bayesian_traversal", sql(" UNION ALL ".join(f"SELECT node, {k} AS step, round(c{k}, 6) AS cmf FROM s4" for k in range(1, 5)), "edges", net=_NET,
+    e="SELECT src, target, least(1.0, sum(weight) / 8.0) AS p FROM net GROUP BY 1, 2", s1="SELECT node, CAST(node = 1 AS INT) * 1.0 AS c1 FROM (SELECT src AS node FROM e UNION SELECT target FROM e)", **{f"s{t}": _step(t) for t in (2, 3, 4)}))
 def _(s, d):
-    e = X.edges(s, d).filter("source <= 100").groupBy("source", (F.col("target") % 100 + 1000 * (F.col("target") % 7 > 0).cast("int")).alias("target")).agg(F.sum("weight").alias("weight"))
-    return rounded(N.bayesian_traverse(e, s.range(1, 2).withColumnRenamed("id", "node"), 3, min_w=0, max_w=8), 6)
+    e = _network(s, d).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    return rounded(N.bayesian_traverse(e, s.range(1, 2).withColumnRenamed("id", "node"), 4, min_w=0, max_w=8), 6)

@@ -13,7 +13,7 @@ FROM (SELECT CAST(FLOOR(l_orderkey / 64) AS BIGINT) AS neuron,
   CAST(l_extendedprice / 100.0 AS DOUBLE) AS x, CAST(l_partkey AS DOUBLE) AS y, CAST(l_suppkey * 10.0 AS DOUBLE) AS z,
   CAST(l_quantity AS DOUBLE) AS radius, l_returnflag AS label FROM lineitem) t"""
 
-CONNECTORS = """SELECT n.neuron, CAST(n.node_id % 97 AS BIGINT) AS connector_id, n.node_id,
+CONNECTORS = """SELECT n.neuron, CAST(FLOOR(n.neuron / 8) * 97 + n.node_id % 97 AS BIGINT) AS connector_id, n.node_id,
   CASE WHEN (n.node_id + n.neuron) % 2 = 0 THEN 'pre' ELSE 'post' END AS type, n.x, n.y, n.z
 FROM nodes n WHERE n.node_id % 5 = 0"""
 
