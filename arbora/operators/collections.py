@@ -34,6 +34,27 @@ def remove_duplicates(df: DataFrame, keys: list[str], order: str, keep: str | bo
     return df.withColumn("__n", F.row_number().over(w.orderBy(F.asc(order) if keep == "first" else F.desc(order)))).filter("__n = 1").drop("__n")
 
 
+def tail(meta: DataFrame, n: int = 5, order: str = "neuron") -> DataFrame:
+    """The last ``n`` rows of an order."""
+    return meta.orderBy(F.desc(order)).limit(n)
+
+
+def sample(meta: DataFrame, n: int, seed: int = 0, key: str = "neuron") -> DataFrame:
+    """``n`` rows by the order of a seeded hash of the key: the same ones for the same seed."""
+    return meta.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def summarise(meta: DataFrame, columns: list[str], how: str = "mean", by: str | None = None) -> DataFrame:
+    """Mean or sum of numeric columns, over all rows or by groups."""
+    f = {"mean": F.avg, "sum": F.sum}[how]
+    return meta.groupBy(*([by] if by else [])).agg(*(f(c).alias(c) for c in columns))
+
+
+def unmix(df: DataFrame, column: str, kinds: list) -> dict:
+    """A table for each kind of object of a mixed one."""
+    return {k: df.filter(F.col(column) == k) for k in kinds}
+
+
 def concat(a: DataFrame, b: DataFrame) -> DataFrame:
     """All rows of both; columns that one lacks are null."""
     return a.unionByName(b, allowMissingColumns=True)
@@ -63,8 +84,10 @@ def add_metadata(meta: DataFrame, extra: DataFrame, key: str = "neuron", missing
 
 def combine(nodes: DataFrame, new_id: int) -> DataFrame:
     """All neurons' nodes as one neuron; node ids are numbered anew, links follow."""
-    w = Window.orderBy("neuron", "node_id")
-    at = nodes.withColumn("__new", F.row_number().over(w).cast("long"))
+    size = nodes.groupBy("neuron").agg(F.count("*").alias("__n"))  # a row a neuron: the running sum over them gives where each begins
+    begin = size.select("neuron", F.coalesce(F.sum("__n").over(Window.orderBy("neuron").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    own = F.row_number().over(Window.partitionBy("neuron").orderBy("node_id"))
+    at = nodes.withColumn("__r", own).join(begin, "neuron").withColumn("__new", (F.col("__b") + F.col("__r")).cast("long")).drop("__b", "__r")
     p = at.select("neuron", F.col("node_id").alias("parent_id"), F.col("__new").alias("__p"))
     t = at.join(p, ["neuron", "parent_id"], "left")
     return t.select(F.lit(new_id).cast("long").alias("neuron"), F.col("__new").alias("node_id"), F.coalesce("__p", F.lit(-1)).alias("parent_id"), *[c for c in nodes.columns if c not in ("neuron", "node_id", "parent_id")])

@@ -17,8 +17,10 @@ class Forest:
         self.neuron = pd.factorize(nodes["neuron"])[0].astype(np.int64)
         self.id = nodes["node_id"].to_numpy(np.int64)
         pid = nodes["parent_id"].fillna(-1).to_numpy(np.int64)
-        index = pd.MultiIndex.from_arrays([self.neuron, self.id])
-        self.index = pd.Series(np.arange(self.n), index=index)
+        self.ids, rank = np.unique(self.id, return_inverse=True)
+        key = self.neuron * len(self.ids) + rank
+        self.order = np.argsort(key, kind="stable")
+        self.key = key[self.order]
         self.parent = self.find(self.neuron, pid)
         self.parent[pid < 0] = -1
         has = self.parent >= 0
@@ -31,8 +33,12 @@ class Forest:
 
     def find(self, neuron: np.ndarray, node_id: np.ndarray) -> np.ndarray:
         """Positions of (neuron code, node id), -1 where there is none."""
-        out = self.index.reindex(pd.MultiIndex.from_arrays([neuron, node_id]))
-        return out.fillna(-1).to_numpy(np.int64)
+        if not self.n:
+            return np.full(len(node_id), -1)
+        rank = np.minimum(np.searchsorted(self.ids, node_id), len(self.ids) - 1)
+        key = neuron * len(self.ids) + rank
+        at = np.minimum(np.searchsorted(self.key, key), self.n - 1)
+        return np.where((self.ids[rank] == node_id) & (self.key[at] == key) & (neuron >= 0), self.order[at], -1)
 
     def _levels(self) -> list[np.ndarray]:
         out, now, seen = [], np.flatnonzero(self.parent < 0), 0

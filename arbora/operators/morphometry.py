@@ -386,12 +386,17 @@ def persistence_vectors(points: DataFrame, samples: int = 100, bw: float = 0.2)
     return t.groupBy("neuron", "i").agg(F.sum(F.col("w") * F.exp(-z * z / 2) / (F.col("sw") * F.col("h") * np.sqrt(2 * np.pi))).alias("density"))
 
 
-def persistence_distances(vectors: DataFrame) -> DataFrame:
-    """Euclidean distance of normalised vectors, per pair of neurons."""
-    n = vectors.groupBy("neuron").agg(F.sqrt(F.sum(F.col("density") * F.col("density"))).alias("len"))
-    v = vectors.join(n, "neuron").select("neuron", "i", (F.col("density") / F.col("len")).alias("v"))
-    a, b = v.select(F.col("neuron").alias("a"), "i", F.col("v").alias("va")), v.select(F.col("neuron").alias("b"), "i", F.col("v").alias("vb"))
-    return a.join(b, "i").filter("a < b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("va") - F.col("vb")) * (F.col("va") - F.col("vb")))).alias("distance"))
+def persistence_distances(vectors: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Euclidean distance of normalised vectors of each pair (a < b), or of ``queries`` (a column a) with all others.
+
+    Each neuron is one row with its whole vector; the number of pairs is the result's size.
+    """
+    v = vectors.groupBy("neuron").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "density"))), lambda x: x["density"]).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    v = v.select("neuron", F.transform("v", lambda x: x / length).alias("v"))
+    a, b = v.select(F.col("neuron").alias("a"), F.col("v").alias("va")), v.select(F.col("neuron").alias("b"), F.col("v").alias("vb"))
+    pairs = a.join(b, F.col("a") < F.col("b")) if queries is None else a.join(queries.select("a").distinct(), "a").join(b, F.col("a") != F.col("b"))
+    return pairs.select("a", "b", F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)).alias("distance"))
 
 
 # --- clouds --------------------------------------------------------------------------------------------------------

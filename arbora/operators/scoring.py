@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,12 @@ class Lookup:
         cols, index = [parse(x) for x in rows[0][1:]], [parse(r[0]) for r in rows[1:]]
         return cls([index[0][0], *(b for _, b in index)], [cols[0][0], *(b for _, b in cols)], [[float(v) for v in r[1:]] for r in rows[1:]], rows[0][1].strip().endswith("]"))
 
+    def array(self, dist: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        """The same on numpy arrays."""
+        side = "left" if self.right else "right"
+        i, j = (np.searchsorted(np.array(e[1:-1], float), x, side) for e, x in ((self.dist, dist), (self.dot, dot)))
+        return np.array(self.cells, float)[i, j]
+
     def __call__(self, dist: Column, dot: Column) -> Column:
         """One array literal and an index: stays in generated code."""
         flat = F.array(*(F.lit(float(v)) for row in self.cells for v in row))
@@ -52,9 +61,76 @@ class Lookup:
         return F.get(flat, (digitize(dist, self.dist, self.right) * width + digitize(dot, self.dot, self.right)).cast("int"))
 
 
-def analytic(sigma: float = 10.0):
+class Analytic:
     """Score sqrt(|dot| * exp(-d^2 / (2 sigma^2))), without a table."""
-    return lambda dist, dot: F.sqrt(dot * F.exp(-dist * dist / (2 * sigma * sigma)))
+
+    def __init__(self, sigma: float):
+        self.sigma = sigma
+
+    def array(self, dist: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        return np.sqrt(dot * np.exp(-dist * dist / (2 * self.sigma * self.sigma)))
+
+    def __call__(self, dist: Column, dot: Column) -> Column:
+        return F.sqrt(dot * F.exp(-dist * dist / (2 * self.sigma * self.sigma)))
+
+
+def analytic(sigma: float = 10.0) -> Analytic:
+    return Analytic(sigma)
+
+
+#: Points of the queries that meet a target's at a time, and tasks that share a block of queries.
+BLOCK_POINTS, SLICES = 20_000, 64
+
+
+def raw_scores(query: DataFrame, target: DataFrame, score, max_dist: float | None = None) -> DataFrame:
+    """(query, target, raw): sums of the points' scores, of every query with every other target.
+
+    Queries form blocks of about ``BLOCK_POINTS`` points; a task holds one block and lets its share of the targets pass by,
+    each one matrix product. What moves is every target once for each block. Ties go to the smaller pid.
+    """
+    cols = ["x", "y", "z", "vx", "vy", "vz"]
+    alpha = "alpha" in query.columns and "alpha" in target.columns
+    cols += ["alpha"] if alpha else []
+    whole = lambda p: p.groupBy("neuron").agg(F.array_sort(F.collect_list(F.struct("pid", *cols))).alias("p")).select("neuron", *(F.col("p." + c).alias(c) for c in cols))
+    n = max(1, -(-query.count() // BLOCK_POINTS))
+    block = F.pmod(F.xxhash64("neuron"), F.lit(n)).cast("int")
+    q = whole(query).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), F.lit(0).alias("kind"), "neuron", *cols)
+    t = whole(target).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("neuron", F.lit(1)), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "neuron", *cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, parts, ready = None, [], [], None
+        for b in batches:
+            out = ([], [], [])
+            for row in b.to_pylist():
+                x = np.array([row[c] for c in cols], float)
+                if (row["block"], row["slice"]) != key:
+                    key, ids, parts, ready = (row["block"], row["slice"]), [], [], None
+                if not row["kind"]:
+                    ids.append(row["neuron"])
+                    parts.append(x)
+                elif ids:
+                    if ready is None:
+                        flat = np.concatenate(parts, axis=1)
+                        size = np.array([p.shape[1] for p in parts])
+                        ready = flat, size.cumsum() - size, np.array(ids)
+                    flat, at, names = ready
+                    j = ((x[:3] ** 2).sum(axis=0) - 2 * (flat[:3].T @ x[:3])).argmin(axis=1)
+                    near = x[:, j]
+                    dist = np.sqrt(((flat[:3] - near[:3]) ** 2).sum(axis=0))
+                    dot = np.abs((flat[3:6] * near[3:6]).sum(axis=0))
+                    if alpha:
+                        dot = dot * np.sqrt(flat[6] * near[6])
+                    if max_dist is not None:
+                        dist, dot = np.minimum(dist, max_dist), np.where(dist < max_dist, dot, 0.0)
+                    raw = np.add.reduceat(score.array(dist, dot), at)
+                    other = names != row["neuron"]
+                    out[0].append(names[other])
+                    out[1].append(np.full(int(other.sum()), row["neuron"]))
+                    out[2].append(raw[other])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query", "target", "raw"])
+
+    return q.unionByName(t).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "neuron").mapInArrow(run, "query long, target long, raw double")
 
 
 def nearest_points(query: DataFrame, target: DataFrame, pairs: DataFrame, max_dist: float | None = None) -> DataFrame:
@@ -87,12 +163,17 @@ def nearest_points(query: DataFrame, target: DataFrame, pairs: DataFrame, max_di
     return q.select("query", "target", "pid").join(best, ["query", "target", "pid"], "left").select("query", "target", "pid", F.coalesce("dist", F.lit(float(max_dist))).alias("dist"), F.coalesce("dot", F.lit(0.0)).alias("dot"))
 
 
-def score_pairs(query: DataFrame, target: DataFrame, pairs: DataFrame, score, normalized: bool = True, max_dist: float | None = None) -> DataFrame:
-    """Forward scores: the sum of each query point's score, over the score of the query with itself."""
+def score_pairs(query: DataFrame, target: DataFrame, pairs: DataFrame | None, score, normalized: bool = True, max_dist: float | None = None) -> DataFrame:
+    """Forward scores: the sum of each query point's score, over the score of the query with itself. ``pairs`` None: all."""
     self_hit = score(F.lit(0.0), F.lit(1.0))
     size = query.groupBy(F.col("neuron").alias("query")).agg((F.count("*") * self_hit).alias("hit"))
-    hits = nearest_points(query, target, pairs.filter("query <> target"), max_dist).groupBy("query", "target").agg(F.sum(score(F.col("dist"), F.col("dot"))).alias("raw"))
-    own = pairs.filter("query = target").join(size, "query").select("query", "target", (F.lit(1.0) if normalized else F.col("hit")).alias("score"))
+    if pairs is None:
+        hits = raw_scores(query, target, score, max_dist)
+        own = target.select(F.col("neuron").alias("query"), F.col("neuron").alias("target")).distinct().join(size, "query")
+    else:
+        hits = nearest_points(query, target, pairs.filter("query <> target"), max_dist).groupBy("query", "target").agg(F.sum(score(F.col("dist"), F.col("dot"))).alias("raw"))
+        own = pairs.filter("query = target").join(size, "query")
+    own = own.select("query", "target", (F.lit(1.0) if normalized else F.col("hit")).alias("score"))
     other = hits.join(size, "query").select("query", "target", (F.col("raw") / F.col("hit") if normalized else F.col("raw")).alias("score"))
     return own.unionByName(other)
 
@@ -111,12 +192,10 @@ def combine(forward: DataFrame, reverse: DataFrame, scores: str = "mean") -> Dat
 
 def nblast(query: DataFrame, target: DataFrame, score, scores: str = "forward", normalized: bool = True, max_dist: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Scores (query, target, score) of all pairs, or of those given. A stated set of queries against all targets."""
-    if pairs is None:
-        pairs = query.select(F.col("neuron").alias("query")).distinct().join(target.select(F.col("neuron").alias("target")).distinct(), F.lit(True))
     forward = score_pairs(query, target, pairs, score, normalized, max_dist)
     if scores == "forward":
         return forward
-    back = pairs.select(F.col("target").alias("query"), F.col("query").alias("target"))
+    back = pairs.select(F.col("target").alias("query"), F.col("query").alias("target")) if pairs is not None else None
     return combine(forward, score_pairs(target, query, back, score, normalized, max_dist), scores)
 
 
@@ -132,14 +211,14 @@ def candidates(points: DataFrame, cell: float, n_candidates: int, queries: DataF
     if queries is not None:
         a = a.join(queries.select(F.col("neuron").alias("query")).distinct(), "query", "left_semi")
     b = c.select(F.col("neuron").alias("target"), "cx", "cy", "cz")
-    s = a.join(b, ["cx", "cy", "cz"]).filter("query <> target").groupBy("query", "target").agg(F.sum(1 / F.col("n")).alias("s"))
+    s = a.join(b, ["cx", "cy", "cz"]).filter("query <> target").groupBy("query", "target").agg(F.round(F.sum(1 / F.col("n")), 9).alias("s"))
     w = Window.partitionBy("query").orderBy(F.desc("s"), "target")
     return s.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_candidates).select("query", "target")
 
 
-def nblast_knn(points: DataFrame, score, k: int = 20, n_candidates: int = 200, cell: float = 100.0, scores: str = "mean", **options) -> DataFrame:
-    """The k best partners of each neuron among its candidates, itself left out."""
-    s = nblast(points, points, score, scores, pairs=candidates(points, cell, n_candidates), **options)
+def nblast_knn(points: DataFrame, score, k: int = 20, n_candidates: int = 200, cell: float = 100.0, scores: str = "mean", queries: DataFrame | None = None, **options) -> DataFrame:
+    """The k best partners of each neuron (or of ``queries``) among its candidates, itself left out."""
+    s = nblast(points, points, score, scores, pairs=candidates(points, cell, n_candidates, queries), **options)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "target")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -215,7 +294,6 @@ def compress_scores(scores: DataFrame, threshold: float | None = None, digits: i
 
 def clusters(scores: DataFrame, n_clusters: int, method: str = "average") -> DataFrame:
     """Agglomerative clusters of the neurons of a symmetric score table; one task, as each merge needs all others."""
-    import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

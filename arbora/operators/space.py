@@ -499,3 +499,96 @@ def nearest_all(xyz: np.ndarray, group: np.ndarray, usable: np.ndarray) -> tuple
         dist[rows] = d[np.arange(len(rows)), j]
         best[rows] = np.where(np.isfinite(dist[rows]), at[j], -1)
     return best, dist
+
+
+# --- sets of voxels ------------------------------------------------------------------------------------------------
+_CELL = ("neuron", "i", "j", "k")
+_SIX = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+
+
+def _cells(v: DataFrame) -> DataFrame:
+    return v.select(*_CELL)
+
+
+def voxel_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells that either of two objects of one id fills."""
+    return _cells(a).union(_cells(b)).distinct()
+
+
+def voxel_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _cells(a).distinct().join(_cells(b), list(_CELL), "left_semi")
+
+
+def voxel_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _cells(a).distinct().join(_cells(b), list(_CELL), "left_anti")
+
+
+def voxel_symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    return voxel_difference(a, b).union(voxel_difference(b, a))
+
+
+def _around(v: DataFrame) -> DataFrame:
+    """Each cell and its six neighbours, once for each cell that they come from."""
+    o = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("di", "dj", "dk"), t))) for t in _SIX))).alias("o")
+    return _cells(v).distinct().select(*_CELL, o).select("neuron", *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "ijk"))
+
+
+def voxel_dilate(v: DataFrame, iterations: int = 1) -> DataFrame:
+    """The cells and their face neighbours."""
+    for _ in range(iterations):
+        v = _around(v).distinct()
+    return v
+
+
+def voxel_erode(v: DataFrame, iterations: int = 1) -> DataFrame:
+    """Cells whose six face neighbours are filled: a cell is met seven times by filled cells, itself included."""
+    for _ in range(iterations):
+        v = _around(v).groupBy(*_CELL).agg(F.count("*").alias("n")).filter(F.col("n") == 7).select(*_CELL)
+    return v
+
+
+def voxel_opening(v: DataFrame, iterations: int = 1) -> DataFrame:
+    return voxel_dilate(voxel_erode(v, iterations), iterations)
+
+
+def voxel_closing(v: DataFrame, iterations: int = 1) -> DataFrame:
+    return voxel_erode(voxel_dilate(v, iterations), iterations)
+
+
+def voxel_threshold(v: DataFrame, least: float) -> DataFrame:
+    """Cells of at least that value."""
+    return v.filter(F.col("value") >= least)
+
+
+def voxel_flip(v: DataFrame, axis: str) -> DataFrame:
+    """Mirrored within each object's own extent along an axis."""
+    m = v.groupBy("neuron").agg((F.min(axis) + F.max(axis)).alias("__m"))
+    return v.join(m, "neuron").withColumn(axis, F.col("__m") - F.col(axis)).select(*v.columns)
+
+
+def voxel_strip(v: DataFrame) -> DataFrame:
+    """Cells counted from each object's lowest corner, which is given as oi, oj, ok."""
+    m = v.groupBy("neuron").agg(*(F.min(c).alias(f"o{c}") for c in "ijk"))
+    return v.join(m, "neuron").withColumns({c: F.col(c) - F.col(f"o{c}") for c in "ijk"}).select(*v.columns, "oi", "oj", "ok")
+
+
+def voxel_distance(v: DataFrame) -> DataFrame:
+    """Steps over faces from each cell to the nearest empty one: how many erosions it takes to lose it.
+
+    Each round removes the outermost layer, so there are as many rounds as the thickest object has layers.
+    """
+    from ..functions.tables import durable
+
+    left, out, step = durable(_cells(v).distinct()), None, 0
+    while not left.isEmpty():
+        step += 1
+        inner = durable(voxel_erode(left))
+        layer = left.join(inner, list(_CELL), "left_anti").withColumn("distance", F.lit(step).cast("long"))
+        out = layer if out is None else out.union(layer)
+        left = inner
+    return out if out is not None else left.withColumn("distance", F.lit(0).cast("long"))
+
+
+def voxel_downscale(v: DataFrame, factor: int) -> DataFrame:
+    """Sums of blocks of ``factor`` cells along each axis."""
+    return v.groupBy("neuron", *(F.floor(F.col(c) / factor).alias(c) for c in "ijk")).agg(F.sum("value").alias("value"))

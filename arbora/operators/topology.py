@@ -81,23 +81,35 @@ def node_label_sorting(nodes: DataFrame, weighted: bool = False) -> DataFrame:
 
 # --- distances -----------------------------------------------------------------------------------------------------
 def _pairs(nodes: DataFrame, pairs: DataFrame, fn, schema: str) -> DataFrame:
-    """Cogroups nodes and pairs by neuron; a neuron and its pairs meet in one task."""
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
+    """Nodes and what is asked of them (rows with a neuron) meet by neuron, in one shuffle and many whole neurons a call.
+
+    ``fn`` gets the forest of the neurons that have rows, and the rows with the neurons' codes in it (``code``).
+    """
+    own = [c for c in ("neuron", "node_id", "parent_id", "x", "y", "z") if c in nodes.columns]
+    asked = [c for c in pairs.columns if c != "neuron"]
+    names = [f"__{c}" for c in asked]
+    blank = lambda df, c: F.lit("" if dict(df.dtypes)[c] == "string" else 0).cast(dict(df.dtypes)[c])  # noqa: E731  no nulls: ids stay whole numbers
+    a = nodes.select(*own, F.lit(0).alias("__kind"), *(blank(pairs, c).alias(n) for c, n in zip(asked, names)))
+    b = pairs.select("neuron", *(blank(nodes, c).alias(c) for c in own[1:]), F.lit(1).alias("__kind"), *(F.col(c).alias(n) for c, n in zip(asked, names)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf["__kind"].to_numpy() == 1
+        some, rest = pdf[rows], pdf[~rows]
+        both = np.intersect1d(some["neuron"], rest["neuron"])
+        if not len(both):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        return fn(Forest(a.sort_values("node_id", ignore_index=True)), b)
+        some, rest = some[some["neuron"].isin(both)], rest[rest["neuron"].isin(both)]
+        some = some[["neuron", *names]].set_axis(["neuron", *asked], axis=1).assign(code=np.searchsorted(both, some["neuron"]))
+        return fn(Forest(rest[own].reset_index(drop=True)), some.reset_index(drop=True))
 
-    # new column identities: both sides may come from one table
-    a, b = (t.select(*(F.col(c).alias(c) for c in t.columns)) for t in (nodes, pairs))
-    return a.groupBy("neuron").cogroup(b.groupBy("neuron")).applyInPandas(run, schema)
+    return per_neuron(a.union(b), run, schema, order=("__kind", "node_id"))
 
 
 def dist_between(nodes: DataFrame, pairs: DataFrame, directed: bool = False, max_dist: float | None = None) -> DataFrame:
     """Distance along the tree for pairs (neuron, a, b); infinite across components, in the wrong direction, beyond max_dist."""
 
     def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
-        zero = np.zeros(len(b), np.int64)
+        zero = b["code"].to_numpy(np.int64)
         i, j = f.find(zero, b["a"].to_numpy(np.int64)), f.find(zero, b["b"].to_numpy(np.int64))
         ok = (i >= 0) & (j >= 0)
         b, i, j = b[ok], i[ok], j[ok]
@@ -124,7 +136,7 @@ def distal_to(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Whether a is distal to b: b lies on the way from a to its root (a itself counts)."""
 
     def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
-        zero = np.zeros(len(b), np.int64)
+        zero = b["code"].to_numpy(np.int64)
         i, j = f.find(zero, b["a"].to_numpy(np.int64)), f.find(zero, b["b"].to_numpy(np.int64))
         ok = (i >= 0) & (j >= 0)
         return b[ok][["neuron", "a", "b"]].assign(distal=f.lca(i[ok], j[ok]) == j[ok])
@@ -137,7 +149,7 @@ def connecting_nodes(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(f.n, np.int64)
-        at = f.find(np.zeros(len(b), np.int64), b["node_id"].to_numpy(np.int64))
+        at = f.find(b["code"].to_numpy(np.int64), b["node_id"].to_numpy(np.int64))
         own[at[at >= 0]] = 1
         below = f.up(own)
         total = below[f.root]
@@ -302,7 +314,7 @@ def cell_body_fiber(nodes: DataFrame, method: str = "longest_neurite", inverse:
     main = find_main_branchpoint(nodes, method)
 
     def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
-        at = f.find(np.zeros(len(b), np.int64), b["node_id"].to_numpy(np.int64))
+        at = f.find(b["code"].to_numpy(np.int64), b["node_id"].to_numpy(np.int64))
         own = np.zeros(f.n, np.int64)
         own[at[at >= 0]] = 1
         way = f.up(own) > 0
@@ -318,7 +330,7 @@ def reroot(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
         parent = f.nodes["parent_id"].to_numpy(np.int64).copy()
         links = f.parent.copy()
-        for at in f.find(np.zeros(len(b), np.int64), b["node_id"].to_numpy(np.int64)).tolist():
+        for at in f.find(b["code"].to_numpy(np.int64), b["node_id"].to_numpy(np.int64)).tolist():
             before = -1
             while at >= 0:
                 up = links[at]
@@ -326,10 +338,8 @@ def reroot(nodes: DataFrame, roots: DataFrame) -> DataFrame:
                 before, at = at, up
         return f.frame(parent_id=parent)
 
-    turned = _pairs(nodes, roots, fn, _LINK)
-    rest = nodes.join(turned.select("neuron").distinct(), "neuron", "left_anti")
-    new = nodes.drop("parent_id").join(turned, ["neuron", "node_id"]).select(*nodes.columns)
-    return rest.select(*nodes.columns).union(new)
+    turned = _pairs(nodes, roots, fn, _LINK).withColumnRenamed("parent_id", "__turned")
+    return nodes.join(turned, ["neuron", "node_id"], "left").withColumn("parent_id", F.coalesce("__turned", "parent_id")).select(*nodes.columns)
 
 
 def cut(nodes: DataFrame, where: DataFrame) -> DataFrame:
@@ -337,7 +347,7 @@ def cut(nodes: DataFrame, where: DataFrame) -> DataFrame:
     the old root). A cut node is in both pieces: root of the distal one, leaf of the proximal one. Roots are not cut."""
 
     def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
-        at = f.find(np.zeros(len(b), np.int64), b["node_id"].to_numpy(np.int64))
+        at = f.find(b["code"].to_numpy(np.int64), b["node_id"].to_numpy(np.int64))
         at = np.unique(at[at >= 0])
         at = at[f.parent[at] >= 0]
         is_cut = np.zeros(f.n, bool)
@@ -494,7 +504,7 @@ def propagate_labels(nodes: DataFrame, labels: DataFrame, max_iter: int = 1000,
     """Spreads labels (neuron, node_id, label) along the tree: each round a node takes the mean of its neighbours' label
     probabilities, seeds keep theirs; stops when fewer than ``tol`` nodes change their label."""
 
-    def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
+    def one(f: Forest, b: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(b["label"].astype(str))
         at = f.find(np.zeros(len(b), np.int64), b["node_id"].to_numpy(np.int64))
         prob = np.zeros((f.n, len(names)))
@@ -517,4 +527,8 @@ def propagate_labels(nodes: DataFrame, labels: DataFrame, max_iter: int = 1000,
             before = now
         return f.frame(label=np.where(now >= 0, names[now], None))
 
+    def fn(f: Forest, b: pd.DataFrame) -> pd.DataFrame:  # each neuron stops by itself
+        own = dict(tuple(b.groupby("code")))
+        return pd.concat([one(Forest(n.reset_index(drop=True)), own[g]) for g, n in f.nodes.groupby(f.neuron)], ignore_index=True)
+
     return _pairs(nodes, labels, fn, "neuron long, node_id long, label string")

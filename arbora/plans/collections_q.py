@@ -42,9 +42,36 @@ def _(s, d):
 
 for _k in ("first", "last", False):
 
-    @query(f"remove_duplicates_{_k or 'none'}".lower(), _m({"first": "SELECT min(neuron) AS neuron, grp FROM m GROUP BY 2", "last": "SELECT max(neuron) AS neuron, grp FROM m GROUP BY 2", False: "SELECT min(neuron) AS neuron, grp FROM m GROUP BY 2 HAVING count(*) = 1"}[_k]))
+    @query(f"remove_duplicates_{_k or 'none'}".lower(), _m({"first": "SELECT min(neuron) AS neuron, n_nodes FROM m GROUP BY 2", "last": "SELECT max(neuron) AS neuron, n_nodes FROM m GROUP BY 2", False: "SELECT min(neuron) AS neuron, n_nodes FROM m GROUP BY 2 HAVING count(*) = 1"}[_k]))
     def _(s, d, k=_k):
-        return L.remove_duplicates(_meta(s, d), ["grp"], "neuron", k).select("neuron", "grp")
+        return L.remove_duplicates(_meta(s, d), ["n_nodes"], "neuron", k).select("neuron", "n_nodes")
+
+
+@query("tail", _m("SELECT * FROM m ORDER BY neuron DESC LIMIT 5"))
+def _(s, d):
+    return L.tail(_meta(s, d), 5)
+
+
+@query("collection_mean", _m("SELECT grp, round(avg(n_nodes), 6) AS n_nodes, round(avg(neuron), 6) AS neuron FROM m GROUP BY 1"))
+def _(s, d):
+    return rounded(L.summarise(_meta(s, d), ["n_nodes", "neuron"], "mean", "grp"), 6)
+
+
+@query("collection_sum", _m("SELECT CAST(sum(n_nodes) AS BIGINT) AS n_nodes FROM m"))
+def _(s, d):
+    return L.summarise(_meta(s, d), ["n_nodes"], "sum")
+
+
+@query("unmix", sql("SELECT 'a' AS type, neuron, node_id FROM nodes WHERE neuron % 2 = 0 UNION ALL SELECT 'b', neuron, node_id FROM nodes WHERE neuron % 2 = 1", "nodes"))
+def _(s, d):
+    n = X.nodes(s, d)
+    parts = L.unmix(n.withColumn("type", F.when(F.col("neuron") % 2 == 0, "a").otherwise("b")), "type", ["a", "b"])
+    return parts["a"].select("type", "neuron", "node_id").union(parts["b"].select("type", "neuron", "node_id"))
+
+
+@query("sample_fraction")
+def _(s, d):
+    return L.sample(_meta(s, d), 5, seed=1)
 
 
 _A, _B = "neuron % 2 = 0", "neuron % 3 = 0"
@@ -62,9 +89,9 @@ def _(s, d):
     return L.add_metadata(_meta(s, d), c)
 
 
-@query("combine", sql("SELECT CAST(99 AS BIGINT) AS neuron, t.no AS node_id, coalesce(p.no, -1) AS parent_id FROM t LEFT JOIN t p ON p.neuron = t.neuron AND p.node_id = t.parent_id", "nodes", t="SELECT *, row_number() OVER (ORDER BY neuron, node_id) AS no FROM nodes WHERE neuron < 4"))
+@query("combine", sql("SELECT CAST(99 AS BIGINT) AS neuron, t.no AS node_id, coalesce(p.no, -1) AS parent_id FROM t LEFT JOIN t p ON p.neuron = t.neuron AND p.node_id = t.parent_id", "nodes", t="SELECT *, row_number() OVER (ORDER BY neuron, node_id) AS no FROM nodes"))
 def _(s, d):
-    return L.combine(X.nodes(s, d).filter("neuron < 4"), 99).select("neuron", "node_id", "parent_id")
+    return L.combine(X.nodes(s, d), 99).select("neuron", "node_id", "parent_id")
 
 
 @query("swc_table", sql("""SELECT t.neuron, t.no AS node_id, CASE WHEN t.parent_id >= 0 AND t.kids > 1 THEN 5 WHEN t.parent_id >= 0 AND t.kids = 0 THEN 6 ELSE 0 END AS label, round(t.x, 7) AS x, coalesce(p.no, -1) AS parent_id FROM t LEFT JOIN t p ON p.neuron = t.neuron AND p.node_id = t.parent_id""", "tree",

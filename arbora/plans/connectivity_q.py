@@ -126,7 +126,7 @@ def _(s, d):
 
 @query("bipartite_match")
 def _(s, d):
-    return N.bipartite_match(_scores(s, d), 0.01)
+    return N.bipartite_match(rounded(N.connectivity_similarity(X.edges(s, d), "cosine").select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("similarity").alias("score")), 6), 0.01)
 
 
 @query("rank_index", sql("""SELECT a, b, round(1 - sum(abs(ra - rb)) / (max(t) * max(t) // 2), 6) AS similarity FROM (SELECT x.a, x.b, x.target, ra.r AS ra, rb.r AS rb, count(*) OVER (PARTITION BY x.a, x.b) AS t

@@ -26,9 +26,9 @@ def _(s, d):
     return rounded(E.features(X.nodes(s, d)).select("neuron", "num_nodes", "n_branches", "num_tips", "total_length", "max_path_length", "max_euclidean_distance"), 3)
 
 
-@query("heal", sql("SELECT neuron, CAST(1 AS BIGINT) AS roots, count(*) AS n FROM nodes WHERE node_id % 7 <> 0 AND neuron < 20 GROUP BY 1", "nodes"))
+@query("heal", sql("SELECT neuron, CAST(1 AS BIGINT) AS roots, count(*) AS n FROM nodes WHERE node_id % 7 <> 0 GROUP BY 1", "nodes"))
 def _(s, d):
-    n = X.nodes(s, d).filter("neuron < 20")
+    n = X.nodes(s, d)
     h = E.heal(T.subset(n, n.filter("node_id % 7 <> 0")))
     return h.groupBy("neuron").agg(F.count_if(F.col("parent_id") < 0).alias("roots"), F.count("*").alias("n"))
 

@@ -13,13 +13,18 @@ from .registry import query, rounded
 
 _D = "sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z))"
 _DOT = "abs(q.vx*t.vx+q.vy*t.vy+q.vz*t.vz)"
-_PTS = "SELECT * FROM points WHERE neuron < 6 AND pid < 60"
-_NN = f"""SELECT q.neuron AS query, t.neuron AS target, q.pid, min({_D}) AS dist, min_by({_DOT}, ({_D}, t.pid)) AS dot FROM p q JOIN p t ON q.neuron <> t.neuron GROUP BY 1, 2, 3"""
+#: Neurons divisible by 20 are the queries; targets are all neurons, with all their points.
+_PTS = "SELECT * FROM points"
+_NN = f"""SELECT q.neuron AS query, t.neuron AS target, q.pid, min({_D}) AS dist, min_by({_DOT}, ({_D}, t.pid)) AS dot FROM p q JOIN p t ON q.neuron <> t.neuron AND (q.neuron % 20 = 0 OR t.neuron % 20 = 0) GROUP BY 1, 2, 3"""
 _NNC = """SELECT query, target, pid, CASE WHEN dist < 200 THEN dist ELSE 200 END AS dist, CASE WHEN dist < 200 THEN dot ELSE 0 END AS dot FROM nn"""
 
 
 def _points(s, d):
-    return X.points(s, d).filter("neuron < 6 AND pid < 60")
+    return X.points(s, d)
+
+
+def _asked(df):
+    return df.filter("neuron % 20 = 0")
 
 
 def _nblast_sql(body, nn="nn", score="sqrt(dot * exp(-dist * dist / (2 * 100.0 * 100.0)))"):
@@ -30,34 +35,34 @@ def _nblast_sql(body, nn="nn", score="sqrt(dot * exp(-dist * dist / (2 * 100.0 *
 _SC = S.analytic(100.0)
 
 
-@query("nearest_points", sql("SELECT query, target, pid, round(dist, 5) AS dist, round(dot, 5) AS dot FROM nn", "points", p=_PTS, nn=_NN))
+@query("nearest_points", sql("SELECT query, target, pid, round(dist, 5) AS dist, round(dot, 5) AS dot FROM nn WHERE query % 20 = 0", "points", p=_PTS, nn=_NN))
 def _(s, d):
     p = _points(s, d)
     ids = p.select("neuron").distinct()
-    pairs = ids.toDF("query").join(ids.toDF("target"), F.col("query") != F.col("target"))
+    pairs = _asked(ids).toDF("query").join(ids.toDF("target"), F.col("query") != F.col("target"))
     return rounded(S.nearest_points(p, p, pairs), 5)
 
 
-@query("nblast", _nblast_sql("SELECT query, target, round(score, 6) AS score FROM f"))
+@query("nblast", _nblast_sql("SELECT query, target, round(score, 6) AS score FROM f WHERE query % 20 = 0"))
 def _(s, d):
-    return rounded(S.nblast(_points(s, d), _points(s, d), _SC), 6)
+    return rounded(S.nblast(_asked(_points(s, d)), _points(s, d), _SC), 6)
 
 
-@query("nblast_capped", _nblast_sql("SELECT query, target, round(score, 6) AS score FROM f", "nnc"))
+@query("nblast_capped", _nblast_sql("SELECT query, target, round(score, 6) AS score FROM f WHERE query % 20 = 0", "nnc"))
 def _(s, d):
-    return rounded(S.nblast(_points(s, d), _points(s, d), _SC, max_dist=200.0), 6)
+    return rounded(S.nblast(_asked(_points(s, d)), _points(s, d), _SC, max_dist=200.0), 6)
 
 
 for _k, _f in (("mean", "(a.score + b.score) / 2"), ("min", "least(a.score, b.score)"), ("max", "greatest(a.score, b.score)")):
 
-    @query(f"nblast_{_k}", _nblast_sql(f"SELECT a.query, a.target, round({_f}, 6) AS score FROM f a JOIN f b ON a.query = b.target AND a.target = b.query"))
+    @query(f"nblast_{_k}", _nblast_sql(f"SELECT a.query, a.target, round({_f}, 6) AS score FROM f a JOIN f b ON a.query = b.target AND a.target = b.query WHERE a.query % 20 = 0"))
     def _(s, d, k=_k):
-        return rounded(S.nblast(_points(s, d), _points(s, d), _SC, k), 6)
+        return rounded(S.nblast(_asked(_points(s, d)), _points(s, d), _SC, k), 6)
 
 
-@query("nblast_both", _nblast_sql("SELECT a.query, a.target, round(a.score, 6) AS forward, round(b.score, 6) AS reverse FROM f a JOIN f b ON a.query = b.target AND a.target = b.query"))
+@query("nblast_both", _nblast_sql("SELECT a.query, a.target, round(a.score, 6) AS forward, round(b.score, 6) AS reverse FROM f a JOIN f b ON a.query = b.target AND a.target = b.query WHERE a.query % 20 = 0"))
 def _(s, d):
-    return rounded(S.nblast(_points(s, d), _points(s, d), _SC, "both"), 6)
+    return rounded(S.nblast(_asked(_points(s, d)), _points(s, d), _SC, "both"), 6)
 
 
 _LOOK = S.Lookup([0, 50, 100, 200, 400, 1e9], [0, 0.25, 0.5, 0.75, 1.0], [[float(4 - i) + 0.5 * j for j in range(4)] for i in range(5)])
@@ -65,9 +70,9 @@ _BIN = "CASE WHEN dist <= 50 THEN 0 WHEN dist <= 100 THEN 1 WHEN dist <= 200 THE
 _BIN2 = "CASE WHEN dot <= 0.25 THEN 0 WHEN dot <= 0.5 THEN 1 WHEN dot <= 0.75 THEN 2 ELSE 3 END"
 
 
-@query("nblast_lookup", _nblast_sql("SELECT query, target, round(CASE WHEN query = target THEN 1 ELSE score / 5.5 END, 6) AS score FROM f", score=f"(4 - {_BIN}) + 0.5 * {_BIN2}"))
+@query("nblast_lookup", _nblast_sql("SELECT query, target, round(CASE WHEN query = target THEN 1 ELSE score / 5.5 END, 6) AS score FROM f WHERE query % 20 = 0", score=f"(4 - {_BIN}) + 0.5 * {_BIN2}"))
 def _(s, d):
-    return rounded(S.nblast(_points(s, d), _points(s, d), _LOOK), 6)
+    return rounded(S.nblast(_asked(_points(s, d)), _points(s, d), _LOOK), 6)
 
 
 @query("nblast_smart", None)
@@ -80,36 +85,36 @@ FROM cand c JOIN f a ON a.query = c.query AND a.target = c.target JOIN f b ON b.
     f="SELECT n.query, n.target, sum(sqrt(dot * exp(-dist * dist / (2 * 100.0 * 100.0)))) / max(h.n) AS score FROM nn n JOIN hit h ON h.query = n.query GROUP BY 1, 2",
     cell="SELECT DISTINCT neuron, floor(x / 100) AS cx, floor(y / 100) AS cy, floor(z / 100) AS cz FROM p",
     w="SELECT *, count(*) OVER (PARTITION BY cx, cy, cz) AS n FROM cell",
-    cand="SELECT query, target FROM (SELECT a.neuron AS query, b.neuron AS target, row_number() OVER (PARTITION BY a.neuron ORDER BY sum(1.0 / a.n) DESC, b.neuron) AS r FROM w a JOIN w b ON a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz AND a.neuron <> b.neuron GROUP BY 1, 2) WHERE r <= 3"))
+    cand="SELECT query, target FROM (SELECT a.neuron AS query, b.neuron AS target, row_number() OVER (PARTITION BY a.neuron ORDER BY round(sum(1.0 / a.n), 9) DESC, b.neuron) AS r FROM w a JOIN w b ON a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz AND a.neuron <> b.neuron AND a.neuron % 20 = 0 GROUP BY 1, 2) WHERE r <= 3"))
 def _(s, d):
-    return rounded(S.nblast_knn(_points(s, d), _SC, k=2, n_candidates=3, cell=100.0), 6)
+    return rounded(S.nblast_knn(_points(s, d), _SC, k=2, n_candidates=3, cell=100.0, queries=_asked(_points(s, d))), 6)
 
 
-_SYN = "SELECT * FROM connectors WHERE neuron < 6"
+_SYN = "SELECT * FROM connectors"
 _SD = "sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z))"
 
 
-@query("synblast", sql(f"""SELECT n.query, n.target, round(sum(sqrt(exp(-dist * dist / (2 * 100.0 * 100.0)))) / max(h.n), 6) AS score FROM (SELECT q.neuron AS query, t.neuron AS target, q.node_id, min({_SD}) AS dist FROM c q JOIN c t ON q.neuron <> t.neuron GROUP BY 1, 2, 3) n
-JOIN (SELECT neuron, count(*) AS n FROM c GROUP BY 1) h ON h.neuron = n.query GROUP BY 1, 2 UNION ALL SELECT DISTINCT neuron, neuron, 1.0 FROM c""", "connectors", c=_SYN))
+@query("synblast", sql(f"""SELECT n.query, n.target, round(sum(sqrt(exp(-dist * dist / (2 * 100.0 * 100.0)))) / max(h.n), 6) AS score FROM (SELECT q.neuron AS query, t.neuron AS target, q.node_id, min({_SD}) AS dist FROM c q JOIN c t ON q.neuron <> t.neuron AND q.neuron % 20 = 0 GROUP BY 1, 2, 3) n
+JOIN (SELECT neuron, count(*) AS n FROM c GROUP BY 1) h ON h.neuron = n.query GROUP BY 1, 2 UNION ALL SELECT DISTINCT neuron, neuron, 1.0 FROM c WHERE neuron % 20 = 0""", "connectors", c=_SYN))
 def _(s, d):
-    c = X.connectors(s, d).filter("neuron < 6").withColumnRenamed("node_id", "pid")
-    return rounded(S.synblast(c, c, _SC), 6)
+    c = X.connectors(s, d).withColumnRenamed("node_id", "pid")
+    return rounded(S.synblast(_asked(c), c, _SC), 6)
 
 
-@query("synblast_by_type", sql(f"""SELECT n.query, n.target, round(sum(sqrt(exp(-dist * dist / (2 * 100.0 * 100.0)))) / max(h.n), 6) AS score FROM (SELECT q.neuron AS query, t.neuron AS target, q.node_id, min({_SD}) AS dist FROM c q JOIN c t ON q.neuron <> t.neuron AND q.type = t.type GROUP BY 1, 2, 3) n
-JOIN (SELECT neuron, count(*) AS n FROM c GROUP BY 1) h ON h.neuron = n.query GROUP BY 1, 2 UNION ALL SELECT DISTINCT neuron, neuron, 1.0 FROM c""", "connectors", c=_SYN))
+@query("synblast_by_type", sql(f"""SELECT n.query, n.target, round(sum(sqrt(exp(-dist * dist / (2 * 100.0 * 100.0)))) / max(h.n), 6) AS score FROM (SELECT q.neuron AS query, t.neuron AS target, q.node_id, min({_SD}) AS dist FROM c q JOIN c t ON q.neuron <> t.neuron AND q.type = t.type AND q.neuron % 20 = 0 GROUP BY 1, 2, 3) n
+JOIN (SELECT neuron, count(*) AS n FROM c GROUP BY 1) h ON h.neuron = n.query GROUP BY 1, 2 UNION ALL SELECT DISTINCT neuron, neuron, 1.0 FROM c WHERE neuron % 20 = 0""", "connectors", c=_SYN))
 def _(s, d):
-    c = X.connectors(s, d).filter("neuron < 6").withColumnRenamed("node_id", "pid")
-    return rounded(S.synblast(c, c, _SC, by_type=True), 6)
+    c = X.connectors(s, d).withColumnRenamed("node_id", "pid")
+    return rounded(S.synblast(_asked(c), c, _SC, by_type=True), 6)
 
 
 @query("build_lookup", sql(f"""SELECT d.d AS i, e.e AS j, round(log2((coalesce(m.n, 0) / CAST(sm.n AS DOUBLE) + 1e-6) / (coalesce(r.n, 0) / CAST(sr.n AS DOUBLE) + 1e-6)), 6) AS odds FROM (SELECT unnest(range(5)) AS d) d CROSS JOIN (SELECT unnest(range(4)) AS e) e
-CROSS JOIN (SELECT count(*) AS n FROM nn WHERE (query + target) % 2 = 0) sm CROSS JOIN (SELECT count(*) AS n FROM nn WHERE (query + target) % 2 = 1) sr
-LEFT JOIN (SELECT {_BIN} AS i, {_BIN2} AS j, count(*) AS n FROM nn WHERE (query + target) % 2 = 0 GROUP BY 1, 2) m ON m.i = d.d AND m.j = e.e LEFT JOIN (SELECT {_BIN} AS i, {_BIN2} AS j, count(*) AS n FROM nn WHERE (query + target) % 2 = 1 GROUP BY 1, 2) r ON r.i = d.d AND r.j = e.e""", "points", p=_PTS, nn=_NN))
+CROSS JOIN (SELECT count(*) AS n FROM nn WHERE query % 20 = 0 AND (query + target) % 2 = 0) sm CROSS JOIN (SELECT count(*) AS n FROM nn WHERE query % 20 = 0 AND (query + target) % 2 = 1) sr
+LEFT JOIN (SELECT {_BIN} AS i, {_BIN2} AS j, count(*) AS n FROM nn WHERE query % 20 = 0 AND (query + target) % 2 = 0 GROUP BY 1, 2) m ON m.i = d.d AND m.j = e.e LEFT JOIN (SELECT {_BIN} AS i, {_BIN2} AS j, count(*) AS n FROM nn WHERE query % 20 = 0 AND (query + target) % 2 = 1 GROUP BY 1, 2) r ON r.i = d.d AND r.j = e.e""", "points", p=_PTS, nn=_NN))
 def _(s, d):
     p = _points(s, d)
     ids = p.select("neuron").distinct()
-    nn = S.nearest_points(p, p, ids.toDF("query").join(ids.toDF("target"), F.col("query") != F.col("target")))
+    nn = S.nearest_points(p, p, _asked(ids).toDF("query").join(ids.toDF("target"), F.col("query") != F.col("target")))
     t = S.build_lookup(nn.filter("(query + target) % 2 = 0"), nn.filter("(query + target) % 2 = 1"), _LOOK.dist, _LOOK.dot)
     return rounded(s.createDataFrame([(i, j, v) for i, row in enumerate(t.cells) for j, v in enumerate(row)], "i long, j long, odds double"), 6)
 
@@ -119,9 +124,9 @@ def _(s, d):
     return S.clusters(S.nblast(X.points(s, d), X.points(s, d), _SC, "mean"), 3)
 
 
-@query("scores_to_distance", _nblast_sql("SELECT query, target, round((SELECT max(score) FROM f) - score, 6) + 0.0 AS score FROM f"))
+@query("scores_to_distance", _nblast_sql("SELECT query, target, round((SELECT max(score) FROM f) - score, 6) + 0.0 AS score FROM f WHERE query % 20 = 0"))
 def _(s, d):
-    return rounded(S.to_distance(S.nblast(_points(s, d), _points(s, d), _SC)), 6)
+    return rounded(S.to_distance(S.nblast(_asked(_points(s, d)), _points(s, d), _SC)), 6)
 
 
 # --- transforms ----------------------------------------------------------------------------------------------------
@@ -151,10 +156,10 @@ def _(s, d):
     return _co(G.mirror(X.nodes(s, d), 1200.0))
 
 
-@query("similarity_transform", sql("SELECT neuron, node_id, " + _XYZ.replace("8", "6").format("3 - 2 * y", "2 * x + 7", "2 * z") + " FROM nodes WHERE neuron < 3", "nodes"))
+@query("similarity_transform", sql("SELECT neuron, node_id, " + _XYZ.replace("8", "6").format("3 - 2 * y", "2 * x + 7", "2 * z") + " FROM nodes", "nodes"))
 def _(s, d):
     n = X.nodes(s, d)
-    t = n.filter("neuron < 3")
+    t = n
     fit = G.similarity(t.select("x", "y", "z", (3 - 2 * F.col("y")).alias("tx"), (2 * F.col("x") + 7).alias("ty"), (2 * F.col("z")).alias("tz")))
     return _co(fit(t), 6)
 
@@ -163,14 +168,14 @@ _LM = [[0, 0, 0], [1000, 0, 0], [0, 2000, 0], [0, 0, 1000], [1000, 2000, 1000],
 _LT = [[a * 0.5 + 10, b * 2, c + 0.1 * a] for a, b, c in _LM]
 
 
-@query("thin_plate", sql("SELECT neuron, node_id, round(0.5 * x + 10, 6) + 0.0 AS x, round(2 * y, 6) + 0.0 AS y, round(z + 0.1 * x, 6) + 0.0 AS z FROM nodes WHERE neuron < 3", "nodes"))
+@query("thin_plate", sql("SELECT neuron, node_id, round(0.5 * x + 10, 6) + 0.0 AS x, round(2 * y, 6) + 0.0 AS y, round(z + 0.1 * x, 6) + 0.0 AS z FROM nodes", "nodes"))
 def _(s, d):
-    return _co(G.ThinPlate(_LM, _LT)(X.nodes(s, d).filter("neuron < 3")), 6)
+    return _co(G.ThinPlate(_LM, _LT)(X.nodes(s, d)), 6)
 
 
-@query("moving_least_squares", sql("SELECT neuron, node_id, round(0.5 * x + 10, 6) + 0.0 AS x, round(2 * y, 6) + 0.0 AS y, round(z + 0.1 * x, 6) + 0.0 AS z FROM nodes WHERE neuron < 3", "nodes"))
+@query("moving_least_squares", sql("SELECT neuron, node_id, round(0.5 * x + 10, 6) + 0.0 AS x, round(2 * y, 6) + 0.0 AS y, round(z + 0.1 * x, 6) + 0.0 AS z FROM nodes", "nodes"))
 def _(s, d):
-    return _co(G.MovingLeastSquares(_LM, _LT)(X.nodes(s, d).filter("neuron < 3")), 6)
+    return _co(G.MovingLeastSquares(_LM, _LT)(X.nodes(s, d)), 6)
 
 
 @query("rescale", sql("SELECT n.neuron, n.node_id, " + _XYZ.format("c.x + (n.x - c.x) * 1.5", "c.y + (n.y - c.y) * 1.5", "c.z + (n.z - c.z) * 1.5") + " FROM nodes n JOIN (SELECT neuron, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM nodes GROUP BY 1) c ON c.neuron = n.neuron", "nodes"))
@@ -208,51 +213,84 @@ def _(s, d):
     return G.voxelize(X.nodes(s, d), 50.0)
 
 
-_COARSE = "SELECT neuron, i // 8 AS i, j // 16 AS j, k // 8 AS k, sum(value) AS value FROM voxels WHERE neuron < 20 GROUP BY 1, 2, 3, 4"
-
-
-def _all_coarse(s, d):
-    return X.voxels(s, d).groupBy("neuron", *(F.floor(F.col(c) / n).alias(c) for c, n in (("i", 8), ("j", 16), ("k", 8)))).agg(F.sum("value").alias("value"))
+#: Dense grids of about a hundred cells a neuron, at every scale.
+_COARSE = "SELECT neuron, CAST(floor(x / 250) AS BIGINT) AS i, CAST(floor(radius / 12) AS BIGINT) AS j, CAST(node_id % 5 AS BIGINT) AS k, count(*) AS value FROM nodes GROUP BY 1, 2, 3, 4"
 
 
 def _coarse(s, d):
-    return _all_coarse(s, d).filter("neuron < 20")
+    return X.nodes(s, d).groupBy("neuron", F.floor(F.col("x") / 250).alias("i"), F.floor(F.col("radius") / 12).alias("j"), (F.col("node_id") % 5).alias("k")).agg(F.count("*").alias("value"))
 
 
 for _name, _op in (("surface_voxels", "<"), ("inner_voxels", "=")):
 
     @query(_name, sql(f"""SELECT v.neuron, v.i, v.j, v.k, CAST(v.value AS BIGINT) AS value FROM v LEFT JOIN (SELECT a.neuron, a.i, a.j, a.k, count(*) AS n FROM v a JOIN v b ON a.neuron = b.neuron AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1 GROUP BY 1, 2, 3, 4) n
-ON n.neuron = v.neuron AND n.i = v.i AND n.j = v.j AND n.k = v.k WHERE coalesce(n.n, 0) {_op} 6""", "voxels", v=_COARSE))
+ON n.neuron = v.neuron AND n.i = v.i AND n.j = v.j AND n.k = v.k WHERE coalesce(n.n, 0) {_op} 6""", "nodes", v=_COARSE))
     def _(s, d, inverse=_name == "inner_voxels"):
         return G.surface_voxels(_coarse(s, d), inverse)
 
 
-@query("smooth_voxels", sql("""SELECT v.neuron, v.i + a.d AS i, v.j + b.d AS j, v.k + c.d AS k, round(sum(v.value * a.w * b.w * c.w), 6) AS value FROM v CROSS JOIN g a CROSS JOIN g b CROSS JOIN g c GROUP BY 1, 2, 3, 4 HAVING sum(v.value * a.w * b.w * c.w) > 0""", "voxels", v=_COARSE,
+@query("smooth_voxels", sql("""SELECT v.neuron, v.i + a.d AS i, v.j + b.d AS j, v.k + c.d AS k, round(sum(v.value * a.w * b.w * c.w), 6) AS value FROM v CROSS JOIN g a CROSS JOIN g b CROSS JOIN g c GROUP BY 1, 2, 3, 4 HAVING sum(v.value * a.w * b.w * c.w) > 0""", "nodes", v=_COARSE,
     g0="SELECT d, exp(-(d * d) / 2.0) AS w FROM (SELECT unnest(range(-2, 3)) AS d)", g="SELECT d, w / (SELECT sum(w) FROM g0) AS w FROM g0"))
 def _(s, d):
     return rounded(G.smooth_voxels(_coarse(s, d), 1.0, 2.0), 6)
 
 
-@query("voxel_overlap", sql("""SELECT p.a, p.b, round(coalesce(m.m, 0) / CAST(x.n + y.n - coalesce(m.m, 0) AS DOUBLE), 6) AS iou, round(2 * coalesce(m.m, 0) / CAST(x.n + y.n AS DOUBLE), 6) AS dice FROM (SELECT a.neuron AS a, b.neuron AS b FROM (SELECT DISTINCT neuron FROM v) a, (SELECT DISTINCT neuron FROM v) b WHERE a.neuron < b.neuron) p
-LEFT JOIN (SELECT a.neuron AS a, b.neuron AS b, count(*) AS m FROM v a JOIN v b ON a.i = b.i AND a.j = b.j AND a.k = b.k AND a.neuron < b.neuron GROUP BY 1, 2) m ON m.a = p.a AND m.b = p.b JOIN (SELECT neuron, count(*) AS n FROM v GROUP BY 1) x ON x.neuron = p.a JOIN (SELECT neuron, count(*) AS n FROM v GROUP BY 1) y ON y.neuron = p.b""", "voxels", v=_COARSE))
+@query("voxel_overlap", sql("""SELECT p.a, p.b, round(coalesce(m.m, 0) / CAST(x.n + y.n - coalesce(m.m, 0) AS DOUBLE), 6) AS iou, round(2 * coalesce(m.m, 0) / CAST(x.n + y.n AS DOUBLE), 6) AS dice FROM (SELECT a.neuron AS a, b.neuron AS b FROM (SELECT DISTINCT neuron FROM v) a, (SELECT DISTINCT neuron FROM v) b WHERE a.neuron <> b.neuron AND a.neuron % 20 = 0) p
+LEFT JOIN (SELECT a.neuron AS a, b.neuron AS b, count(*) AS m FROM v a JOIN v b ON a.i = b.i AND a.j = b.j AND a.k = b.k AND a.neuron <> b.neuron AND a.neuron % 20 = 0 GROUP BY 1, 2) m ON m.a = p.a AND m.b = p.b JOIN (SELECT neuron, count(*) AS n FROM v GROUP BY 1) x ON x.neuron = p.a JOIN (SELECT neuron, count(*) AS n FROM v GROUP BY 1) y ON y.neuron = p.b""", "nodes", v=_COARSE))
 def _(s, d):
     v = _coarse(s, d)
     ids = v.select("neuron").distinct()
-    return rounded(G.overlap_coefficients(v, ids.toDF("a").join(ids.toDF("b"), F.col("a") < F.col("b"))), 6)
+    return rounded(G.overlap_coefficients(v, _asked(ids).toDF("a").join(ids.toDF("b"), F.col("a") != F.col("b"))), 6)
 
 
-for _name, _op in (("voxel_union", "UNION"), ("voxel_intersection", "INTERSECT"), ("voxel_difference", "EXCEPT")):
+for _name, _sql in (("voxel_union", "{a} UNION {b}"), ("voxel_intersection", "{a} INTERSECT {b}"), ("voxel_difference", "{a} EXCEPT {b}"), ("voxel_symmetric_difference", "({a} EXCEPT {b}) UNION ALL ({b} EXCEPT {a})")):
 
-    @query(_name, sql(f"SELECT i, j, k FROM v WHERE neuron % 2 = 0 {_op} SELECT i, j, k FROM v WHERE neuron % 2 = 1", "voxels", v=_COARSE))
-    def _(s, d, op=_op):
+    @query(_name, sql(_sql.format(a="SELECT neuron // 2 AS neuron, i, j, k FROM v WHERE neuron % 2 = 0", b="SELECT neuron // 2 AS neuron, i, j, k FROM v WHERE neuron % 2 = 1"), "nodes", v=_COARSE))
+    def _(s, d, f=getattr(G, _name)):
         v = _coarse(s, d)
-        a, b = v.filter("neuron % 2 = 0").select("i", "j", "k"), v.filter("neuron % 2 = 1").select("i", "j", "k")
-        return {"UNION": a.union(b).distinct(), "INTERSECT": a.intersect(b), "EXCEPT": a.subtract(b)}[op]
+        a, b = (v.filter(f"neuron % 2 = {r}").withColumn("neuron", F.floor(F.col("neuron") / 2)) for r in (0, 1))
+        return f(a, b)
+
+
+_SIX = "(VALUES (0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(di, dj, dk)"
+_DILATED = f"SELECT DISTINCT neuron, i + di AS i, j + dj AS j, k + dk AS k FROM {{}} CROSS JOIN {_SIX}"
+_ERODED = f"SELECT neuron, i, j, k FROM (SELECT v.neuron, v.i, v.j, v.k, count(w.neuron) AS n FROM {{0}} v CROSS JOIN {_SIX} LEFT JOIN {{0}} w ON w.neuron = v.neuron AND w.i = v.i + di AND w.j = v.j + dj AND w.k = v.k + dk GROUP BY 1, 2, 3, 4) WHERE n = 7"
+for _name, _steps in (("dilate", [_DILATED]), ("erode", [_ERODED]), ("opening", [_ERODED, _DILATED]), ("closing", [_DILATED, _ERODED])):
+
+    @query(f"voxel_{_name}", sql("SELECT neuron, i, j, k FROM r", "nodes", v=_COARSE, **({"r1": _steps[0].format("v"), "r": _steps[1].format("r1")} if len(_steps) > 1 else {"r": _steps[0].format("v")})))
+    def _(s, d, f=getattr(G, f"voxel_{_name}")):
+        return f(_coarse(s, d))
+
+
+@query("voxel_threshold", sql("SELECT neuron, i, j, k, value FROM v WHERE value >= 3", "nodes", v=_COARSE))
+def _(s, d):
+    return G.voxel_threshold(_coarse(s, d), 3)
+
+
+@query("voxel_flip", sql("SELECT v.neuron, m.i - v.i AS i, v.j, v.k, v.value FROM v JOIN (SELECT neuron, min(i) + max(i) AS i FROM v GROUP BY 1) m ON m.neuron = v.neuron", "nodes", v=_COARSE))
+def _(s, d):
+    return G.voxel_flip(_coarse(s, d), "i")
+
+
+@query("voxel_strip", sql("SELECT v.neuron, v.i - m.i AS i, v.j - m.j AS j, v.k - m.k AS k, v.value, m.i AS oi, m.j AS oj, m.k AS ok FROM v JOIN (SELECT neuron, min(i) AS i, min(j) AS j, min(k) AS k FROM v GROUP BY 1) m ON m.neuron = v.neuron", "nodes", v=_COARSE))
+def _(s, d):
+    return G.voxel_strip(_coarse(s, d))
+
+
+@query("voxel_distance", sql("SELECT neuron, i, j, k, min(abs(i - a) + abs(j - b) + abs(k - c)) AS distance FROM (SELECT v.neuron, v.i, v.j, v.k, e.i AS a, e.j AS b, e.k AS c FROM v JOIN e ON e.neuron = v.neuron) GROUP BY 1, 2, 3, 4", "nodes", v=_COARSE,
+    e=f"SELECT neuron, i, j, k FROM ({_DILATED.format('v')}) EXCEPT SELECT neuron, i, j, k FROM v"))
+def _(s, d):
+    return G.voxel_distance(_coarse(s, d))
+
+
+@query("voxel_downscale", sql("SELECT neuron, CAST(floor(i / 2.0) AS BIGINT) AS i, CAST(floor(j / 2.0) AS BIGINT) AS j, CAST(floor(k / 2.0) AS BIGINT) AS k, CAST(sum(value) AS BIGINT) AS value FROM v GROUP BY 1, 2, 3, 4", "nodes", v=_COARSE))
+def _(s, d):
+    return G.voxel_downscale(_coarse(s, d), 2)
 
 
 @query("voxel_components", None)
 def _(s, d):
-    return G.voxel_components(_all_coarse(s, d), 26)
+    return G.voxel_components(_coarse(s, d), 26)
 
 
 # --- samples -------------------------------------------------------------------------------------------------------

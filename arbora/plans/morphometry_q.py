@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import morphometry as M
 from . import fixtures as X
 from .oracle import sql
@@ -213,11 +215,11 @@ def _(s, d):
     return rounded(M.persistence_vectors(M.persistence_points(X.nodes(s, d)), 20), 8)
 
 
-@query("persistence_distances", sql("""SELECT x.neuron AS a, y.neuron AS b, round(sqrt(sum(pow(x.density / m.l - y.density / n.l, 2))), 6) AS distance FROM vec x JOIN vec y ON x.i = y.i AND x.neuron < y.neuron JOIN l m ON m.neuron = x.neuron JOIN l n ON n.neuron = y.neuron
-WHERE x.neuron < 10 AND y.neuron < 10 GROUP BY 1, 2""", "path", "root", **_VEC, l="SELECT neuron, sqrt(sum(density * density)) AS l FROM vec GROUP BY 1"))
+@query("persistence_distances", sql("""SELECT x.neuron AS a, y.neuron AS b, round(sqrt(sum(pow(x.density / m.l - y.density / n.l, 2))), 6) AS distance FROM vec x JOIN vec y ON x.i = y.i AND x.neuron <> y.neuron JOIN l m ON m.neuron = x.neuron JOIN l n ON n.neuron = y.neuron
+WHERE x.neuron % 20 = 0 GROUP BY 1, 2""", "path", "root", **_VEC, l="SELECT neuron, sqrt(sum(density * density)) AS l FROM vec GROUP BY 1"))
 def _(s, d):
     v = M.persistence_vectors(M.persistence_points(X.nodes(s, d)), 20)
-    return rounded(M.persistence_distances(v.filter("neuron < 10")), 6)
+    return rounded(M.persistence_distances(v, v.filter("neuron % 20 = 0").select(F.col("neuron").alias("a"))), 6)
 
 
 @query("form_factor", sql("""SELECT p.neuron, v.q, round(2 * coalesce(sum(CASE WHEN r.r = 0 THEN 1 ELSE sin(v.q * r.r) / (v.q * r.r) END), 0) / pow(max(c.n), 2) + 1.0 / max(c.n), 6) AS form_factor
