@@ -469,21 +469,11 @@ def smooth_mesh(vertices: DataFrame, faces: DataFrame, iterations: int = 1, lamb
 
 
 def in_volume(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Points with ``inside``: parity of the faces that a ray along x crosses. Faces go to the (y, z) cells they span, so a
-    point meets only the faces over its own cell."""
-    t = face_table(vertices, faces).drop("neuron", "v0", "v1", "v2")
-    box = t.agg(F.max(F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy")).alias("h"), F.max(F.greatest("az", "bz", "cz") - F.least("az", "bz", "cz")).alias("w")).first()
-    h, w = max(box["h"] or 0, 1e-9), max(box["w"] or 0, 1e-9)
-    for c, s in (("y", h), ("z", w)):
-        t = t.withColumn(f"g{c}", F.explode(F.sequence(F.floor(F.least(f"a{c}", f"b{c}", f"c{c}") / s), F.floor(F.greatest(f"a{c}", f"b{c}", f"c{c}") / s))))
-    q = points.select(*XYZ).distinct().withColumns({"__cy": F.floor(F.col("y") / h), "__cz": F.floor(F.col("z") / w)})
-    side = lambda a, b: (F.col(f"{b}y") - F.col(f"{a}y")) * (F.col("z") - F.col(f"{a}z")) - (F.col(f"{b}z") - F.col(f"{a}z")) * (F.col("y") - F.col(f"{a}y"))
-    s = [side("a", "b") >= 0, side("b", "c") >= 0, side("c", "a") >= 0]
-    within = (s[0] & s[1] & s[2]) | (~s[0] & ~s[1] & ~s[2])
-    n = _cross("a", "b", "c")
-    hit = F.when(n[0] != 0, F.col("ax") - (n[1] * (F.col("y") - F.col("ay")) + n[2] * (F.col("z") - F.col("az"))) / n[0])
-    crossed = q.join(t, (q["__cy"] == t["gy"]) & (q["__cz"] == t["gz"])).filter(within & (hit > F.col("x"))).groupBy(*XYZ).agg(F.count("*").alias("__n"))
-    return points.join(crossed, list(XYZ), "left").withColumn("inside", F.coalesce(F.col("__n"), F.lit(0)) % 2 == 1).select(*points.columns, "inside")
+    """Points with ``inside``: whether any of the volumes holds them (``building.in_volumes`` says which)."""
+    from .building import in_volumes
+
+    held = in_volumes(points.select(*XYZ).distinct(), vertices, faces).select(*XYZ).distinct().withColumn("__in", F.lit(True))
+    return points.join(held, list(XYZ), "left").select(*points.columns, F.coalesce("__in", F.lit(False)).alias("inside"))
 
 
 def nearest_all(xyz: np.ndarray, group: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
