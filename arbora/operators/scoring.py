@@ -82,63 +82,78 @@ def analytic(sigma: float = 10.0) -> Analytic:
 BLOCK_POINTS, SLICES = 20_000, 64
 
 
-def raw_scores(query: DataFrame, target: DataFrame, score, max_dist: float | None = None) -> DataFrame:
-    """(query, target, raw): sums of the points' scores, of every query with every other target.
+def _meet(query: DataFrame, target: DataFrame, pairs: DataFrame | None, each, schema: str) -> DataFrame:
+    """Runs ``each(query ids, first points, pids, target id, dist, dot)`` for a block of queries and a target at a time.
 
     Queries form blocks of about ``BLOCK_POINTS`` points; a task holds one block and lets its share of the targets pass by,
-    each one matrix product. What moves is every target once for each block. Ties go to the smaller pid.
+    each one matrix product. What moves is every target once for each block. A query never meets itself, and with
+    ``pairs`` only the targets that it is asked for. Ties go to the smaller pid.
     """
     cols = ["x", "y", "z", "vx", "vy", "vz"]
     alpha = "alpha" in query.columns and "alpha" in target.columns
     cols += ["alpha"] if alpha else []
-    whole = lambda p: p.groupBy("neuron").agg(F.array_sort(F.collect_list(F.struct("pid", *cols))).alias("p")).select("neuron", *(F.col("p." + c).alias(c) for c in cols))
+    whole = lambda p: p.groupBy("neuron").agg(F.array_sort(F.collect_list(F.struct("pid", *cols))).alias("p")).select("neuron", F.col("p.pid").alias("pid"), *(F.col("p." + c).alias(c) for c in cols))
     n = max(1, -(-query.count() // BLOCK_POINTS))
     block = F.pmod(F.xxhash64("neuron"), F.lit(n)).cast("int")
-    q = whole(query).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), F.lit(0).alias("kind"), "neuron", *cols)
-    t = whole(target).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("neuron", F.lit(1)), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "neuron", *cols)
+    q = whole(query).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), F.lit(0).alias("kind"), "neuron", F.lit(None).cast("array<bigint>").alias("asked"), "pid", *cols)
+    t = whole(target)
+    if pairs is None:
+        t = t.withColumn("asked", F.lit(None).cast("array<bigint>"))
+    else:
+        t = t.join(pairs.groupBy(F.col("target").alias("neuron")).agg(F.collect_set(F.col("query").cast("long")).alias("asked")), "neuron")
+    t = t.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("neuron", F.lit(1)), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "neuron", "asked", "pid", *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, parts, ready = None, [], [], None
-        for b in batches:
-            out = ([], [], [])
+        key, ids, parts, pids = None, [], [], []
+        for b in (big.slice(i, 64) for big in batches for i in range(0, big.num_rows, 64)):
+            out = []
             for row in b.to_pylist():
                 x = np.array([row[c] for c in cols], float)
                 if (row["block"], row["slice"]) != key:
-                    key, ids, parts, ready = (row["block"], row["slice"]), [], [], None
+                    key, ids, parts, pids = (row["block"], row["slice"]), [], [], []
                 if not row["kind"]:
                     ids.append(row["neuron"])
                     parts.append(x)
-                elif ids:
-                    if ready is None:
-                        flat = np.concatenate(parts, axis=1)
-                        size = np.array([p.shape[1] for p in parts])
-                        ready = flat, size.cumsum() - size, np.array(ids)
-                    flat, at, names = ready
-                    j = ((x[:3] ** 2).sum(axis=0) - 2 * (flat[:3].T @ x[:3])).argmin(axis=1)
-                    near = x[:, j]
-                    dist = np.sqrt(((flat[:3] - near[:3]) ** 2).sum(axis=0))
-                    dot = np.abs((flat[3:6] * near[3:6]).sum(axis=0))
-                    if alpha:
-                        dot = dot * np.sqrt(flat[6] * near[6])
-                    if max_dist is not None:
-                        dist, dot = np.minimum(dist, max_dist), np.where(dist < max_dist, dot, 0.0)
-                    raw = np.add.reduceat(score.array(dist, dot), at)
-                    other = names != row["neuron"]
-                    out[0].append(names[other])
-                    out[1].append(np.full(int(other.sum()), row["neuron"]))
-                    out[2].append(raw[other])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query", "target", "raw"])
-
-    return q.unionByName(t).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "neuron").mapInArrow(run, "query long, target long, raw double")
+                    pids.append(np.array(row["pid"], np.int64))
+                    continue
+                asked = None if row["asked"] is None else set(row["asked"])
+                own = [i for i, name in enumerate(ids) if name != row["neuron"] and (asked is None or name in asked)]
+                if not own:
+                    continue
+                flat, size = np.concatenate([parts[i] for i in own], axis=1), np.array([parts[i].shape[1] for i in own])
+                j = ((x[:3] ** 2).sum(axis=0) - 2 * (flat[:3].T @ x[:3])).argmin(axis=1)
+                near = x[:, j]
+                dist = np.sqrt(((flat[:3] - near[:3]) ** 2).sum(axis=0))
+                dot = np.abs((flat[3:6] * near[3:6]).sum(axis=0))
+                if alpha:
+                    dot = dot * np.sqrt(flat[6] * near[6])
+                out.append(each(np.array([ids[i] for i in own]), size, np.concatenate([pids[i] for i in own]), row["neuron"], dist, dot))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return q.unionByName(t).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "neuron").mapInArrow(run, schema)
+
+
+def raw_scores(query: DataFrame, target: DataFrame, score, max_dist: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(query, target, raw): sums of the points' scores, of every query with every other target or of the given pairs."""
+
+    def each(ids, size, pids, target, dist, dot):
+        if max_dist is not None:
+            dist, dot = np.minimum(dist, max_dist), np.where(dist < max_dist, dot, 0.0)
+        return ids, np.full(len(ids), target), np.add.reduceat(score.array(dist, dot), size.cumsum() - size)
+
+    return _meet(query, target, pairs, each, "query long, target long, raw double")
 
 
 def nearest_points(query: DataFrame, target: DataFrame, pairs: DataFrame, max_dist: float | None = None) -> DataFrame:
     """For each point of each pair's query the nearest point of its target: query, target, pid, dist, dot.
 
     With ``max_dist`` points meet through a grid of that width only, and points without a partner within it count as
-    at that distance with dot 0; without it each pair's points are compared with each other. Ties: smaller pid.
+    at that distance with dot 0; without it blocks of queries meet one target at a time. Ties: smaller pid.
     """
+    if max_dist is None:
+        each = lambda ids, size, pids, target, dist, dot: (np.repeat(ids, size), np.full(len(pids), target), pids, dist, dot)
+        return _meet(query, target, pairs, each, "query long, target long, pid long, dist double, dot double")
     has_alpha = "alpha" in query.columns and "alpha" in target.columns
     cols = ["vx", "vy", "vz", *(["alpha"] if has_alpha else [])]
     q = pairs.join(query.select(F.col("neuron").alias("query"), "pid", "x", "y", "z", *cols), "query")
@@ -147,19 +162,14 @@ def nearest_points(query: DataFrame, target: DataFrame, pairs: DataFrame, max_di
     dot = F.abs(sum(F.col(f"v{c}") * F.col(f"tv{c}") for c in "xyz"))
     if has_alpha:
         dot = dot * F.sqrt(F.col("alpha") * F.col("talpha"))
-    if max_dist is None:
-        met = q.join(t, "target")
-    else:
-        cell = lambda c: F.floor(F.col(c) / max_dist).cast("long")
-        near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-        qq = q
-        for c in "xyz":
-            qq = qq.withColumn("o", F.explode(near)).withColumn(f"c{c}", cell(c) + F.col("o")).drop("o")
-        met = qq.join(t.withColumns({f"c{c}": cell(f"t{c}") for c in "xyz"}), ["target", "cx", "cy", "cz"]).filter(d < max_dist)
+    cell = lambda c: F.floor(F.col(c) / max_dist).cast("long")
+    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    qq = q
+    for c in "xyz":
+        qq = qq.withColumn("o", F.explode(near)).withColumn(f"c{c}", cell(c) + F.col("o")).drop("o")
+    met = qq.join(t.withColumns({f"c{c}": cell(f"t{c}") for c in "xyz"}), ["target", "cx", "cy", "cz"]).filter(d < max_dist)
     best = met.groupBy("query", "target", "pid").agg(F.min(F.struct(d.alias("dist"), "tpid", dot.alias("dot"))).alias("m"))
     best = best.select("query", "target", "pid", F.col("m.dist").alias("dist"), F.col("m.dot").alias("dot"))
-    if max_dist is None:
-        return best
     return q.select("query", "target", "pid").join(best, ["query", "target", "pid"], "left").select("query", "target", "pid", F.coalesce("dist", F.lit(float(max_dist))).alias("dist"), F.coalesce("dot", F.lit(0.0)).alias("dot"))
 
 
@@ -167,11 +177,10 @@ def score_pairs(query: DataFrame, target: DataFrame, pairs: DataFrame | None, sc
     """Forward scores: the sum of each query point's score, over the score of the query with itself. ``pairs`` None: all."""
     self_hit = score(F.lit(0.0), F.lit(1.0))
     size = query.groupBy(F.col("neuron").alias("query")).agg((F.count("*") * self_hit).alias("hit"))
+    hits = raw_scores(query, target, score, max_dist, pairs)
     if pairs is None:
-        hits = raw_scores(query, target, score, max_dist)
         own = target.select(F.col("neuron").alias("query"), F.col("neuron").alias("target")).distinct().join(size, "query")
     else:
-        hits = nearest_points(query, target, pairs.filter("query <> target"), max_dist).groupBy("query", "target").agg(F.sum(score(F.col("dist"), F.col("dot"))).alias("raw"))
         own = pairs.filter("query = target").join(size, "query")
     own = own.select("query", "target", (F.lit(1.0) if normalized else F.col("hit")).alias("score"))
     other = hits.join(size, "query").select("query", "target", (F.col("raw") / F.col("hit") if normalized else F.col("raw")).alias("score"))

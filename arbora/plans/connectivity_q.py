@@ -129,12 +129,12 @@ def _(s, d):
     return N.bipartite_match(rounded(N.connectivity_similarity(X.edges(s, d), "cosine").select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("similarity").alias("score")), 6), 0.01)
 
 
-@query("rank_index", sql("""SELECT a, b, round(1 - sum(abs(ra - rb)) / (max(t) * max(t) // 2), 6) AS similarity FROM (SELECT x.a, x.b, x.target, ra.r AS ra, rb.r AS rb, count(*) OVER (PARTITION BY x.a, x.b) AS t
+@query("rank_index", sql("""SELECT a, b, round(1 - sum(abs(ra - rb)) / (max(t) * max(t) // 2), 10) AS similarity FROM (SELECT x.a, x.b, x.target, ra.r AS ra, rb.r AS rb, count(*) OVER (PARTITION BY x.a, x.b) AS t
 FROM x JOIN r ra ON ra.source = x.a AND ra.target = x.target JOIN r rb ON rb.source = x.b AND rb.target = x.target) GROUP BY 1, 2""", "edges", **_DENSE,
     g="SELECT s.source, t.target, coalesce(e.w, 0) AS w FROM (SELECT DISTINCT source FROM e) s CROSS JOIN (SELECT DISTINCT target FROM e) t LEFT JOIN e ON e.source = s.source AND e.target = t.target",
     r="SELECT source, target, rank() OVER (PARTITION BY source ORDER BY w) + (count(*) OVER (PARTITION BY source, w) - 1) / 2.0 AS r FROM g"))
 def _(s, d):
-    return rounded(N.connectivity_similarity(X.edges(s, d), "rank_index", queries=_queries(s, d)), 6)
+    return rounded(N.connectivity_similarity(X.edges(s, d), "rank_index", queries=_queries(s, d)), 10)
 
 
 _NB = "SELECT neuron AS a, neuron + 1 AS b  FROM (SELECT DISTINCT neuron FROM nodes)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import fixtures as X
 
 _CTE = {
@@ -55,5 +57,10 @@ def sql(body: str, *ctes: str, **more: str) -> str:
 
     for c in ctes:
         add(c)
-    parts = [f"{c} AS {'' if c in ('anc', 'path') else 'MATERIALIZED '}({_CTE[c]})" for c in order] + [f"{k} AS ({v})" for k, v in more.items()]
+    def kept(name: str, body: str) -> str:
+        """Computed once; not so expressions that refer to themselves."""
+        own = re.search(rf"\b(FROM|JOIN) {name}\b", body)
+        return f"{name} AS {'' if own else 'MATERIALIZED '}({body})"
+
+    parts = [kept(c, _CTE[c]) for c in order] + [kept(k, v) for k, v in more.items()]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
