@@ -11,6 +11,7 @@ from ..functions.tables import distance, per_neuron, with_parent
 from . import morphometry as M
 from .forest import Forest
 from .space import nearest_all
+from .topology import path_rank
 
 
 def _chains(f: Forest):
@@ -64,22 +65,61 @@ def despike(nodes: DataFrame, sigma: float = 5.0, max_spike_length: int = 1) ->
     return nodes.drop("x", "y", "z").join(new, ["neuron", "node_id"]).select(*nodes.columns)
 
 
-def guess_radius(nodes: DataFrame, connectors: DataFrame) -> DataFrame:
-    """Radius of nodes with connectors: the farthest of them; linear along each stretch in between; else the neuron's mean."""
-    n = nodes.select("neuron", "node_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
-    r = connectors.join(n, ["neuron", "node_id"]).groupBy("neuron", "node_id").agg(F.max(distance()).alias("__r"))
+def _longest(f: Forest):
+    """Positions of each path of most nodes, a neuron's longest path first, distal end first; all paths but those to a
+    root end with the node that they join."""
+    lengths, f.step = f.step, (f.parent >= 0).astype(float)
+    rank, depth = path_rank(f), f.depth
+    f.step = lengths
+    own = np.lexsort((-depth, rank, f.neuron))
+    new = (np.diff(rank[own]) != 0) | (np.diff(f.neuron[own]) != 0)
+    for chain in np.split(own, np.flatnonzero(new) + 1):
+        if len(chain):
+            end = f.parent[chain[-1]]
+            yield np.append(chain, end) if end >= 0 else chain
+
+
+def _filled(r: np.ndarray, along: np.ndarray, limit: int | None) -> np.ndarray:
+    """``r`` with its gaps (nan) filled linearly in ``along``, beyond the ends by the nearest value; at most ``limit``
+    of a gap from either side."""
+    has = np.flatnonzero(~np.isnan(r))
+    if not len(has) or len(has) == len(r):
+        return r
+    gap = np.flatnonzero(np.isnan(r))
+    if limit is not None:
+        after = np.searchsorted(has, gap)
+        left = np.where(after > 0, gap - has[np.maximum(after - 1, 0)], len(r))
+        right = np.where(after < len(has), has[np.minimum(after, len(has) - 1)] - gap, len(r))
+        gap = gap[np.minimum(left, right) <= limit]
+    out = r.copy()
+    out[gap] = np.interp(along[gap], along[has], r[has])
+    return out
+
+
+def guess_radius(nodes: DataFrame, connectors: DataFrame, limit: int | None = None, smooth: int = 5) -> DataFrame:
+    """Radii of nodes with connectors are the distance to the farthest one in the plane (whole squared distances); other
+    known radii stay; the rest is linear along each path, at most ``limit`` nodes in a row.
+
+    Each path then takes the maximum over the last ``smooth`` nodes (0: none); later, shorter paths see and overwrite the
+    node that they join. What stays unknown is -1.
+    """
+    n = nodes.select("neuron", "node_id", *(F.col(c).alias(f"p{c}") for c in "xy"))
+    flat = sum((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xy")
+    r = connectors.join(n, ["neuron", "node_id"]).groupBy("neuron", "node_id").agg(F.max(F.sqrt(flat.cast("long").cast("double"))).alias("__r"))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         f = Forest(pdf)
-        r = pdf["__r"].to_numpy(float)
-        out = r.copy()
-        for chain in _chains(f):
-            along = np.concatenate([[0], f.step[chain[:-1]].cumsum()])
-            has = ~np.isnan(r[chain])
-            if has.any():
-                out[chain] = np.interp(along, along[has], r[chain][has])
-        mean = pd.Series(r).groupby(f.neuron).transform("mean").to_numpy()
-        return f.frame(radius=np.where(np.isnan(out), np.nan_to_num(mean), out))
+        known = pdf["radius"].to_numpy(float)
+        out = np.where(known > 0, known, np.nan)
+        by_connector = pdf["__r"].to_numpy(float)
+        out = np.where(np.isnan(by_connector), out, by_connector)
+        for chain in _longest(f):
+            r = _filled(out[chain], f.step[chain].cumsum(), limit)
+            best = r.copy()
+            for back in range(1, min(smooth, len(r))):
+                best[back:] = np.fmax(best[back:], r[:-back])
+            out[chain] = best
+        return f.frame(radius=np.where(np.isnan(out), -1.0, out))
 
     new = per_neuron(nodes.join(r, ["neuron", "node_id"], "left"), fn, "neuron long, node_id long, radius double")
     return nodes.drop("radius").join(new, ["neuron", "node_id"]).select(*nodes.columns)

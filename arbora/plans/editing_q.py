@@ -45,7 +45,9 @@ def _(s, d):
 
 @query("guess_radius")
 def _(s, d):
-    return rounded(E.guess_radius(X.nodes(s, d), X.connectors(s, d)).select("neuron", "node_id", "radius"))
+    known = X.nodes(s, d).withColumn("radius", F.when(F.col("node_id") % 4 == 0, F.col("radius")).otherwise(-1.0))
+    beside = X.connectors(s, d).withColumns({"x": F.col("x") + F.col("node_id") % 13, "y": F.col("y") + 2.5})
+    return rounded(E.guess_radius(known, beside).select("neuron", "node_id", "radius"))
 
 
 @query("average_skeletons")
