@@ -517,32 +517,49 @@ def voxel_symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return voxel_difference(a, b).union(voxel_difference(b, a))
 
 
-def _around(v: DataFrame) -> DataFrame:
-    """Each cell and its six neighbours, once for each cell that they come from."""
-    o = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("di", "dj", "dk"), t))) for t in _SIX))).alias("o")
+def _near(connectivity: int) -> list[tuple[int, int, int]]:
+    """A cell and its neighbours: over faces (6), edges too (18), corners too (26)."""
+    if connectivity == 6:
+        return _SIX
+    reach = {18: 2, 26: 3}[connectivity]
+    return [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if abs(a) + abs(b) + abs(c) <= reach]
+
+
+def _around(v: DataFrame, connectivity: int = 6) -> DataFrame:
+    """Each cell and its neighbours, once for each cell that they come from."""
+    o = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("di", "dj", "dk"), t))) for t in _near(connectivity)))).alias("o")
     return _cells(v).distinct().select(*_CELL, o).select("neuron", *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "ijk"))
 
 
-def voxel_dilate(v: DataFrame, iterations: int = 1) -> DataFrame:
-    """The cells and their face neighbours."""
+def voxel_dilate(v: DataFrame, iterations: int = 1, connectivity: int = 6) -> DataFrame:
+    """The cells and their neighbours."""
     for _ in range(iterations):
-        v = _around(v).distinct()
+        v = _around(v, connectivity).distinct()
     return v
 
 
-def voxel_erode(v: DataFrame, iterations: int = 1) -> DataFrame:
-    """Cells whose six face neighbours are filled: a cell is met seven times by filled cells, itself included."""
+def voxel_erode(v: DataFrame, iterations: int = 1, connectivity: int = 6) -> DataFrame:
+    """Cells whose neighbours are all filled: such a cell is met once by each of them and by itself."""
     for _ in range(iterations):
-        v = _around(v).groupBy(*_CELL).agg(F.count("*").alias("n")).filter(F.col("n") == 7).select(*_CELL)
+        v = _around(v, connectivity).groupBy(*_CELL).agg(F.count("*").alias("n")).filter(F.col("n") == connectivity + 1).select(*_CELL)
     return v
 
 
-def voxel_opening(v: DataFrame, iterations: int = 1) -> DataFrame:
-    return voxel_dilate(voxel_erode(v, iterations), iterations)
+def voxel_opening(v: DataFrame, iterations: int = 1, connectivity: int = 6) -> DataFrame:
+    return voxel_dilate(voxel_erode(v, iterations, connectivity), iterations, connectivity)
+
+
+def voxel_closing(v: DataFrame, iterations: int = 1, connectivity: int = 6) -> DataFrame:
+    return voxel_erode(voxel_dilate(v, iterations, connectivity), iterations, connectivity)
 
 
-def voxel_closing(v: DataFrame, iterations: int = 1) -> DataFrame:
-    return voxel_erode(voxel_dilate(v, iterations), iterations)
+def with_values(cells: DataFrame, v: DataFrame, fill: float | None = None) -> DataFrame:
+    """Cells with the values that ``v`` has for them; new ones get ``fill``, or else their object's largest value."""
+    known = v.groupBy(*_CELL).agg(F.max("value").alias("value"))
+    t = cells.join(known, list(_CELL), "left")
+    if fill is None:
+        t = t.join(v.groupBy("neuron").agg(F.max("value").alias("__f")), "neuron", "left")
+    return t.select(*_CELL, F.coalesce("value", F.col("__f") if fill is None else F.lit(fill)).alias("value"))
 
 
 def voxel_threshold(v: DataFrame, least: float) -> DataFrame:

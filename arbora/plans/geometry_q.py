@@ -262,6 +262,16 @@ for _name, _steps in (("dilate", [_DILATED]), ("erode", [_ERODED]), ("opening",
         return f(_coarse(s, d))
 
 
+_EIGHTEEN = "(SELECT a.x AS di, b.x AS dj, c.x AS dk FROM (VALUES (-1), (0), (1)) a(x), (VALUES (-1), (0), (1)) b(x), (VALUES (-1), (0), (1)) c(x) WHERE abs(a.x) + abs(b.x) + abs(c.x) <= 2) o"
+
+
+@query("voxel_dilate_values", sql("""SELECT g.neuron, g.i, g.j, g.k, CAST(coalesce(v.value, m.f) AS BIGINT) AS value FROM g LEFT JOIN v ON v.neuron = g.neuron AND v.i = g.i AND v.j = g.j AND v.k = g.k
+JOIN (SELECT neuron, max(value) AS f FROM v GROUP BY 1) m ON m.neuron = g.neuron""", "nodes", v=_COARSE, g=f"SELECT DISTINCT neuron, i + di AS i, j + dj AS j, k + dk AS k FROM v CROSS JOIN {_EIGHTEEN}"))
+def _(s, d):
+    v = _coarse(s, d)
+    return G.with_values(G.voxel_dilate(v, 1, 18), v)
+
+
 @query("voxel_threshold", sql("SELECT neuron, i, j, k, value FROM v WHERE value >= 3", "nodes", v=_COARSE))
 def _(s, d):
     return G.voxel_threshold(_coarse(s, d), 3)
