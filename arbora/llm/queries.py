@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, packing, quality, rules, secrets, suffix, tokenids, warc
+from . import counting, decontamination, jaccard, language, packing, quality, resampling, rules, secrets, suffix, tokenids, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_token_ids": tokenids.op9_token_ids,
     "op10_packing": packing.op10_packing,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_token_counts": counting.op12_token_counts,
 }
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
