@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counting, decontamination, jaccard, language, packing, quality, resampling, rules, secrets, suffix, tokenids, warc
+from . import counting, decontamination, jaccard, language, packing, phrases, quality, resampling, rules, secrets, suffix, tokenids, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_token_counts": counting.op12_token_counts,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
