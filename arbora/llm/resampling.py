@@ -68,7 +68,7 @@ class Buckets:
         crc, spaced, size = np.frombuffer(self.crc or b"\0" * 4, np.uint32), np.frombuffer(self.spaced or b"\0" * 4, np.uint32), np.frombuffer(self.size or b"\0" * 8, np.int64)
         ends = n.cumsum()
         first = np.ones(len(ids), bool)
-        first[ends - 1] = False  # the last word of a text begins no pair
+        first[ends[n > 0] - 1] = False  # the last word of a text begins no pair
         lead = np.flatnonzero(first[: len(ids)])
         a, b = ids[lead], ids[lead + 1]
         x, more, s = crc[a], np.minimum(size[b], _MOST) + 1, self.shift
