@@ -65,8 +65,8 @@ class Grams:
         """The cell of each run in a row of 2 ** ``bits`` cells."""
         return C.mix64(self.hash + np.uint64(row + 1) * C._ROT[3]) >> np.uint64(64 - bits)
 
-    def kept(self, ok: np.ndarray) -> tuple[list[str], list[int], list[bytes], list[int]]:
-        """(language, number of words, phrase, count) of the runs that may be frequent; a run needs its parts to be."""
+    def kept(self, ok: np.ndarray) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray]:
+        """(language, phrase, count, hash) of the runs that may be frequent; a run needs its parts to be."""
         v, n2 = self.v, len(self.two)
         words, one = self.words, ok[:v] & (self.counts[:v] > 0)
         two = ok[v : v + n2] & one[self.two // v] & one[self.two % v]
@@ -78,8 +78,8 @@ class Grams:
         f3 = [(a2[h], b2[h], c) for h, c in zip(self.head[i3].tolist(), (self.three[i3] % v).tolist())]
         phrases = [words[i] for i in f1] + [b"%b %b" % (words[a], words[b]) for a, b in f2] + [b"%b %b %b" % (words[a], words[b], words[c]) for a, b, c in f3]
         langs = [self.langs[i] for i in f1] + [self.langs[x[0]] for x in f2] + [self.langs[x[0]] for x in f3]
-        size = [1] * len(f1) + [2] * len(f2) + [3] * len(f3)
-        return langs, size, phrases, self.counts[np.concatenate([i1, v + i2, v + n2 + i3])].tolist()
+        at = np.concatenate([i1, v + i2, v + n2 + i3])
+        return langs, phrases, self.counts[at], self.hash[at]
 
 
 def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
@@ -99,7 +99,24 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return gaps.cumsum(dtype=np.int64), raw[4 * n :]
 
 
-def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 16 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def _pack_runs(phrases: list[bytes], counts: np.ndarray) -> bytes:
+    """Phrases (no line ends in them) and their counts, compressed; neighbours that share words make it small."""
+    import zstandard
+
+    text, planes = b"\n".join(phrases), counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(len(counts).to_bytes(8, "little") + planes + text)
+
+
+def _unpack_runs(packed: bytes) -> tuple[list[bytes], list[int]]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    end = 8 + 8 * int.from_bytes(raw[:8], "little")
+    counts = np.ascontiguousarray(np.frombuffer(raw[8:end], np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return raw[end:].split(b"\n"), counts.tolist()
+
+
+def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 12 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, k, phrase, a): exact counts of all runs of k = 1 to 3 words found ``least`` times or more in a language;
     k = 0 gives each language's number of words.
 
@@ -108,8 +125,8 @@ def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 16 << 20, lang
     it fills. A row has a cell for every word of the input or two, cut into ranges; each range is merged in a task
     of its own, which sends back to each block one bit a cell: whether the sum reaches ``least``. Sums are never too
     low, so nothing frequent is lost. Second pass: each block counts exactly, and sends on by name, only runs whose cells and
-    whose parts all survive. Nothing is broadcast; shuffled are the texts twice, about two bytes for each distinct run of a block,
-    the bits, and the survivors.
+    whose parts all survive, dealt by hash to as many parts as grow with the input. Nothing is broadcast; shuffled are the texts, about two bytes
+    for each distinct run of a block, the bits, and the survivors, packed.
     """
     if not 1 <= least <= 255:
         raise ValueError("least must be from 1 to 255")
@@ -119,6 +136,7 @@ def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 16 << 20, lang
     blocks = max(1, math.ceil(total / block_bytes))
     bits = min(48, max(10, math.ceil(math.log2(total / 6 + 1))))
     low = min(LARGEST, bits - 6)  # 64 ranges a row at least
+    parts = max(48, blocks // 4)
     path = C.fresh(spark, "phrases-blocks")
     texts.withColumn("block", F.floor(F.rand(13) * blocks).cast("int")).write.option("compression", "zstd").parquet(path)
     dealt = spark.read.schema("lang string, text string, block int").parquet(path)
@@ -156,7 +174,7 @@ def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 16 << 20, lang
         return pa.table([t["block"], t["row"], t["range"], pa.array(bits_, pa.binary())], names=["block", "row", "range", "bits"])
 
     def exact(t: pa.Table, sent: pa.Table) -> pa.Table:
-        names, kinds = ["lang", "k", "phrase", "n"], (pa.string(), pa.int32(), pa.binary(), pa.int64())
+        names, kinds = ["part", "lang", "runs"], (pa.int32(), pa.string(), pa.binary())
         if not t.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         g = grams(t)
@@ -167,18 +185,35 @@ def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 16 << 20, lang
             which, at = edges(cells)
             reach = [np.unpackbits(np.frombuffer(by[row, s], np.uint8), count=n) for s, n in zip(which.tolist(), np.diff(at).tolist())]
             ok &= np.concatenate(reach)[inverse].astype(bool)
-        langs, size, phrases, n = g.kept(ok)
+        langs, phrases, n, part = g.kept(ok)
         words: dict[str, int] = {}
         for lang, c in zip(g.langs[1:], g.counts[1 : g.v].tolist()):
             words[lang] = words.get(lang, 0) + c
-        langs, size, phrases, n = langs + list(words), size + [0] * len(words), phrases + [b""] * len(words), n + list(words.values())
-        return pa.table([pa.array(x, k) for x, k in zip((langs, size, phrases, n), kinds)], names=names)
+        langs, phrases = langs + list(words), phrases + [b""] * len(words)
+        n = np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))])
+        part = np.concatenate([(part % np.uint64(parts)).astype(np.int64), np.zeros(len(words), np.int64)])
+        number = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+        lang_no = np.fromiter(map(number.__getitem__, langs), np.int64, len(langs))
+        group = part * max(len(number), 1) + lang_no
+        order = np.argsort(group, kind="stable")  # within a group the runs of one first word stay together
+        at = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+        out = [(int(part[order[x]]), langs[order[x]], _pack_runs([phrases[i] for i in order[x:y].tolist()], n[order[x:y]])) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out) if out else ((), (), ()), kinds)], names=names)
+
+    def total_up(t: pa.Table) -> pa.Table:
+        sums: dict[str, dict[bytes, int]] = {}
+        for lang, packed in zip(t["lang"], t["runs"]):
+            own = sums.setdefault(lang.as_py(), {})
+            for x, c in zip(*_unpack_runs(packed.as_py())):
+                own[x] = own.get(x, 0) + c
+        rows = [(lang, x.count(b" ") + 1 if x else 0, x.decode(), c) for lang, own in sums.items() for x, c in own.items() if c >= least or not x]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 4, kinds)], names=["lang", "k", "phrase", "a"])
 
     sketches = dealt.groupBy("block").applyInArrow(sketch, "block int, row int, range long, cells binary")
     reached = sketches.groupBy("row", "range").applyInArrow(merge, "block int, row int, range long, bits binary")
-    some = dealt.groupBy("block").cogroup(reached.groupBy("block")).applyInArrow(exact, "lang string, k int, phrase binary, n long")
-    counts = some.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).filter((F.col("k") == 0) | (F.col("a") >= least))
-    return counts.select("lang", "k", F.col("phrase").cast("string").alias("phrase"), "a")
+    some = dealt.groupBy("block").cogroup(reached.groupBy("block")).applyInArrow(exact, "part int, lang string, runs binary")
+    return some.groupBy("part").applyInArrow(total_up, "lang string, k int, phrase string, a long")
 
 
 def _wide(name: str):
@@ -197,7 +232,7 @@ def scored(counts: DataFrame) -> DataFrame:
     return some.groupBy("lang", "k", "phrase", "a").agg(lowest).select("lang", "k", "phrase", "a", "m.l", "m.r", "m.score")
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, subsumed: int = 50, block_bytes: int = 16 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, subsumed: int = 50, block_bytes: int = 12 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two or three words of each language.
 
     Words are runs of other than space and tab in pieces between ``. , ; : ! ?`` and line ends, A-Z lower-cased. A
