@@ -476,21 +476,6 @@ def in_volume(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataF
     return points.join(held, list(XYZ), "left").select(*points.columns, F.coalesce("__in", F.lit(False)).alias("inside"))
 
 
-def nearest_all(xyz: np.ndarray, group: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each usable point the nearest usable point of another group, and its distance (-1 and inf: none); in blocks."""
-    n = len(xyz)
-    best, dist = np.full(n, -1), np.full(n, np.inf)
-    at = np.flatnonzero(usable)
-    for i in range(0, len(at), 512):
-        rows = at[i : i + 512]
-        d = np.sqrt(((xyz[rows, None] - xyz[None, at]) ** 2).sum(axis=2))
-        d[group[rows, None] == group[None, at]] = np.inf
-        j = d.argmin(axis=1)
-        dist[rows] = d[np.arange(len(rows)), j]
-        best[rows] = np.where(np.isfinite(dist[rows]), at[j], -1)
-    return best, dist
-
-
 # --- sets of voxels ------------------------------------------------------------------------------------------------
 _CELL = ("neuron", "i", "j", "k")
 _SIX = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
