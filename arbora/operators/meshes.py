@@ -208,24 +208,27 @@ def per_mesh(vertices: DataFrame, faces: DataFrame, fn: Callable[[Mesh], pd.Data
     """Runs ``fn`` on whole meshes, many in a task: one shuffle of vertices and faces together.
 
     Repeated vertices count once; faces and links to unknown vertices, vertices without a place and faces with a repeated
-    corner are left out. ``fn`` gives a frame without the neuron, which is put before it.
+    corner are left out. ``fn`` gives a frame without the neuron, which is put before it. Tables with a column ``part``
+    are cut by it: a part, not a neuron, is what ``fn`` gets.
     """
+    key = ["part", "neuron"] if "part" in vertices.columns else ["neuron"]
     none = [F.lit(None).cast("double").alias(c) for c in XYZ]
     long = lambda c, n: F.col(c).cast("long").alias(n)
-    rows = vertices.select("neuron", F.lit(0).alias("kind"), long("vid", "a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), *(F.col(c).cast("double").alias(c) for c in XYZ)).dropna(subset=["a"])
-    rows = rows.union(faces.select("neuron", F.lit(1), long("v0", "a"), long("v1", "b"), long("v2", "c"), *none).dropna(subset=["a", "b", "c"]))
+    rows = vertices.select(*key, F.lit(0).alias("kind"), long("vid", "a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), *(F.col(c).cast("double").alias(c) for c in XYZ)).dropna(subset=["a"])
+    rows = rows.union(faces.select(*key, F.lit(1), long("v0", "a"), long("v1", "b"), long("v2", "c"), *none).dropna(subset=["a", "b", "c"]))
     if extra is not None:
-        rows = rows.union(extra.select("neuron", F.lit(2), long("a", "a"), long("b", "b"), F.lit(0).cast("long"), *none).dropna(subset=["a", "b"]))
+        rows = rows.union(extra.select(*key, F.lit(2), long("a", "a"), long("b", "b"), F.lit(0).cast("long"), *none).dropna(subset=["a", "b"]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for neuron, g in pdf.groupby("neuron", sort=False):
+        for _, g in pdf.groupby(key[0], sort=False):
+            neuron = g["neuron"].iloc[0]
             t = fn(Mesh(neuron, g))
             t.insert(0, "neuron", neuron)
             out.append(t)
         return pd.concat(out, ignore_index=True)
 
-    return per_neuron(rows, run, schema, order=("kind", "a", "b", "c"))
+    return per_neuron(rows, run, schema, key=key[0], order=("kind", "a", "b", "c"))
 
 
 # --- skeletons -----------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import meshes as M
 from ..operators import space as G
+from ..operators import surfaces as S
 from . import fixtures as X
 from .oracle import sql
 from .registry import query, rounded
@@ -97,3 +98,34 @@ def _(s, d):
 @query("heal_mesh")
 def _(s, d):
     return rounded(M.heal_mesh(*surface(s, d)), 6)
+
+
+# half the faces, still closed, and as many holes and parts as before
+@query("simplify_mesh", sql("SELECT neuron, CAST(2 * chi AS BIGINT) AS euler, CAST(0 AS BIGINT) AS open_edges, true AS fewer FROM chi", "voxels", b=_BLOBS, solid=_CHI, ring=_RING, chi="SELECT neuron, solid.chi + coalesce(n, 0) AS chi FROM solid LEFT JOIN ring USING (neuron)"))
+def _(s, d):
+    v, f = surface(s, d)
+    new, tri, _ = S.simplify_mesh(v, f, 0.6)
+    e = M.edges(tri).groupBy("neuron").agg(F.count("*").alias("e"), F.count_if(F.col("n") != 2).alias("open_edges"))
+    t = new.groupBy("neuron").agg(F.count("*").alias("v")).join(e, "neuron").join(tri.groupBy("neuron").agg(F.count("*").alias("f")), "neuron")
+    t = t.join(f.groupBy("neuron").agg(F.count("*").alias("was")), "neuron")
+    return t.select("neuron", (F.col("v") - F.col("e") + F.col("f")).alias("euler"), "open_edges", (F.col("f") <= 0.75 * F.col("was")).alias("fewer"))
+
+
+@query("openness")
+def _(s, d):
+    return rounded(S.openness(*surface(s, d)), 6)
+
+
+# a surface with every tenth vertex' faces cut out is closed again
+@query("fill_holes", sql("SELECT DISTINCT neuron, CAST(0 AS BIGINT) AS unbalanced FROM voxels", "voxels"))
+def _(s, d):
+    v, f = surface(s, d)
+    cut = f.filter("NOT (v0 % 10 = 0 OR v1 % 10 = 0 OR v2 % 10 = 0)")
+    e = F.explode(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), F.when(F.col(p) < F.col(q), 1).otherwise(-1).alias("n")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))))).alias("e")
+    ways = S.fill_holes(v, cut).select("neuron", e).groupBy("neuron", "e.a", "e.b").agg(F.sum("e.n").alias("n")).groupBy("neuron").agg(F.count_if(F.col("n") != 0).alias("unbalanced"))
+    return f.select("neuron").distinct().join(ways, "neuron", "left").select("neuron", F.coalesce("unbalanced", F.lit(0).cast("long")).alias("unbalanced"))
+
+
+@query("drop_internals")
+def _(s, d):
+    return S.drop_internals(*surface(s, d))[1]
