@@ -552,9 +552,11 @@ def voxel_threshold(v: DataFrame, least: float) -> DataFrame:
     return v.filter(F.col("value") >= least)
 
 
-def voxel_flip(v: DataFrame, axis: str) -> DataFrame:
-    """Mirrored within each object's own extent along an axis."""
-    m = v.groupBy("neuron").agg((F.min(axis) + F.max(axis)).alias("__m"))
+def voxel_flip(v: DataFrame, axis: str, shape: int | None = None) -> DataFrame:
+    """Mirrored along an axis within the grid of ``shape`` cells, else the one that ends at each object's last cell."""
+    if shape is not None:
+        return v.withColumn(axis, shape - 1 - F.col(axis))
+    m = v.groupBy("neuron").agg(F.max(axis).alias("__m"))
     return v.join(m, "neuron").withColumn(axis, F.col("__m") - F.col(axis)).select(*v.columns)
 
 
@@ -564,23 +566,6 @@ def voxel_strip(v: DataFrame) -> DataFrame:
     return v.join(m, "neuron").withColumns({c: F.col(c) - F.col(f"o{c}") for c in "ijk"}).select(*v.columns, "oi", "oj", "ok")
 
 
-def voxel_distance(v: DataFrame) -> DataFrame:
-    """Steps over faces from each cell to the nearest empty one: how many erosions it takes to lose it.
-
-    Each round removes the outermost layer, so there are as many rounds as the thickest object has layers.
-    """
-    from ..functions.tables import durable
-
-    left, out, step = durable(_cells(v).distinct()), None, 0
-    while not left.isEmpty():
-        step += 1
-        inner = durable(voxel_erode(left))
-        layer = left.join(inner, list(_CELL), "left_anti").withColumn("distance", F.lit(step).cast("long"))
-        out = layer if out is None else out.union(layer)
-        left = inner
-    return out if out is not None else left.withColumn("distance", F.lit(0).cast("long"))
-
-
 def voxel_downscale(v: DataFrame, factor: int) -> DataFrame:
     """Sums of blocks of ``factor`` cells along each axis."""
     return v.groupBy("neuron", *(F.floor(F.col(c) / factor).alias(c) for c in "ijk")).agg(F.sum("value").alias("value"))

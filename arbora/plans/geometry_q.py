@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
+from ..operators import grids as R
 from ..operators import space as G
 from . import fixtures as X
 from .oracle import sql
@@ -277,7 +278,7 @@ def _(s, d):
     return G.voxel_threshold(_coarse(s, d), 3)
 
 
-@query("voxel_flip", sql("SELECT v.neuron, m.i - v.i AS i, v.j, v.k, v.value FROM v JOIN (SELECT neuron, min(i) + max(i) AS i FROM v GROUP BY 1) m ON m.neuron = v.neuron", "nodes", v=_COARSE))
+@query("voxel_flip", sql("SELECT v.neuron, m.i - v.i AS i, v.j, v.k, v.value FROM v JOIN (SELECT neuron, max(i) AS i FROM v GROUP BY 1) m ON m.neuron = v.neuron", "nodes", v=_COARSE))
 def _(s, d):
     return G.voxel_flip(_coarse(s, d), "i")
 
@@ -287,10 +288,10 @@ def _(s, d):
     return G.voxel_strip(_coarse(s, d))
 
 
-@query("voxel_distance", sql("SELECT neuron, i, j, k, min(abs(i - a) + abs(j - b) + abs(k - c)) AS distance FROM (SELECT v.neuron, v.i, v.j, v.k, e.i AS a, e.j AS b, e.k AS c FROM v JOIN e ON e.neuron = v.neuron) GROUP BY 1, 2, 3, 4", "nodes", v=_COARSE,
+@query("voxel_distance", sql("SELECT neuron, i, j, k, round(sqrt(min(4.0 * (i - a) * (i - a) + 9.0 * (j - b) * (j - b) + 25.0 * (k - c) * (k - c))), 6) AS distance FROM (SELECT v.neuron, v.i, v.j, v.k, e.i AS a, e.j AS b, e.k AS c FROM v JOIN e ON e.neuron = v.neuron) GROUP BY 1, 2, 3, 4", "nodes", v=_COARSE,
     e=f"SELECT neuron, i, j, k FROM ({_DILATED.format('v')}) EXCEPT SELECT neuron, i, j, k FROM v"))
 def _(s, d):
-    return G.voxel_distance(_coarse(s, d))
+    return rounded(R.distance_transform(_coarse(s, d), (2.0, 3.0, 5.0)), 6)
 
 
 @query("voxel_downscale", sql("SELECT neuron, CAST(floor(i / 2.0) AS BIGINT) AS i, CAST(floor(j / 2.0) AS BIGINT) AS j, CAST(floor(k / 2.0) AS BIGINT) AS k, CAST(sum(value) AS BIGINT) AS value FROM v GROUP BY 1, 2, 3, 4", "nodes", v=_COARSE))

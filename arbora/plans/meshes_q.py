@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import grids as R
 from ..operators import meshes as M
 from ..operators import space as G
 from ..operators import surfaces as S
@@ -129,3 +130,34 @@ def _(s, d):
 @query("drop_internals")
 def _(s, d):
     return S.drop_internals(*surface(s, d))[1]
+
+
+# cells of the bounding box that are empty and linked to no cell outside of it
+@query("fill_cavities", sql("""SELECT neuron, i, j, k FROM b UNION SELECT e.neuron, e.i, e.j, e.k FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.neuron = e.neuron AND r.i = e.i AND r.j = e.j AND r.k = e.k)""", "voxels", b=_BLOBS,
+    box="SELECT neuron, min(i) - 1 AS i0, max(i) + 1 AS i1, min(j) - 1 AS j0, max(j) + 1 AS j1, min(k) - 1 AS k0, max(k) + 1 AS k1 FROM b GROUP BY 1",
+    e="SELECT * FROM (SELECT neuron, unnest(range(i0, i1 + 1)) AS i, j0, j1, k0, k1 FROM box), LATERAL (SELECT unnest(range(j0, j1 + 1)) AS j), LATERAL (SELECT unnest(range(k0, k1 + 1)) AS k) WHERE (neuron, i, j, k) NOT IN (SELECT neuron, i, j, k FROM b)",
+    reach="""SELECT neuron, i0 AS i, j0 AS j, k0 AS k FROM box UNION SELECT e.neuron, e.i, e.j, e.k FROM reach r, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c), e
+WHERE e.neuron = r.neuron AND e.i = r.i + o.a AND e.j = r.j + o.b AND e.k = r.k + o.c"""))
+def _(s, d):
+    return R.fill_cavities(blobs(s, d))
+
+
+@query("thin_voxels")
+def _(s, d):
+    return R.thin_voxels(blobs(s, d))
+
+
+@query("thin_skeleton")
+def _(s, d):
+    return rounded(R.thin_skeleton(blobs(s, d), _SIZE), 6)
+
+
+@query("voxel_surface_area", sql("SELECT b.neuron, CAST(min(a) AS DOUBLE) AS area, CAST(30 * count(*) AS DOUBLE) AS volume FROM b JOIN (SELECT neuron, sum(CASE axis WHEN 0 THEN 15 WHEN 1 THEN 10 ELSE 6 END) AS a FROM c GROUP BY 1) s USING (neuron) GROUP BY 1", "voxels", b=_BLOBS, c=_CROSS))
+def _(s, d):
+    return R.surface_area(blobs(s, d), _SIZE)
+
+
+@query("voxel_normalize", sql("SELECT v.neuron, i, j, k, round(value / m, 9) AS value FROM voxels v JOIN (SELECT neuron, max(value) AS m FROM voxels GROUP BY 1) m ON m.neuron = v.neuron", "voxels"))
+def _(s, d):
+    v = X.voxels(s, d)
+    return rounded(R.normalize(v.withColumn("value", F.col("value").cast("double"))), 9)
