@@ -6,11 +6,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import durable, per_neuron
 from .forest import Forest
+from .geometry import components
 from .space import face_table
 
 XYZ = ["x", "y", "z"]
@@ -75,34 +76,54 @@ def find_soma(nodes: DataFrame, min_radius: float | None = None, label: str | No
     """(neuron, soma): the fattest node of the region whose candidates have the largest mean radius.
 
     Candidates have at least ``min_radius`` and, if given, the label. A candidate's region is the candidates within
-    ``dist_factor`` times its radius. Neurons without a candidate have no row. With a label only, the candidate nearest
-    to the candidates' centre counts.
+    ``dist_factor`` times its radius. Without ``min_radius``, and in neurons where no node has a radius, the label decides: of the largest
+    connected piece of labelled nodes (ties: the smallest node id) the node nearest to the piece's centre (ties likewise). Neurons
+    without a candidate have no row.
     """
-    c = nodes
-    if label is not None:
-        c = c.filter(F.col("label").cast("string") == label)
-    if min_radius is None:
-        m = c.groupBy("neuron").agg(*(F.avg(x).alias(f"m{x}") for x in XYZ))
-        d = sum((F.col(x) - F.col(f"m{x}")) * (F.col(x) - F.col(f"m{x}")) for x in XYZ)
-        return c.join(m, "neuron").groupBy("neuron").agg(F.min_by("node_id", F.struct(d, "node_id")).alias("soma"))
-    c = c.filter((F.col("radius") > 0) & (F.col("radius") >= min_radius)).select("neuron", "node_id", "radius", *XYZ)
+    if min_radius is None and label is None:
+        return nodes.select("neuron", F.col("node_id").alias("soma")).limit(0)
+    labelled = F.lit(True) if label is None else F.col("label").cast("string") == F.lit(label)
+    n = nodes.select("neuron", "node_id", "parent_id", "radius", *XYZ, F.coalesce(labelled, F.lit(False)).alias("mark"))
+
+    def by_label(g: pd.DataFrame) -> int | None:
+        g = g[g["mark"]]
+        if not len(g):
+            return None
+        ids, xyz = g["node_id"].to_numpy(np.int64), g[XYZ].to_numpy(float)
+        parent = g["parent_id"].fillna(-1).to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(ids, parent), len(ids) - 1)
+        child = np.flatnonzero((ids[at] == parent) & (parent >= 0))
+        piece = components(len(ids), child, at[child])
+        size = np.bincount(piece, minlength=len(ids))
+        own = np.flatnonzero(piece == size.argmax())
+        off = xyz[own] - xyz[own].mean(axis=0)
+        return int(ids[own[np.round((off * off).sum(axis=1), 6).argmin()]])
+
+    def by_radius(g: pd.DataFrame) -> int | None:
+        g = g[g["mark"] & (g["radius"] > 0) & (g["radius"] >= min_radius)]
+        if not len(g):
+            return None
+        xyz, r, ids = g[XYZ].to_numpy(float), g["radius"].to_numpy(float), g["node_id"].to_numpy()
+        best = (-np.inf, None)
+        for i in range(0, len(g), 512):
+            near = ((xyz[i : i + 512, None] - xyz[None]) ** 2).sum(axis=2) <= (dist_factor * r[i : i + 512, None]) ** 2
+            mean = (near @ r) / near.sum(axis=1)
+            j = int(mean.argmax())
+            if mean[j] > best[0]:
+                best = mean[j], near[j]
+        inside = np.flatnonzero(best[1])
+        return int(ids[inside[r[inside].argmax()]])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for neuron, g in pdf.groupby("neuron", sort=False):
-            xyz, r, ids = g[XYZ].to_numpy(float), g["radius"].to_numpy(float), g["node_id"].to_numpy()
-            best = (-np.inf, None)
-            for i in range(0, len(g), 512):
-                near = ((xyz[i : i + 512, None] - xyz[None]) ** 2).sum(axis=2) <= (dist_factor * r[i : i + 512, None]) ** 2
-                mean = (near @ r) / near.sum(axis=1)
-                j = int(mean.argmax())
-                if mean[j] > best[0]:
-                    best = mean[j], near[j]
-            inside = np.flatnonzero(best[1])
-            rows.append((neuron, ids[inside[r[inside].argmax()]]))
+            radius = min_radius is not None and (g["radius"] > 0).any()
+            soma = by_radius(g) if radius else by_label(g) if label is not None else None
+            if soma is not None:
+                rows.append((neuron, soma))
         return pd.DataFrame(rows, columns=["neuron", "soma"])
 
-    return per_neuron(c, fn, "neuron long, soma long")
+    return per_neuron(n, fn, "neuron long, soma long")
 
 
 def soma_features(nodes: DataFrame, somata: DataFrame | None = None) -> DataFrame:
@@ -226,26 +247,41 @@ def chunks(nodes: DataFrame, size: int, undersized: str = "keep") -> DataFrame:
 
 
 # --- volumes -------------------------------------------------------------------------------------------------------
+def _edge(name: str, a: str, b: str) -> dict[str, Column]:
+    """Columns of the edge from corner a to b in (y, z), its ends in one order whatever the face: two faces that share an edge
+    then compute the same side of it. ``tie``: the side of points on the edge, moved by an infinitely small (e, e * e)."""
+    c = F.col
+    turned = (c(f"{a}y") > c(f"{b}y")) | ((c(f"{a}y") == c(f"{b}y")) & (c(f"{a}z") > c(f"{b}z")))
+    y0, z0, y1, z1 = (F.when(turned, c(f"{q}{x}")).otherwise(c(f"{p}{x}")) for p, q in ((a, b), (b, a)) for x in "yz")
+    return {f"{name}y": y0, f"{name}z": z0, f"{name}u": y1 - y0, f"{name}v": z1 - z0, f"{name}tie": (z1 < z0) | ((z1 == z0) & (y1 > y0)), f"{name}turned": turned}
+
+
 def in_volumes(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """The points inside each volume: their rows with ``volume`` (the mesh's id), a row for each volume that holds them.
 
-    A ray along x crosses an odd number of a volume's faces. Faces go to the (y, z) cells that they span, a point meets
-    only faces over its own cell; each volume counts for itself, so overlapping ones do not cancel.
+    A ray along x crosses an odd number of a volume's faces. A ray through an edge or corner crosses as if moved aside a
+    little, so it meets one of the faces there, not two or none. Faces go to the (y, z) cells that they span, of a size
+    of their own class (powers of two), so a large face covers few cells and small ones meet only points near them; a
+    point looks in its cell of each class that occurs. Each volume counts for itself, so overlapping ones do not cancel.
     """
     t = face_table(vertices, faces).withColumnRenamed("neuron", "volume").drop("v0", "v1", "v2")
-    box = t.agg(F.max(F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy")).alias("h"), F.max(F.greatest("az", "bz", "cz") - F.least("az", "bz", "cz")).alias("w")).first()
-    h, w = max(box["h"] or 0, 1e-9), max(box["w"] or 0, 1e-9)
-    for c, s in (("y", h), ("z", w)):
-        t = t.withColumn(f"g{c}", F.explode(F.sequence(F.floor(F.least(f"a{c}", f"b{c}", f"c{c}") / s), F.floor(F.greatest(f"a{c}", f"b{c}", f"c{c}") / s))))
-    q = points.select(*XYZ).distinct().withColumns({"gy": F.floor(F.col("y") / h), "gz": F.floor(F.col("z") / w)})
+    extent = F.greatest(*(F.greatest(f"a{c}", f"b{c}", f"c{c}") - F.least(f"a{c}", f"b{c}", f"c{c}") for c in "yz"), F.lit(1e-9))
+    t = t.withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(extent))))
+    for c in "yz":
+        t = t.withColumn(f"g{c}", F.explode(F.sequence(F.floor(F.least(f"a{c}", f"b{c}", f"c{c}") / F.col("size")), F.floor(F.greatest(f"a{c}", f"b{c}", f"c{c}") / F.col("size")))))
+    sizes = t.groupBy().agg(F.collect_set("size").alias("sizes"))  # as many as doubles have powers of two, at most
+    q = points.select(*XYZ).distinct().crossJoin(F.broadcast(sizes)).select(*XYZ, F.explode("sizes").alias("size"))
+    q = q.withColumns({"gy": F.floor(F.col("y") / F.col("size")), "gz": F.floor(F.col("z") / F.col("size"))})
     c = F.col
-    side = lambda a, b: (c(f"{b}y") - c(f"{a}y")) * (c("z") - c(f"{a}z")) - (c(f"{b}z") - c(f"{a}z")) * (c("y") - c(f"{a}y"))
-    s = [side("a", "b") >= 0, side("b", "c") >= 0, side("c", "a") >= 0]
     u, v = ([c(f"{k}{x}") - c(f"a{x}") for x in XYZ] for k in "bc")
     n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    hit = F.when(n[0] != 0, c("ax") - (n[1] * (c("y") - c("ay")) + n[2] * (c("z") - c("az"))) / n[0])
-    within = (s[0] & s[1] & s[2]) | (~s[0] & ~s[1] & ~s[2])
-    crossed = q.join(t, ["gy", "gz"]).filter(within & (hit > c("x"))).groupBy("volume", *XYZ).agg((F.count("*") % 2).alias("odd")).filter("odd = 1").drop("odd")
+    t = t.withColumns({"top": F.greatest("ax", "bx", "cx"), "n0": n[0], "sy": F.when(n[0] != 0, n[1] / n[0]), "sz": F.when(n[0] != 0, n[2] / n[0]), **_edge("p", *"ab"), **_edge("q", *"bc"), **_edge("r", *"ca")})
+    t = t.filter("n0 <> 0").drop("bx", "by", "bz", "cx", "cy", "cz", "n0")  # a face along the ray is crossed by none
+    s = [c(f"{e}u") * (c("z") - c(f"{e}z")) - c(f"{e}v") * (c("y") - c(f"{e}y")) for e in "pqr"]
+    sides = [((s > 0) | ((s == 0) & c(f"{e}tie"))) != c(f"{e}turned") for e, s in zip("pqr", s)]
+    hit = c("ax") - c("sy") * (c("y") - c("ay")) - c("sz") * (c("z") - c("az"))
+    within = (c("top") > c("x")) & (sides[0] == sides[1]) & (sides[1] == sides[2])
+    crossed = q.join(t, ["size", "gy", "gz"]).filter(within & (hit > c("x"))).groupBy("volume", *XYZ).agg((F.count("*") % 2).alias("odd")).filter("odd = 1").drop("odd")
     return points.join(crossed, XYZ).select(*points.columns, "volume")
 
 

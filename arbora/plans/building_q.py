@@ -49,7 +49,13 @@ def _(s, d):
     return B.find_soma(X.nodes(s, d), 40.0)
 
 
-@query("find_soma_label", sql("SELECT n.neuron, min_by(n.node_id, (round((n.x-m.x)*(n.x-m.x)+(n.y-m.y)*(n.y-m.y)+(n.z-m.z)*(n.z-m.z), 6), n.node_id)) AS soma FROM nodes n JOIN (SELECT neuron, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM nodes WHERE label = 'R' GROUP BY 1) m ON m.neuron = n.neuron WHERE n.label = 'R' GROUP BY 1", "nodes"))
+# the largest piece of nodes with the label; each is named by its topmost node, the last reached over labelled ancestors
+@query("find_soma_label", sql("""SELECT n.neuron, min_by(n.node_id, (round((n.x-m.x)*(n.x-m.x)+(n.y-m.y)*(n.y-m.y)+(n.z-m.z)*(n.z-m.z), 6), n.node_id)) AS soma FROM piece n
+JOIN (SELECT neuron, min_by(top, (-n, low)) AS top FROM (SELECT neuron, top, count(*) AS n, min(node_id) AS low FROM piece GROUP BY 1, 2) GROUP BY 1) big ON big.neuron = n.neuron AND big.top = n.top
+JOIN (SELECT neuron, top, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM piece GROUP BY 1, 2) m ON m.neuron = n.neuron AND m.top = n.top GROUP BY 1""", "nodes",
+    marked="SELECT * FROM nodes WHERE label = 'R'",
+    up="SELECT neuron, node_id, node_id AS top FROM marked UNION ALL SELECT u.neuron, u.node_id, p.node_id FROM up u JOIN marked c ON c.neuron = u.neuron AND c.node_id = u.top JOIN marked p ON p.neuron = c.neuron AND p.node_id = c.parent_id",
+    piece="SELECT m.*, t.top FROM marked m JOIN (SELECT neuron, node_id, max_by(top, n) AS top FROM (SELECT u.*, CASE WHEN EXISTS (SELECT 1 FROM marked c JOIN marked p ON p.neuron = c.neuron AND p.node_id = c.parent_id WHERE c.neuron = u.neuron AND c.node_id = u.top) THEN 0 ELSE 1 END AS n FROM up u) GROUP BY 1, 2) t ON t.neuron = m.neuron AND t.node_id = m.node_id"))
 def _(s, d):
     return B.find_soma(X.nodes(s, d), label="R")
 

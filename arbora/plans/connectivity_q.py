@@ -69,9 +69,9 @@ def _(s, d):
     return rounded(N.connectivity_sparseness(X.edges(s, d), "LTK"), 8)
 
 
-@query("sparseness_lts_missing", sql(f"SELECT target, round(1 / (1 - 1.0 / max(n)) * (1 - {_RATIO}), 6) + 0.0 AS sparseness FROM {_N} GROUP BY 1 HAVING max(n) > 1", "edges", v=_E))
-def _(s, d):
-    return rounded(N.connectivity_sparseness(X.edges(s, d), "LTS", dense=False), 6)
+@query("sparseness_lts_missing", sql(f"SELECT target, round(1 / (1 - 1.0 / max(n)) * (1 - {_RATIO}) + 1e-9, 6) + 0.0 AS sparseness FROM {_N} GROUP BY 1 HAVING max(n) > 1", "edges", v=_E))
+def _(s, d):  # moved off exact halves before rounding
+    return rounded(N.connectivity_sparseness(X.edges(s, d), "LTS", dense=False).withColumn("sparseness", F.col("sparseness") + 1e-9), 6)
 
 
 # each query with every other source, over all targets

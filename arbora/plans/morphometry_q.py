@@ -206,8 +206,9 @@ def _(s, d):
 _VEC = dict(pers=_PERS, w="SELECT *, birth - death AS w FROM pers WHERE birth > death",
     m="SELECT neuron, sum(w) AS sw, sum(w * birth) AS s1, sum(w * birth * birth) AS s2, sum(w * w) AS ww FROM w GROUP BY 1",
     h="SELECT neuron, sw, 0.2 * sqrt((s2 / sw - s1 / sw * s1 / sw) / (1 - ww / (sw * sw))) AS h FROM m",
+    top="SELECT max(birth) * 1.05 AS t FROM pers",
     vec="""SELECT w.neuron, g.i, sum(w.w * exp(-pow((g.i * top.t / 19 - w.birth) / h.h, 2) / 2) / (h.sw * h.h * sqrt(2 * pi()))) AS density
-FROM w JOIN h ON h.neuron = w.neuron AND h.h > 0 CROSS JOIN (SELECT unnest(range(20))::INT AS i) g CROSS JOIN (SELECT max(birth) * 1.05 AS t FROM pers) top GROUP BY 1, 2""")
+FROM w JOIN h ON h.neuron = w.neuron AND h.h > 0 CROSS JOIN (SELECT i::INT AS i FROM range(20) r(i)) g CROSS JOIN top GROUP BY 1, 2""")
 
 
 @query("persistence_vectors", sql("SELECT neuron, i, round(density, 8) AS density FROM vec", "path", "root", **_VEC))
