@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of each table; others are carried along where an operator keeps whole rows.
@@ -83,13 +83,26 @@ def per_neuron(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arbora-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new, unused path in the shared folder."""
+    import uuid
+
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
