@@ -28,4 +28,4 @@ def rounded(df: DataFrame, digits: int = 4, **own: int) -> DataFrame:
     return df.select(*(F.round(F.col(c), own.get(c, digits)).__add__(F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
-from . import building_q, collections_q, connectivity_q, editing_q, geometry_q, meshes_q, morphometry_q, sources_q, topology_q  # noqa: E402, F401
+from . import alignment_q, building_q, collections_q, connectivity_q, editing_q, geometry_q, meshes_q, morphometry_q, sources_q, topology_q  # noqa: E402, F401
