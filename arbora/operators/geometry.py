@@ -95,10 +95,12 @@ class KdTree:
                 for j in range(0, len(own), 4096):  # points that all lie in one place stay one leaf
                     some = own[j : j + 4096]
                     d = ((at[part, None] - self.xyz[some][None]) ** 2).sum(axis=2)
-                    d = np.concatenate([dist[part], d], axis=1)
-                    p = np.concatenate([found[part], np.broadcast_to(some, (len(part), len(some)))], axis=1)
+                    gain = (d <= dist[part, -1:]).any(axis=1)  # the others keep what they have
+                    own_, d = part[gain], d[gain]
+                    d = np.concatenate([dist[own_], d], axis=1)
+                    p = np.concatenate([found[own_], np.broadcast_to(some, (len(own_), len(some)))], axis=1)
                     best = np.lexsort((p, d))[:, :k]
-                    dist[part], found[part] = np.take_along_axis(d, best, 1), np.take_along_axis(p, best, 1)
+                    dist[own_], found[own_] = np.take_along_axis(d, best, 1), np.take_along_axis(p, best, 1)
 
         def visit(node: int, q: np.ndarray, seen: np.ndarray | None) -> None:
             if seen is None:  # way down to the leaf whose box is nearer, for a first bound
