@@ -82,6 +82,18 @@ def analytic(sigma: float = 10.0) -> Analytic:
 BLOCK_POINTS, SLICES = 20_000, 64
 
 
+def _closest(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The nearest column of ``to`` for each column of ``at`` (both 3 rows); ties: the first.
+
+    |t|^2 - 2 q t is one product with a fourth coordinate; strips are so long that their product stays in the cache.
+    """
+    left, right = np.concatenate([at, np.ones((1, at.shape[1]))]).T, np.concatenate([-2 * to, (to * to).sum(axis=0)[None]])
+    out, step = np.empty(len(left), np.int64), max(16, (1 << 17) // max(1, to.shape[1]))
+    for i in range(0, len(left), step):
+        (left[i : i + step] @ right).argmin(axis=1, out=out[i : i + step])
+    return out
+
+
 def _meet(query: DataFrame, target: DataFrame, pairs: DataFrame | None, each, schema: str) -> DataFrame:
     """Runs ``each(query ids, first points, pids, target id, dist, dot)`` for a block of queries and a target at a time.
 
@@ -104,13 +116,13 @@ def _meet(query: DataFrame, target: DataFrame, pairs: DataFrame | None, each, sc
     t = t.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("neuron", F.lit(1)), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "neuron", "asked", "pid", *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, parts, pids = None, [], [], []
+        key, ids, parts, pids, whole_ = None, [], [], [], None
         for b in (big.slice(i, 64) for big in batches for i in range(0, big.num_rows, 64)):
             out = []
             for row in b.to_pylist():
                 x = np.array([row[c] for c in cols], float)
                 if (row["block"], row["slice"]) != key:
-                    key, ids, parts, pids = (row["block"], row["slice"]), [], [], []
+                    key, ids, parts, pids, whole_ = (row["block"], row["slice"]), [], [], [], None
                 if not row["kind"]:
                     ids.append(row["neuron"])
                     parts.append(x)
@@ -120,14 +132,18 @@ def _meet(query: DataFrame, target: DataFrame, pairs: DataFrame | None, each, sc
                 own = [i for i, name in enumerate(ids) if name != row["neuron"] and (asked is None or name in asked)]
                 if not own:
                     continue
-                flat, size = np.concatenate([parts[i] for i in own], axis=1), np.array([parts[i].shape[1] for i in own])
-                j = ((x[:3] ** 2).sum(axis=0) - 2 * (flat[:3].T @ x[:3])).argmin(axis=1)
-                near = x[:, j]
+                if len(own) < len(ids) or whole_ is None:
+                    some = np.concatenate([parts[i] for i in own], axis=1), np.array([parts[i].shape[1] for i in own]), np.concatenate([pids[i] for i in own]), np.array([ids[i] for i in own])
+                    whole_ = some if len(own) == len(ids) else whole_
+                else:
+                    some = whole_
+                flat, size, flat_pids, names = some
+                near = x[:, _closest(flat[:3], x[:3])]
                 dist = np.sqrt(((flat[:3] - near[:3]) ** 2).sum(axis=0))
                 dot = np.abs((flat[3:6] * near[3:6]).sum(axis=0))
                 if alpha:
                     dot = dot * np.sqrt(flat[6] * near[6])
-                out.append(each(np.array([ids[i] for i in own]), size, np.concatenate([pids[i] for i in own]), row["neuron"], dist, dot))
+                out.append(each(names, size, flat_pids, row["neuron"], dist, dot))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[c.split()[0] for c in schema.split(", ")])
 
