@@ -165,3 +165,14 @@ def test_sketch_never_too_low():
     cells, counts = np.array([0, 3, 70_000, 2**24 - 1], np.uint64), np.array([1, 255, 3, 9])
     at, n = phrases._unpack(phrases._pack(cells, counts))
     assert at.tolist() == cells.tolist() and n.tolist() == counts.tolist()
+
+
+def test_held_out_figures(spark, tmp_path):
+    from arbora.llm import measure
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the cat", "and a dog", "one house"] if i % 2 else ["der hund", "und ein haus", "die katze"]) for _ in range(60)), "en" if i % 2 else "de") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = measure.figures(spark, str(tmp_path))
+    assert got["op7_language"]["right"] == 1.0 and 0 <= got["op8_quality"]["right"] <= 1 and got["op8_quality"]["rows"] > 5
