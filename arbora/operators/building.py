@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import durable, per_neuron
 from .forest import Forest
-from .geometry import components
+from .geometry import KdTree, components
 from .space import face_table
 
 XYZ = ["x", "y", "z"]
+#: Below this number of points a plain product is quicker than a tree; results are the same.
+TREE_FROM = 4096
 
 
 # --- neighbours within a neuron ------------------------------------------------------------------------------------
 def _nearest_blocks(a: np.ndarray, b: np.ndarray, k: int):
-    """(rows of a, positions in b of their k nearest, nearest first) in blocks; ties by position."""
+    """(rows of a, positions in b of their k nearest, nearest first, distances) in blocks; ties by position. Many points meet through a tree."""
+    if len(b) > TREE_FROM:
+        tree = KdTree(b, max(32, 2 * k))
+        for i in range(0, len(a), 100_000):
+            near, d = tree.nearest(a[i : i + 100_000], k)
+            yield slice(i, i + 100_000), near, np.sqrt(d)
+        return
     step = max(1, (1 << 21) // max(1, len(b)))
     for i in range(0, len(a), step):
         d = ((a[i : i + step, None] - b[None]) ** 2).sum(axis=2)

@@ -64,3 +64,29 @@ def test_surface_samples(spark):
     f = spark.createDataFrame([(1, 0, 1, 2), (1, 1, 2, 3)], "neuron long, v0 long, v1 long, v2 long")
     got = [r.face for r in B.sample_surface(v, f, 30).orderBy("sample").collect()]
     assert got == [0] * 10 + [1] * 20  # areas 1/2 and 1
+
+
+def test_nearest_by_tree_is_the_plain_one(monkeypatch):
+    import numpy as np
+
+    from arbora.operators import building
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 12, (300, 3)).astype(float), rng.integers(0, 12, (900, 3)).astype(float)
+    for k in (1, 20):
+        plain = [np.concatenate(x) for x in zip(*((near, d) for _, near, d in building._nearest_blocks(a, b, k)))]
+        monkeypatch.setattr(building, "TREE_FROM", 100)
+        tree = [np.concatenate(x) for x in zip(*((near, d) for _, near, d in building._nearest_blocks(a, b, k)))]
+        monkeypatch.setattr(building, "TREE_FROM", 4096)
+        assert (plain[0] == tree[0]).all() and np.allclose(plain[1], tree[1])
+
+
+def test_many_nodes_of_one_neuron_take_no_square(spark):
+    import numpy as np
+
+    from arbora.operators import building
+
+    x = np.cumsum(np.random.default_rng(2).normal(size=(30_000, 3)), axis=0)
+    t = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(x)], "neuron long, node_id long, x double, y double, z double")
+    got = building.make_dotprops(t, 5).select("alpha").toPandas()
+    assert len(got) == 30_000 and got["alpha"].between(0, 1).all()
