@@ -78,8 +78,8 @@ def analytic(sigma: float = 10.0) -> Analytic:
     return Analytic(sigma)
 
 
-#: Points of the queries that meet a target's at a time, and tasks that share a block of queries.
-BLOCK_POINTS, SLICES = 20_000, 64
+#: Points of the queries that meet a target's at a time; tasks that share a block of queries at most, and tasks in all at least.
+BLOCK_POINTS, SLICES, TASKS = 20_000, 64, 256
 
 
 def _closest(at: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -106,27 +106,28 @@ def _meet(query: DataFrame, target: DataFrame, pairs: DataFrame | None, each, sc
     cols += ["alpha"] if alpha else []
     whole = lambda p: p.groupBy("neuron").agg(F.array_sort(F.collect_list(F.struct("pid", *cols))).alias("p")).select("neuron", F.col("p.pid").alias("pid"), *(F.col("p." + c).alias(c) for c in cols))
     n = max(1, -(-query.count() // BLOCK_POINTS))
+    slices = min(SLICES, max(1, -(-TASKS // n)))  # each one has a copy of its block
     block = F.pmod(F.xxhash64("neuron"), F.lit(n)).cast("int")
-    q = whole(query).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), F.lit(0).alias("kind"), "neuron", F.lit(None).cast("array<bigint>").alias("asked"), "pid", *cols)
+    q = whole(query).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "neuron", F.lit(None).cast("array<bigint>").alias("asked"), "pid", *cols)
     t = whole(target)
     if pairs is None:
         t = t.withColumn("asked", F.lit(None).cast("array<bigint>"))
     else:
         t = t.join(pairs.groupBy(F.col("target").alias("neuron")).agg(F.collect_set(F.col("query").cast("long")).alias("asked")), "neuron")
-    t = t.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("neuron", F.lit(1)), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "neuron", "asked", "pid", *cols)
+    t = t.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("neuron", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), "neuron", "asked", "pid", *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, parts, pids, whole_ = None, [], [], [], None
         for b in (big.slice(i, 64) for big in batches for i in range(0, big.num_rows, 64)):
             out = []
-            for row in b.to_pylist():
-                x = np.array([row[c] for c in cols], float)
+            for n_row, row in enumerate(b.select(["block", "slice", "kind", "neuron", "asked"]).to_pylist()):
+                x = np.stack([b[c][n_row].values.to_numpy(zero_copy_only=False) for c in cols])
                 if (row["block"], row["slice"]) != key:
                     key, ids, parts, pids, whole_ = (row["block"], row["slice"]), [], [], [], None
                 if not row["kind"]:
                     ids.append(row["neuron"])
                     parts.append(x)
-                    pids.append(np.array(row["pid"], np.int64))
+                    pids.append(b["pid"][n_row].values.to_numpy())
                     continue
                 asked = None if row["asked"] is None else set(row["asked"])
                 own = [i for i, name in enumerate(ids) if name != row["neuron"] and (asked is None or name in asked)]
