@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import durable
+from .clustering import components
 
 OTHER = "__OTHER__"
 
@@ -253,23 +254,28 @@ def assignment(score: np.ndarray) -> np.ndarray:
 
 
 def bipartite_match(scores: DataFrame, threshold: float | None = None, group: str | None = None) -> DataFrame:
-    """One-to-one matches of the highest total score, within each ``group`` of pairs (one task each) or over all.
+    """One-to-one matches of the highest total score, within each ``group`` of pairs or over all.
 
-    Pairs under the threshold never match. A problem is solved in one task: its score matrix must fit in memory.
+    Pairs under the threshold never match. Pairs that share no query and no target, even by way of others, do not bear on
+    each other: each connected part of the pairs is a problem of its own, and a task holds one part's score matrix at a time.
     """
+    keys = [group] if group else []
+    if threshold is not None:
+        scores = scores.filter(F.col("score") >= threshold)
+    side = lambda c: F.to_json(F.struct(*(F.col(k).alias("g") for k in keys), F.col(c).alias(c[0])))
+    pairs = scores.select("query", "target", "score", side("query").alias("a"), side("target").alias("b"))
+    pairs = pairs.join(components(pairs).withColumnRenamed("node", "a"), "a").select("label", "query", "target", "score")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, t = np.unique(pdf["query"]), np.unique(pdf["target"])
         m = np.full((len(q), len(t)), -1e10)
         m[np.searchsorted(q, pdf["query"]), np.searchsorted(t, pdf["target"])] = pdf["score"]
-        if threshold is not None:
-            m[m < threshold] = -1e10
         col = assignment(m)
         rows = np.flatnonzero(col >= 0)
         rows = rows[m[rows, col[rows]] > -1e9]
         return pd.DataFrame({"query": q[rows], "target": t[col[rows]], "score": m[rows, col[rows]]})
 
-    return scores.groupBy(*([group] if group else [])).applyInPandas(run, "query long, target long, score double")
+    return pairs.groupBy("label").applyInPandas(run, "query long, target long, score double")
 
 
 # --- models --------------------------------------------------------------------------------------------------------

@@ -318,27 +318,4 @@ def compress_scores(scores: DataFrame, threshold: float | None = None, digits: i
     return scores.withColumn("score", s.cast("float"))
 
 
-def clusters(scores: DataFrame, n_clusters: int, method: str = "average") -> DataFrame:
-    """Agglomerative clusters of the neurons of a symmetric score table; one task, as each merge needs all others."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["query"], pdf["target"]]))
-        n = len(ids)
-        d = np.full((n, n), pdf["score"].max())
-        i, j = np.searchsorted(ids, pdf["query"]), np.searchsorted(ids, pdf["target"])
-        d[i, j] = pdf["score"].max() - pdf["score"]
-        d = (d + d.T) / 2
-        np.fill_diagonal(d, np.inf)
-        label, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
-        for _ in range(n - n_clusters):
-            a, b = divmod(int(d.argmin()), n)
-            a, b = min(a, b), max(a, b)
-            row = {"single": np.minimum(d[a], d[b]), "complete": np.maximum(d[a], d[b]), "average": (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])}[method]
-            d[a], d[:, a] = row, row
-            d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
-            alive[b], size[a] = False, size[a] + size[b]
-            label[label == b] = a
-        return pd.DataFrame({"neuron": ids, "cluster": np.unique(label, return_inverse=True)[1]})
-
-    return scores.groupBy().applyInPandas(run, "neuron long, cluster long")
+from .clustering import clusters  # noqa: E402, F401
