@@ -65,3 +65,18 @@ def test_soma_by_label_is_the_largest_piece(spark):
     assert got(label="s") == {1: 7, 3: 1}
     assert got(label="s", min_radius=1.0) == {1: 7, 3: 1}  # no radius is known: the label decides
     assert got(min_radius=1.0) == {2: 1, 3: 1} and got() == {}
+
+
+def test_axis_planes_are_those_of_the_plain_formula(spark):
+    import random
+
+    from arbora.operators.space import resample_along_axis
+
+    r = random.Random(7)
+    edges = {i: (r.randrange(1000, 100_000) / 100, r.randrange(1000, 100_000) / 100, 10.0 * r.randrange(500), 5000.0 + 10 * r.randrange(500)) for i in range(50)}
+    rows = [row for i, (x, px, z, pz) in edges.items() for row in ((i, 1, -1, px, 0.0, pz), (i, 2, 1, x, 0.0, z))]
+    got = resample_along_axis(spark.createDataFrame(rows, "neuron long, node_id long, parent_id long, x double, y double, z double"), 70.0).collect()
+    assert len(got) > 1000
+    for t in got:
+        x, px, z, pz = edges[t.neuron]
+        assert t.x == x + (px - x) * (t.plane * 70.0 - z) / (pz - z)
