@@ -4,6 +4,7 @@ import itertools
 from collections import Counter, deque
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from arbora.operators import geometry as G
@@ -247,3 +248,24 @@ def test_defects_of_meshes(spark):
     assert sorted((r.vid, r.component, r.size) for r in M.mesh_components(v, f).collect()) == [(0, 0, 3), (1, 0, 3), (2, 0, 3)]
     nodes, of = M.mesh_to_skeleton(v, f)
     assert nodes.count() == 2 and of.count() == 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bridges_of_few_labels_are_those_of_the_rounds(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(20, 150))
+    xyz, label = rng.integers(0, 6, (n, 3)) * np.array([2.0, 3.0, 5.0]), rng.integers(0, n // 4, n)
+    few = [{tuple(sorted(x)) for x in G.bridges(xyz, label, use, far).tolist()} for use, far in ((None, None), (rng.random(n) < 0.7, None), (None, 4.0))]
+    rng = np.random.default_rng(seed)
+    rng.integers(20, 150), rng.integers(0, 6, (n, 3)), rng.integers(0, n // 4, n)
+    monkeypatch.setattr(G, "_few_labels", lambda *_: None)
+    assert few == [{tuple(sorted(x)) for x in G.bridges(xyz, label, use, far).tolist()} for use, far in ((None, None), (rng.random(n) < 0.7, None), (None, 4.0))]
+
+
+def test_many_meshes_in_one_call_are_kept_apart():
+    rows = [(neuron, 0, v, 0, 0, float(v), 0.0, 0.0) for neuron in (3, 8) for v in range(4)]
+    rows = sorted(rows + [(3, 1, 0, 1, 2, *[np.nan] * 3), (8, 1, 1, 2, 3, *[np.nan] * 3), (8, 1, 1, 2, 9, *[np.nan] * 3), (8, 2, 0, 3, 0, *[np.nan] * 3)])
+    m = M.Mesh(pd.DataFrame(rows, columns=["neuron", "kind", "a", "b", "c", "x", "y", "z"]))
+    assert m.neuron.tolist() == [3] * 4 + [8] * 4 and m.faces.tolist() == [[0, 1, 2], [5, 6, 7]] and m.extra.tolist() == [[4, 7]]
+    nodes, of = M.wavefront(m.n, *m.links(), m.xyz, shave=False, owner=m.neuron)
+    assert nodes.groupby("owner")["node_id"].apply(list).to_dict() == {3: [1, 2, 3], 8: [1, 2, 3]} and of.tolist() == [1, 3, 3, 2] * 2
