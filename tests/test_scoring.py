@@ -57,3 +57,16 @@ def test_lookup_counts_where_points_meet(spark, blocks):
     want = S.build_lookup(nn.filter("(query + target) % 2 = 0"), nn.filter("(query + target) % 2 = 1"), dist, dot)
     got = S.build_lookup_of_pairs(q, t, lambda a, b: (a + b) % 2 == 0, dist, dot)
     assert np.allclose(got.cells, want.cells)
+
+
+def test_rows_of_pairs_are_made_whole_where_they_meet(spark, blocks):
+    t = table(spark, clouds())
+    s = S.raw_scores(t.filter("neuron % 20 = 0"), t, SCORE, both=True, normalized=True)
+    assert s.columns == ["query", "target", "score", "back"]
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
+    full = S.nblast(t.filter("neuron % 20 = 0"), t, SCORE, "mean")._jdf.queryExecution().optimizedPlan().toString()
+    # only the rows of ids with themselves are joined: nothing above the step where pairs meet
+    above = [line for line in full.split("\n") if "Join" in line]
+    meets = next(line for line in full.split("\n") if "MapInArrow" in line)
+    assert all(len(a) - len(a.lstrip(" :+-")) >= len(meets) - len(meets.lstrip(" :+-")) for a in above)
