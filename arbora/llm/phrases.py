@@ -51,6 +51,7 @@ class Grams:
         self.two, inverse, two = np.unique(seq[p2] * v + seq[p2 + 1], return_inverse=True, return_counts=True)
         of_two = np.full(len(seq), -1, np.int64)
         of_two[p2] = inverse
+        del inverse, word
         p3 = p2[of_two[np.minimum(p2 + 1, len(seq) - 1)] >= 0]
         self.three, first, three = np.unique(of_two[p3] * v + seq[p3 + 2], return_index=True, return_counts=True)
         #: for each triple the numbers of its two pairs
@@ -116,7 +117,7 @@ def _unpack_runs(packed: bytes) -> tuple[list[bytes], list[int]]:
     return raw[end:].split(b"\n"), counts.tolist()
 
 
-def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 12 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 6 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, k, phrase, a): exact counts of all runs of k = 1 to 3 words found ``least`` times or more in a language;
     k = 0 gives each language's number of words.
 
@@ -185,10 +186,12 @@ def frequent(docs: DataFrame, least: int = 10, block_bytes: int = 12 << 20, lang
             which, at = edges(cells)
             reach = [np.unpackbits(np.frombuffer(by[row, s], np.uint8), count=n) for s, n in zip(which.tolist(), np.diff(at).tolist())]
             ok &= np.concatenate(reach)[inverse].astype(bool)
+            del cells, inverse, reach
         langs, phrases, n, part = g.kept(ok)
         words: dict[str, int] = {}
         for lang, c in zip(g.langs[1:], g.counts[1 : g.v].tolist()):
             words[lang] = words.get(lang, 0) + c
+        del g, ok, by
         langs, phrases = langs + list(words), phrases + [b""] * len(words)
         n = np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))])
         part = np.concatenate([(part % np.uint64(parts)).astype(np.int64), np.zeros(len(words), np.int64)])
@@ -232,7 +235,7 @@ def scored(counts: DataFrame) -> DataFrame:
     return some.groupBy("lang", "k", "phrase", "a").agg(lowest).select("lang", "k", "phrase", "a", "m.l", "m.r", "m.score")
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, subsumed: int = 50, block_bytes: int = 12 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, subsumed: int = 50, block_bytes: int = 6 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two or three words of each language.
 
     Words are runs of other than space and tab in pieces between ``. , ; : ! ?`` and line ends, A-Z lower-cased. A
