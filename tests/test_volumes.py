@@ -1,6 +1,7 @@
 """Points in volumes and somata, where edges, corners and pieces decide."""
 
 import itertools
+import re
 
 import numpy as np
 
@@ -80,3 +81,15 @@ def test_axis_planes_are_those_of_the_plain_formula(spark):
     for t in got:
         x, px, z, pz = edges[t.neuron]
         assert t.x == x + (px - x) * (t.plane * 70.0 - z) / (pz - z)
+
+
+def test_no_row_of_a_point_and_a_volume_is_moved(spark):
+    cells = {n: list(itertools.product(range(n), repeat=3)) for n in (1, 2, 3)}
+    v, f = M.voxels_to_mesh(voxel_table(spark, cells), "blocks")
+    places = list(itertools.product((0.4, 1.4, 2.4), repeat=3))
+    q = spark.createDataFrame([(i % 2, i, *p) for i, p in enumerate(places)], "neuron long, pid int, x double, y double, z double")
+    want = {(n, k): sum(i for i, p in enumerate(places) if i % 2 == k and max(p) < n) for n in cells for k in (0, 1)}
+    t = B.intersection_matrix(q, v, f, value="pid")
+    assert {(r.volume, r.neuron): r.value for r in t.collect()} == {k: s for k, s in want.items() if any(i % 2 == k[1] and max(p) < k[0] for i, p in enumerate(places))}
+    for df in (t, B.in_volumes(q, v, f)):  # points find their volumes without a join by place
+        assert not re.search(r"Join Inner, .*\bx#", df._jdf.queryExecution().optimizedPlan().toString())
