@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from arbora.operators import building as B
 from arbora.operators import topology as T
 from arbora.plans import fixtures as X
@@ -90,3 +92,25 @@ def test_many_nodes_of_one_neuron_take_no_square(spark):
     t = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(x)], "neuron long, node_id long, x double, y double, z double")
     got = building.make_dotprops(t, 5).select("alpha").toPandas()
     assert len(got) == 30_000 and got["alpha"].between(0, 1).all()
+
+
+def test_links_are_joined_in_ranges_first(spark):
+    rng = np.random.default_rng(5)
+    links = [*((i, i + 1) for i in range(0, 900) if i % 100 != 99), *rng.integers(1000, 1400, (150, 2)).tolist(), (3, 1002), (2000, 2000)]
+    best = {x: x for pair in links for x in pair}
+    while True:
+        now = dict(best)
+        for a, b in links:
+            now[a] = now[b] = min(now[a], now[b])
+        if now == best:
+            break
+        best = now
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = spark.createDataFrame(links, "a long, b long")
+        stars = B._stars(t)
+        assert stars.select(F.spark_partition_id()).distinct().count() > 1
+        assert stars.count() < 1.2 * len(best)
+        assert dict(map(tuple, B.components_of_links(t).collect())) == best
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
