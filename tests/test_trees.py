@@ -73,3 +73,14 @@ def test_reroot_twice_is_identity(spark):
     one = lambda i: spark.createDataFrame([(1, i)], "neuron long, node_id long")
     back = T.reroot(T.reroot(nodes, one(4)), one(1))
     assert as_dict(back, "node_id", "parent_id") == as_dict(nodes, "node_id", "parent_id")
+
+
+def test_directed_pairs_with_a_way(spark):
+    rng = np.random.default_rng(3)
+    rows = [(n, i, int(rng.integers(1, i)) if i > 1 and i % 17 else -1, *map(float, rng.normal(size=3))) for n in (1, 2, 3) for i in range(1, 60)]
+    nodes = spark.createDataFrame(rows, "neuron long, node_id long, parent_id long, x double, y double, z double")
+    goals = spark.createDataFrame([(n, i) for n in (1, 2, 9) for i in (1, 2, 5, 17, 99)], "neuron long, node_id long")
+    for limit in (None, 3.0):
+        every = T.geodesic_matrix(nodes, None, goals, directed=True, max_dist=limit)
+        want = sorted(map(tuple, every.filter("dist < double('infinity')").collect()))
+        assert want and sorted(map(tuple, T.geodesic_matrix(nodes, None, goals, finite=True, directed=True, max_dist=limit).collect())) == want
