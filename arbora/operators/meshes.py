@@ -113,7 +113,7 @@ def _place() -> F.Column:
     return F.when(near, known).otherwise(F.raise_error(F.lit("voxels must lie within 2 ** 19 of the origin")).cast("long"))
 
 
-def voxels_to_mesh(voxels: DataFrame, method: str = "nets", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), step: int = 1) -> tuple[DataFrame, DataFrame]:
+def voxels_to_mesh(voxels: DataFrame, method: str = "nets", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), step: int = 1, corners: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of the surface of each object's voxels (neuron, i, j, k); voxel (i, j, k) fills [i, i + 1) on each axis.
 
     ``nets``: one vertex a cube of eight voxels that the surface passes, at the mean of its crossings; ``blocks``: the voxels' own
@@ -121,10 +121,13 @@ def voxels_to_mesh(voxels: DataFrame, method: str = "nets", spacing: tuple[float
     last is always closed, two faces an edge, and touches itself nowhere: voxels that meet in an edge or corner only stay apart.
     ``blocks`` holds exactly the voxels' volume. ``step`` merges that many voxels along each axis first. Faces are wound outward. Null
     places are left out, repeated voxels count once. Ids name places, so they are unique in an object but not
-    consecutive (``renumber``). Joins and aggregates by cell only: one large object is spread like many small ones.
+    consecutive (``renumber``). ``corners``: faces of ``blocks`` also hold their corners' coordinates (ax .. cz), so measures of them
+    join nothing. Joins and aggregates by cell only: one large object is spread like many small ones.
     """
     if method not in ("nets", "blocks", "cubes"):
         raise ValueError("method must be nets, blocks or cubes")
+    if corners and method != "blocks":
+        raise ValueError("only faces of blocks hold corners")
     v = voxels.dropna(subset=["i", "j", "k"])
     if step > 1:
         v, spacing = v.select("neuron", *(F.floor(F.col(c) / step).alias(c) for c in "ijk")), tuple(s * step for s in spacing)
@@ -151,16 +154,21 @@ def voxels_to_mesh(voxels: DataFrame, method: str = "nets", spacing: tuple[float
     else:
         t, place = cells, [F.col(c) + 1.0 for c in "ijk"]
     vertices = t.select("neuron", (_place() + _name(3)).alias("vid"), *((p * s).alias(x) for p, x, s in zip(place, XYZ, spacing)))
-    quads = []
+    rows = []
     for n in range(3):  # the four cubes around a crossed edge, in the sense of a filled lower voxel
         u, w = [0, 0, 0], [0, 0, 0]
         u[(n + 1) % 3], w[(n + 2) % 3] = -1, -1
         ring = [(0, 0, 0), tuple(u), tuple(a + b for a, b in zip(u, w)), tuple(w)]
-        corner = [F.col("at") + _name(3, *r) for r in ring]
-        low, high = F.col("mask").bitwiseAND(1) > 0, F.col("mask").bitwiseAND(1 << (1 << n)) > 0
-        for on, order in ((low & ~high, (0, 1, 2, 3)), (high & ~low, (0, 3, 2, 1))):
-            quads += [F.struct(on.alias("on"), *(corner[order[x]].alias(f"v{y}") for y, x in enumerate(tri))) for tri in ((0, 1, 2), (0, 2, 3))]
-    faces = cells.withColumn("at", _place()).select("neuron", F.explode(F.filter(F.array(*quads), lambda x: x["on"])).alias("f")).select("neuron", "f.v0", "f.v1", "f.v2")
+        for m in range(1, 255):
+            low, high = m & 1 > 0, m >> (1 << n) & 1 > 0
+            if low != high:
+                order = (0, 1, 2, 3) if low else (0, 3, 2, 1)
+                rows += [(m, *(_name(3, *ring[order[x]]) for x in tri), *(c for x in tri for c in ring[order[x]])) for tri in ((0, 1, 2), (0, 2, 3))]
+    names = [f"{k}{c}" for k in "abc" for c in XYZ]
+    table = spark.createDataFrame(rows, "mask int, d0 long, d1 long, d2 long, " + ", ".join(f"o{x} int" for x in names))
+    t = cells.withColumn("at", _place()).join(F.broadcast(table), "mask")
+    own = [((F.col("ijk"[m % 3]) + 1.0 + F.col(f"o{x}")) * spacing[m % 3]).alias(x) for m, x in enumerate(names) if corners]
+    faces = t.select("neuron", *((F.col("at") + F.col(f"d{n}")).alias(f"v{n}") for n in range(3)), *own)
     return vertices, faces
 
 

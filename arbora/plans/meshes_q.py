@@ -21,8 +21,8 @@ def blobs(s, d):
     return G.voxel_downscale(X.voxels(s, d), 4).select("neuron", *"ijk")
 
 
-def surface(s, d, method="cubes"):
-    return M.voxels_to_mesh(blobs(s, d), method, _SIZE)
+def surface(s, d, method="cubes", **options):
+    return M.voxels_to_mesh(blobs(s, d), method, _SIZE, **options)
 
 
 # a filled voxel and an empty neighbour: (axis, lower voxel of the two)
@@ -59,7 +59,7 @@ def _(s, d):
 
 @query("voxels2mesh_blocks", sql("SELECT b.neuron, CAST(count(*) * 30 AS DOUBLE) AS volume, CAST(min(n) AS BIGINT) AS n_faces, CAST(min(a) AS DOUBLE) AS area FROM b JOIN (SELECT neuron, 2 * count(*) AS n, sum(CASE axis WHEN 0 THEN 15 WHEN 1 THEN 10 ELSE 6 END) AS a FROM c GROUP BY 1) s USING (neuron) GROUP BY 1", "voxels", b=_BLOBS, c=_CROSS))
 def _(s, d):
-    return rounded(G.mesh_measures(*surface(s, d, "blocks")), 4)
+    return rounded(G.mesh_measures(*surface(s, d, "blocks", corners=True)), 4)
 
 
 # each crossing lies in four cubes; a cube's vertex is their mean

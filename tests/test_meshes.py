@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from arbora.operators.space import face_table
 from arbora.operators import geometry as G
 from arbora.operators import meshes as M
 
@@ -269,3 +270,13 @@ def test_many_meshes_in_one_call_are_kept_apart():
     assert m.neuron.tolist() == [3] * 4 + [8] * 4 and m.faces.tolist() == [[0, 1, 2], [5, 6, 7]] and m.extra.tolist() == [[4, 7]]
     nodes, of = M.wavefront(m.n, *m.links(), m.xyz, shave=False, owner=m.neuron)
     assert nodes.groupby("owner")["node_id"].apply(list).to_dict() == {3: [1, 2, 3], 8: [1, 2, 3]} and of.tolist() == [1, 3, 3, 2] * 2
+
+
+def test_faces_of_blocks_with_their_corners(spark):
+    cells = {1: [(0, 0, 0), (1, 0, 0), (1, 1, 1)], 2: list(itertools.product(range(-1, 2), repeat=3))}
+    v, f = M.voxels_to_mesh(voxel_table(spark, cells), "blocks", (2.0, 3.0, 5.0))
+    own = M.voxels_to_mesh(voxel_table(spark, cells), "blocks", (2.0, 3.0, 5.0), corners=True)[1]
+    names = ["neuron", "v0", "v1", "v2", *(f"{k}{c}" for k in "abc" for c in "xyz")]
+    got = own.select(*names).collect()
+    assert len(got) == f.count() and sorted(got) == sorted(face_table(v, f).select(*names).collect())
+    assert "Join" not in [w for line in face_table(v, own)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "mask" not in line for w in line.split()]
