@@ -70,3 +70,31 @@ def test_rows_of_pairs_are_made_whole_where_they_meet(spark, blocks):
     above = [line for line in full.split("\n") if "Join" in line]
     meets = next(line for line in full.split("\n") if "MapInArrow" in line)
     assert all(len(a) - len(a.lstrip(" :+-")) >= len(meets) - len(meets.lstrip(" :+-")) for a in above)
+
+
+def test_far_queries_are_not_compared(spark, monkeypatch):
+    from arbora.operators import scoring as S
+
+    rng = np.random.default_rng(11)
+    rows = [(n, i, *(rng.random(3) * 50 + [0, 400.0 * (n // 2), 0]).tolist(), *(rng.normal(size=3)).tolist()) for n in range(6) for i in range(20)]
+    points = spark.createDataFrame(rows, "neuron long, pid long, x double, y double, z double, vx double, vy double, vz double")
+    for sigma, cap in ((2.0, None), (10.0, 200.0), (10.0, None)):
+        score = S.analytic(sigma)
+        got = {(r.query, r.target): (r.score, r.back) for r in S.raw_scores(points, points, score, cap, both=True).collect()}
+        assert len(got) == 30
+        hits = {}
+        for a in range(6):
+            for b in range(6):
+                p, q = (np.array([r[2:] for r in rows if r[0] == n]) for n in (a, b))
+                d = np.sqrt(((p[:, None, :3] - q[None, :, :3]) ** 2).sum(axis=2))
+                near = d.argmin(axis=1)
+                d, dot = d.min(axis=1), np.abs((p[:, 3:] * q[near, 3:]).sum(axis=1))
+                hits[a, b] = score.array(d if cap is None else np.minimum(d, cap), dot if cap is None else np.where(d < cap, dot, 0.0)).sum()
+        for (a, b), (s, back) in got.items():
+            assert np.isclose(s, hits[a, b], rtol=1e-9, atol=0) and np.isclose(back, hits[b, a], rtol=1e-9, atol=0)
+    seen = []
+    monkeypatch.setattr(S, "_meet", lambda query, target, pairs, each, schema, reach=None, far=None: seen.append(reach))
+    S.raw_scores(points, points, S.analytic(10.0), 200.0)
+    S.raw_scores(points, points, S.analytic(2.0))
+    S.raw_scores(points, points, S.Lookup([0, 1, 2], [0, 0.5, 1], [[1, 2], [3, 4]]), 200.0)
+    assert seen[0] == 200.0 and 76 < seen[1] < 78 and seen[2] is None
