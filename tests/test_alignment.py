@@ -46,6 +46,15 @@ def test_expectation_in_blocks_is_the_plain_one(monkeypatch):
         assert np.allclose(got[0], p.sum(axis=1)) and np.allclose(got[1], p.sum(axis=0)) and np.allclose(got[2], p.T @ x) and got[3] == pytest.approx((p * d).sum())
 
 
+def test_expectation_leaves_no_normal_doubles(monkeypatch):
+    x, y = tree(50), tree(40, 5)
+    want = A._expect(x, y, 0.05, 0.0)
+    monkeypatch.setattr(A, "PAIRS", 200)
+    with np.errstate(under="raise"):  # exp is slow there
+        got = A._expect(x, y, 0.05, 0.0)
+    assert all(np.allclose(a, b) for a, b in zip(got, want)) and got[1].sum() == pytest.approx(50)
+
+
 def test_modes_are_the_largest_of_the_kernel():
     y = tree(120) / 50
     q, value = A.modes(y, 0.5, 20)
