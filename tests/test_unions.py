@@ -1,6 +1,7 @@
 """Parts of an object that come from several tables meet in one task, whatever adaptive execution merges."""
 
 import contextlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from arbora.functions.tables import gathered
 from arbora.operators.building import nearest_node
 from arbora.operators.meshes import per_mesh
+from arbora.operators.space import mesh_measures
 
 #: Partitions of about a kilobyte, so that tables of different width are merged differently.
 SMALL = {
@@ -62,3 +64,11 @@ def test_gathered_keeps_a_key_in_one_partition(spark):
     with small_partitions(spark):
         got = gathered(both, "neuron").select("neuron", F.spark_partition_id().alias("p")).distinct().groupBy("neuron").count().toPandas()
     assert len(got) == 500 and np.all(got["count"] == 1)
+
+
+def test_area_does_not_hang_on_the_order_of_faces(spark):
+    # areas of thirds, which plain sums round differently from order to order
+    own = np.random.default_rng(0).uniform(1e3, 1e7, 60) / 3
+    faces = [(n, *(0.0,) * 3, *(float(2 * a), 0.0, 0.0), *(0.0, 1.0, 0.0)) for n in range(40) for a in np.random.default_rng(n).permutation(own)]
+    t = spark.createDataFrame(faces, "neuron long, " + ", ".join(f"{k}{c} double" for k in "abc" for c in "xyz"))
+    assert {r.area for r in mesh_measures(t.select("neuron"), t).collect()} == {math.fsum(own)}
