@@ -93,3 +93,11 @@ def test_no_row_of_a_point_and_a_volume_is_moved(spark):
     assert {(r.volume, r.neuron): r.value for r in t.collect()} == {k: s for k, s in want.items() if any(i % 2 == k[1] and max(p) < k[0] for i, p in enumerate(places))}
     for df in (t, B.in_volumes(q, v, f)):  # points find their volumes without a join by place
         assert not re.search(r"Join Inner, .*\bx#", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_points_on_a_face_are_outside(spark):
+    v, f = M.voxels_to_mesh(voxel_table(spark, {1: [(0, 0, 0)], 2: [(0, 0, 0), (1, 0, 0), (1, 1, 0)]}), "blocks")
+    grid = [(x, y, 0.25) for x in (0.0, 0.5, 1.0, 1.5, 2.0) for y in (0.25, 0.75, 1.25)]
+    got = inside(spark, grid, v, f)
+    assert {grid[i] for i in got[1]} == {(0.5, 0.25, 0.25), (0.5, 0.75, 0.25)}
+    assert {grid[i] for i in got[2]} == {(x, y, 0.25) for x in (0.5, 1.0, 1.5) for y in (0.25, 0.75)} | {(1.5, 1.25, 0.25)}
