@@ -101,3 +101,15 @@ def test_pairs(spark):
     for bad in ({"method": "x"}, {"mirror_axis": "w"}):
         with pytest.raises(ValueError):
             A.align(p, pairs, **bad)
+
+
+def test_the_query_fits_until_it_converges(spark, tmp_path):
+    from arbora.plans import fixtures as X
+    from arbora.plans.registry import QUERIES, rounded
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 192").write.parquet(str(tmp_path / "lineitem.parquet"))
+    n = X.nodes(spark, str(tmp_path)).select("neuron", "node_id", "x", "y", "z")
+    pairs = spark.createDataFrame([(1, 0), (2, 0)], "source long, target long")
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    whole, cut = (rows(rounded(A.align(n, pairs, "rigid+deform", **o)[0], 3)) for o in ({}, {"max_iterations": 30}))
+    assert rows(QUERIES["align_deform"](spark, str(tmp_path))) == whole != cut
