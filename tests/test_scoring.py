@@ -98,3 +98,33 @@ def test_far_queries_are_not_compared(spark, monkeypatch):
     S.raw_scores(points, points, S.analytic(2.0))
     S.raw_scores(points, points, S.Lookup([0, 1, 2], [0, 0.5, 1], [[1, 2], [3, 4]]), 200.0)
     assert seen[0] == 200.0 and 76 < seen[1] < 78 and seen[2] is None
+
+
+def synapses():
+    r = np.random.default_rng(6)
+    return {n: (r.normal(size=(k, 3)) * 4, [kinds[i % len(kinds)] for i in range(k)]) for n, k, kinds in ((20, 30, "ab"), (21, 7, "a"), (40, 18, ["b", None]), (43, 1, "c"), (60, 25, "abc"))}
+
+
+def test_synapses_meet_those_of_their_type(spark, blocks):
+    c = synapses()
+    t = spark.createDataFrame([(n, i, *map(float, p), k) for n, (xyz, kinds) in c.items() for i, (p, k) in enumerate(zip(xyz, kinds))], "neuron long, pid long, x double, y double, z double, type string")
+
+    def one(a, b):
+        (p, k), (q, m) = c[a], c[b]
+        d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
+        d[np.array([[x is None or x != y for y in m] for x in k])] = np.inf
+        return SCORE.array(d.min(axis=1), np.ones(len(p))).mean()
+
+    for scores in ("forward", "both"):
+        got = S.synblast(t.filter("neuron % 20 = 0"), t, SCORE, by_type=True, scores=scores).collect()
+        assert {(r.query, r.target) for r in got} == set(itertools.product((20, 40, 60), c)) and len(got) == 15
+        for r in got:
+            want = (1.0, 1.0) if r.query == r.target else (one(r.query, r.target), one(r.target, r.query))
+            assert tuple(r)[2:] == pytest.approx(want[: len(tuple(r)) - 2], abs=1e-9)
+
+
+def test_no_row_of_a_pair_is_joined_by_type(spark):
+    t = spark.createDataFrame([(20, 1, 0.0, 0.0, 0.0, "a"), (21, 2, 1.0, 0.0, 0.0, "a")], "neuron long, pid long, x double, y double, z double, type string")
+    s = S.synblast(t.filter("neuron % 20 = 0"), t, SCORE, by_type=True)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
