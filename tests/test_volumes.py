@@ -4,6 +4,8 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from arbora.operators import building as B
 from arbora.operators import meshes as M
@@ -101,3 +103,26 @@ def test_points_on_a_face_are_outside(spark):
     got = inside(spark, grid, v, f)
     assert {grid[i] for i in got[1]} == {(0.5, 0.25, 0.25), (0.5, 0.75, 0.25)}
     assert {grid[i] for i in got[2]} == {(x, y, 0.25) for x in (0.5, 1.0, 1.5) for y in (0.25, 0.75)} | {(1.5, 1.25, 0.25)}
+
+
+def test_a_point_in_many_volumes_is_given_once(spark, monkeypatch):
+    monkeypatch.setattr(B, "FEW", 2)
+    v, f = M.voxels_to_mesh(voxel_table(spark, {n: [(i, 0, 0) for i in range(n % 7 + 1)] for n in range(1, 40)}), "blocks")
+    rows = [(1, i + 1, i, float(i) + 0.5, 0.5, 0.5, 1.0, "0") for i in range(9)]
+    nodes = spark.createDataFrame(rows, "neuron long, node_id long, parent_id long, x double, y double, z double, radius double, label string").withColumn("parent_id", F.when(F.col("parent_id") == 0, -1).otherwise(F.col("parent_id")))
+    own = nodes.select("neuron", "node_id", *"xyz")
+    given = B._held(own, v, f, lambda rows, at, volume: rows.take(pa.array(at)), own.schema, once=True).collect()
+    assert sorted(r.node_id for r in given) == [1, 2, 3, 4, 5, 6, 7]
+    assert sorted(r.node_id for r in B.prune_by_volume(nodes, v, f).collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert sorted(r.node_id for r in B.prune_by_volume(nodes, v, f, "OUT").collect()) == [8, 9]
+
+
+def test_points_are_given_in_parts(monkeypatch):
+    monkeypatch.setattr(B, "HELD_PAIRS", 100)
+    t = [((0, 0, 0), (0, 8, 0), (0, 0, 8)), ((4, 0, 0), (4, 8, 0), (4, 0, 8))]
+    corners = np.array([np.ravel(x) for _ in range(10) for x in t], float)
+    faces = B._Faces(corners, np.full(20, 8.0), np.zeros(20), np.zeros(20), np.repeat(np.arange(10), 2))
+    x = np.tile([-1.0, 0.0, 1.0, 3.0, 4.0, 5.0], 50)
+    parts = list(faces.around(x, np.ones(300), np.ones(300)))
+    assert len(parts) > 10 and max(len(at) for at, _ in parts) <= 100
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts)))) == [(i, n) for i in range(300) if 0 < x[i] < 4 for n in range(10)]
